@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partloom.llm.decontam import op1_decontamination
+from partloom.llm.mixing import op8_mixing
+from partloom.llm.simhash import op6_simhash
 from partloom.llm.sstable import op10_token_shards
+from partloom.llm.topk import OP5_SQL, op5_top_k
+from partloom.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_shards": op10_token_shards}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op2_warc": op2_warc,
+        "op5_top_k": op5_top_k,
+        "op6_simhash": op6_simhash,
+        "op8_mixing": op8_mixing,
+        "op10_token_shards": op10_token_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_top_k": OP5_SQL}
