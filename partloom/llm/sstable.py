@@ -20,6 +20,7 @@ import bisect
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,45 +43,77 @@ class PieceEncoder:
     """Byte-level BPE of whole texts by pieces, each encoded once by the tokenizers library and then remembered.
 
     The pre-tokenizer of this family starts a new pre-token at every space that follows a character other than white
-    space, and between a lone line feed and what follows it. Cutting there changes no id, and pieces repeat much more
-    than texts do. ``room`` bounds what is remembered; results don't depend on it.
+    space, between a lone line feed and what follows it, and between a letter and punctuation. Cutting there changes no
+    id, and pieces repeat much more than texts do. New pieces go to the library many at a time, as lines of one text.
+    ``room`` bounds what is remembered: when so much is new, what was not used since the last time is forgotten. Results
+    don't depend on it.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
-        from tokenizers import Tokenizer
+    #: A word of plain letters and the punctuation behind it: two pre-tokens.
+    WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, room: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+            raise ValueError("a byte-level tokenizer without normalizer is needed")
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.room, self.used = room, 0
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.line_feed = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a piece
+        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.line_feed = self._alone("\n")
         self.runs, self.cuts = re.compile(r"\s\s"), re.compile(r"(?<=\S) ")
-
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
-        new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch([before + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = self._pack(e.ids)
-            self.used += 1 + len(p) // 64
+        # byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in prints]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _alone(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word of plain letters, with or without the space before it, is one pre-token: the model takes it as it is."""
+        spelled = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(self.alphabet)
+        return self.pack([t.id for t in self.model.tokenize(spelled)])
+
+    def _learn(self, piece: str, before: str) -> bytes:
+        known, old = self.known[before], self.old[before]
+        self.used += 1 + len(piece) // 64
+        if (ids := old.get(piece)) is None:
+            if (parts := self.WORD.fullmatch(piece)) is None:
+                ids = self._alone(before + piece)
+            else:
+                word, tail = parts.groups()
+                ids = known.get(word) or old.get(word) or self._word(before + word)
+                if tail:
+                    known[word] = ids
+                    tails = self.known[""]
+                    if tail not in tails:
+                        tails[tail] = self._alone(tail)
+                    ids += tails[tail]
+        known[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):  # these go before all cuts
+            return self._alone(text)
         if self.used > self.room:
-            self.first.clear()
-            self.spaced.clear()
-            self.used = 0
-        rows = [self.cuts.split(text)] if self.runs.search(text) else [line.split(" ") for line in text.split("\n")]
-        for again in (False, True):
-            try:
-                return self.line_feed.join([self.first[r[0]] + b"".join(map(self.spaced.__getitem__, r[1:])) for r in rows])
-            except KeyError:
-                if again:
-                    raise
-                self._learn(self.first, [r[0] for r in rows], "")
-                self._learn(self.spaced, [p for r in rows for p in r[1:]], " ")
-        raise AssertionError
+            self.old, self.known, self.used = self.known, {"": {}, " ": {}}, 0
+        first, spaced, lines = self.known[""].get, self.known[" "].get, []
+        for row in [self.cuts.split(text)] if self.runs.search(text) else [line.split(" ") for line in text.split("\n")]:
+            ids = list(map(spaced, row))
+            ids[0] = first(row[0])
+            if None in ids:
+                for i in [i for i, x in enumerate(ids) if x is None]:
+                    ids[i] = self._learn(row[i], " " if i else "")
+            lines.append(b"".join(ids))
+        return self.line_feed.join(lines)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -233,13 +266,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         task = TaskContext.get()
         writer = path = first = last = None
         encode = encoder(tokenizer_path)
-        end = encode._pack([end_id])
+        end = encode.pack([end_id])
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     path = f"{base}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
                     files, where = filesystem(path)
-                    writer, first = ShardWriter(files.open_output_stream(where), encode.width, block_bytes), doc_id
+                    writer, first = ShardWriter(files.open_output_stream(where, compression=None), encode.width, block_bytes), doc_id
                 writer.add(key_of(doc_id), encode.encode(text.as_py() or "") + end)
                 last = doc_id
         if writer is not None:
