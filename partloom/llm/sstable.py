@@ -314,7 +314,8 @@ def read_tokens(manifest: DataFrame, *, split_bytes: int = 16 << 20, digest: boo
                         out = {k: [] for k in out}
                 yield _batch(out, digest)
 
-    return parts.repartition("path", "part").mapInArrow(read, f"doc_id long, start long, n_tokens long, {kind}")
+    # a number of our own, as rows of a few bytes that stand for megabytes would be merged into one task
+    return parts.repartition(max(1, parts.count()), "path", "part").mapInArrow(read, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def _batch(out: dict[str, list], digest: bool) -> pa.RecordBatch:

@@ -194,7 +194,8 @@ def read_warc(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES, payloads:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, digest_ok boolean, payload binary"
-    return ranges.repartition("path", "begin").mapInArrow(read, schema)
+    # a number of our own, as rows of a few bytes that stand for megabytes would be merged into one task
+    return ranges.repartition(max(1, ranges.count()), "path", "begin").mapInArrow(read, schema)
 
 
 def page_id_of(record: str):
