@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from partloom.llm.decontam import op1_decontamination
 from partloom.llm.mixing import op8_mixing
+from partloom.llm.quality import op9_quality
 from partloom.llm.simhash import op6_simhash
 from partloom.llm.sstable import op10_token_shards
 from partloom.llm.topk import OP5_SQL, op5_top_k
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_top_k": op5_top_k,
         "op6_simhash": op6_simhash,
         "op8_mixing": op8_mixing,
+        "op9_quality": op9_quality,
         "op10_token_shards": op10_token_shards,
     }
 
