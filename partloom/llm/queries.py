@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.llm.decontam import op1_decontamination
+from partloom.llm.license import OP3_SQL, op3_licenses
 from partloom.llm.mixing import op8_mixing
 from partloom.llm.quality import op9_quality
 from partloom.llm.simhash import op6_simhash
 from partloom.llm.sstable import op10_token_shards
+from partloom.llm.toolcalls import op7_tool_calls
 from partloom.llm.topk import OP5_SQL, op5_top_k
+from partloom.llm.urlfilter import OP4_SQL, op4_url_filter
 from partloom.llm.warc import op2_warc
 
 
@@ -19,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_warc": op2_warc,
+        "op3_licenses": op3_licenses,
+        "op4_url_filter": op4_url_filter,
         "op5_top_k": op5_top_k,
         "op6_simhash": op6_simhash,
+        "op7_tool_calls": op7_tool_calls,
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_token_shards": op10_token_shards,
@@ -28,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": OP5_SQL}
+    return {"op3_licenses": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_top_k": OP5_SQL}
