@@ -4,10 +4,12 @@ A fingerprint is cut into three segments, fewer than the bits allowed plus one:
 bits, they differ in at most one bit of some segment. Every segment is indexed under each of its one-wildcard variants,
 which such a pair shares, so an equality join finds it; the whole distance is then verified.
 
-Pairs inside large groups are never listed. Each bucket first links its members to its smallest one only; components over
-these links collapse groups of near copies, and what is left to compare are members of different components in a bucket,
-of which the largest component is taken on one side only. Buckets that stay large are split again by five pieces of the
-other bits, of which four differing bits leave one equal. No link between fingerprints is lost on the way.
+A pair shares many variants; its link is looked for in one of them only, that of the first segment with at most one
+differing bit (and of that bit). In a bucket, members in order are compared with the ``BACK`` members before them, which is
+every pair of a bucket of up to ``BACK + 1`` members. Components over these links collapse groups of near copies, so pairs
+inside large groups are never listed: what is left to compare in larger buckets are members of different components, of
+which the largest component is taken on one side only. Buckets of more than ``HOT_BUCKET`` members are split again by five
+pieces of the other bits, of which four differing bits leave one equal. No link between fingerprints is lost on the way.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from partloom.llm.shared import stored
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 PIECES = ((0, 9), (9, 9), (18, 9), (27, 8), (35, 8))  # of the 42 or 43 bits outside a segment
 MAX_BITS = 4
-HOT_BUCKET = 2048
+BACK, HOT_BUCKET = 15, 2048
 SEED = 42
 _CHUNK = 1 << 16
 
@@ -81,27 +83,38 @@ def _pieces(fp: Column, key: Column) -> Column:
     return F.when(segment == 0, of(*SEGMENTS[0])).when(segment == 1, of(*SEGMENTS[1])).otherwise(of(*SEGMENTS[2]))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+def _link(a: Column, b: Column, key: Column) -> Column:
+    """Whether two members of a bucket are near, and the bucket is the one in which their link is looked for."""
+    differ = a.bitwiseXOR(b)
+    segment, wildcard = F.shiftright(key, 37), F.shiftright(key, 32).bitwiseAND(F.lit(31))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), wildcard.cast("int"))
+    parts = [_segment(differ, start, bits) for start, bits in SEGMENTS]
+    here = [(part == bit) | ((wildcard == 0) & (part == 0)) for part in parts]
+    far = [F.bit_count(part) > 1 for part in parts]
+    first = F.when(segment == 0, here[0]).when(segment == 1, far[0] & here[1]).otherwise(far[0] & far[1] & here[2])
+    return (F.bit_count(differ) <= MAX_BITS) & first
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """fp (distinct) to fp and component, the smallest fingerprint that links reach, for those that have a smaller one."""
     keyed = fps.select("fp", F.explode(_signatures(F.col("fp"))).alias("key"))
     own = Window.partitionBy("key")
-    members = keyed.select("key", "fp", F.min("fp").over(own).alias("first"), F.count("*").over(own).alias("n")).where("n > 1")
-    members = stored(members, "buckets")
-    stars = connected_components(members.where("fp <> first").where(_near("fp", "first")).select(F.col("fp").alias("a"), F.col("first").alias("b")))
+    sized = keyed.select("key", "fp", F.count("*").over(own).alias("n"), F.array(*(F.lag("fp", i).over(own.orderBy("fp")) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
+    near = F.filter("back", lambda x: x.isNotNull() & _link(F.col("fp"), x, F.col("key")))
+    members = stored(sized.select("key", "fp", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
+    stars = connected_components(members.select(F.col("fp").alias("a"), F.explode("near").alias("b")))
 
-    grouped = members.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("star"))
+    large = members.where(F.col("n") > BACK + 1).select("key", "fp", "n")
+    grouped = large.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("star"))
     sizes = grouped.groupBy("key", "star").agg(F.count("*").alias("of_star"))
     mixed = sizes.groupBy("key").agg(F.max_by("star", F.struct("of_star", "star")).alias("main"), F.count("*").alias("stars")).where("stars > 1")
-    mixed = grouped.join(mixed.drop("stars"), "key").withColumn("part", F.explode(F.when(F.col("n") <= HOT_BUCKET, F.array(F.lit(0).cast("long"))).otherwise(_pieces(F.col("fp"), F.col("key")))))
-    mixed = stored(mixed.select("key", "part", "fp", "star", "main"), "mixed")
+    mixed = stored(grouped.join(mixed.drop("stars"), "key"), "mixed")
+    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"))).alias("part"), "fp", "star", "main")
+    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "star", "main").union(hot)
     a = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("star").alias("a"))
     b = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("star").alias("b"), (F.col("star") == F.col("main")).alias("in_main"))
     once = (F.col("a") != F.col("b")) & (F.col("in_main") | (F.col("fp_a") < F.col("fp_b")))
-    links = a.join(b, ["key", "part"]).where(once & _near("fp_a", "fp_b")).select("a", "b").distinct()
+    links = a.join(b, ["key", "part"]).where(once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"))).select("a", "b").distinct()
     joined = connected_components(links)
 
     stars = fps.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("star"))
