@@ -140,22 +140,23 @@ def find_windows(found: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, row_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: of every document row, row, doc_id, n_words, n_hit and items (sorted as strings), and of every
     occurrence row, begin, length and window.
 
     Null and empty texts have no words and no hits. Items without words or with a null id take no part; several items of
     one text are all named. Rows with the same or a null doc_id are judged each by its own text. Without items all counts
-    are 0, without documents no rows come. Extra columns are ignored.
+    are 0, without documents no rows come. Extra columns are ignored. row_col: a column of docs with numbers of its rows.
     """
     pairs = stored(item_windows(items, id_col=item_col, text_col=item_text_col, window=window), "windows")
     windows = stored(pairs.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "window-ids")
     owners = stored(pairs.join(windows, "words").select("window", "item_id").distinct(), "owners")
     tokens = stored(_window_tokens(windows), "tokens")
     n_blocks = max(1, -(-tokens.count() // BLOCK_SHINGLES))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    if n_blocks > 1:
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    docs = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    if n_blocks > 1 and not row_col:
         docs = stored(docs, "rows")  # several passes need the same row numbers
     blocks = []
     for block in range(n_blocks):
@@ -172,6 +173,13 @@ def decontaminate(
     return rows.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), marks
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without the rows that hold a window of an item."""
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, _ = decontaminate(docs, items, row_col="_row")
+    return docs.join(rows.where("n_hit = 0").select(F.col("row").alias("_row")), "_row", "left_semi").drop("_row")
+
+
 def _digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
 

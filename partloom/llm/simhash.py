@@ -1,20 +1,22 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into three segments, fewer than the bits allowed plus one: if two fingerprints differ in at most four
-bits, they differ in at most one bit of some segment. Every segment is indexed under each of its one-wildcard variants,
+A fingerprint is cut into segments, fewer than the bits allowed plus one: three for four bits, four for seven. Two that
+differ in no more bits differ in at most one bit of some segment. Every segment is indexed under each of its one-wildcard variants,
 which such a pair shares, so an equality join finds it; the whole distance is then verified.
 
 A pair shares many variants; its link is looked for in one of them only, that of the first segment with at most one
 differing bit (and of that bit). In a bucket, members in order are compared with the ``BACK`` members before them, which is
 every pair of a bucket of up to ``BACK + 1`` members. Components over these links collapse groups of near copies, so pairs
 inside large groups are never listed: what is left to compare in larger buckets are members of different components, of
-which the largest component is taken on one side only. Buckets of more than ``HOT_BUCKET`` members are split again by five
-pieces of the other bits, of which four differing bits leave one equal. No link between fingerprints is lost on the way.
+which the largest component is taken on one side only. Buckets of more than ``HOT_BUCKET`` members are split again by pieces
+of the other bits, one more than bits may differ, so that one is equal. No link between fingerprints is lost on the way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,29 @@ from pyspark.sql import functions as F
 from partloom.llm.components import connected_components
 from partloom.llm.shared import stored
 
-SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
-PIECES = ((0, 9), (9, 9), (18, 9), (27, 8), (35, 8))  # of the 42 or 43 bits outside a segment
-MAX_BITS = 4
 BACK, HOT_BUCKET = 15, 2048
 SEED = 42
 _CHUNK = 1 << 16
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Segments (first bit, bits), one of which differs in at most one bit if all of 64 bits differ in at most max_bits."""
+
+    segments: tuple[tuple[int, int], ...]
+    max_bits: int
+
+    def pieces(self, bits: int) -> list[tuple[int, int]]:
+        """bits, cut into one piece more than bits may differ."""
+        n = self.max_bits + 1
+        return [(bits * i // n, bits * (i + 1) // n - bits * i // n) for i in range(n)]
+
+
+FOUR_BITS = Cut(((0, 22), (22, 21), (43, 21)), 4)
+SEVEN_BITS = Cut(((0, 16), (16, 16), (32, 16), (48, 16)), 7)
+LEAST_JACCARD, COPY_WORDS = 0.8, 5
+
+
 def fingerprint(text: bytes | None, words: int = 4) -> int:
     """64 bits, as a signed number, of the shingles of a whole text; 0 if it has no words."""
     parts = (text or b"").lower().split()
@@ -66,59 +83,70 @@ def _segment(fp: Column, start: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _signatures(fp: Column) -> Column:
+def _signatures(fp: Column, cut: Cut) -> Column:
     """One long for each segment and wildcard: which of them, then the segment's bits with that bit off."""
-    return F.array(*[_segment(fp, start, bits).bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((32 * s + i) << 32)) for s, (start, bits) in enumerate(SEGMENTS) for i in range(bits)])
+    return F.array(*[_segment(fp, start, bits).bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((32 * s + i) << 32)) for s, (start, bits) in enumerate(cut.segments) for i in range(bits)])
 
 
-def _pieces(fp: Column, key: Column) -> Column:
-    """For a bucket's members: the five pieces of the bits outside the bucket's segment."""
+def _by_segment(key: Column, options: list[Column]) -> Column:
+    chosen, segment = F.when(F.shiftright(key, 37) == 0, options[0]), F.shiftright(key, 37)
+    for i, option in enumerate(options[1:-1], 1):
+        chosen = chosen.when(segment == i, option)
+    return chosen.otherwise(options[-1])
+
+
+def _pieces(fp: Column, key: Column, cut: Cut) -> Column:
+    """For a bucket's members: the pieces of the bits outside the bucket's segment."""
 
     def of(start: int, bits: int) -> Column:
         low = fp.bitwiseAND(F.lit((1 << start) - 1))
         rest = low if start + bits == 64 else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, start + bits), start))
-        return F.array(*[_segment(rest, a, n).bitwiseOR(F.lit((p + 1) << 16)) for p, (a, n) in enumerate(PIECES)])
+        return F.array(*[_segment(rest, a, n).bitwiseOR(F.lit((p + 1) << 32)) for p, (a, n) in enumerate(cut.pieces(64 - bits))])
 
-    segment = F.shiftright(key, 37)
-    return F.when(segment == 0, of(*SEGMENTS[0])).when(segment == 1, of(*SEGMENTS[1])).otherwise(of(*SEGMENTS[2]))
+    return _by_segment(key, [of(*x) for x in cut.segments])
 
 
-def _link(a: Column, b: Column, key: Column) -> Column:
+def _link(a: Column, b: Column, key: Column, cut: Cut) -> Column:
     """Whether two members of a bucket are near, and the bucket is the one in which their link is looked for."""
     differ = a.bitwiseXOR(b)
-    segment, wildcard = F.shiftright(key, 37), F.shiftright(key, 32).bitwiseAND(F.lit(31))
+    wildcard = F.shiftright(key, 32).bitwiseAND(F.lit(31))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), wildcard.cast("int"))
-    parts = [_segment(differ, start, bits) for start, bits in SEGMENTS]
+    parts = [_segment(differ, start, bits) for start, bits in cut.segments]
     here = [(part == bit) | ((wildcard == 0) & (part == 0)) for part in parts]
     far = [F.bit_count(part) > 1 for part in parts]
-    first = F.when(segment == 0, here[0]).when(segment == 1, far[0] & here[1]).otherwise(far[0] & far[1] & here[2])
-    return (F.bit_count(differ) <= MAX_BITS) & first
+    return (F.bit_count(differ) <= cut.max_bits) & _by_segment(key, [reduce(Column.__and__, [*far[:i], here[i]]) for i in range(len(parts))])
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """fp (distinct) to fp and component, the smallest fingerprint that links reach, for those that have a smaller one."""
-    keyed = fps.select("fp", F.explode(_signatures(F.col("fp"))).alias("key"))
-    own = Window.partitionBy("key")
-    sized = keyed.select("key", "fp", F.count("*").over(own).alias("n"), F.array(*(F.lag("fp", i).over(own.orderBy("fp")) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
-    near = F.filter("back", lambda x: x.isNotNull() & _link(F.col("fp"), x, F.col("key")))
-    members = stored(sized.select("key", "fp", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
-    stars = connected_components(members.select(F.col("fp").alias("a"), F.explode("near").alias("b")))
+def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """fps (node, fp; nodes are distinct) to node and component, the smallest node that links reach.
 
-    large = members.where(F.col("n") > BACK + 1).select("key", "fp", "n")
-    grouped = large.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("star"))
+    verify: takes pairs (a, b, and more columns) of nodes and returns those that are to be linked; all, if not given.
+    """
+    keyed = fps.select("node", "fp", F.explode(_signatures(F.col("fp"), cut)).alias("key"))
+    own = Window.partitionBy("key")
+    order = own.orderBy("fp", "node")
+    sized = keyed.select("key", "fp", "node", F.count("*").over(own).alias("n"), F.array(*(F.lag(F.struct("fp", "node"), i).over(order) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
+    near = F.filter("back", lambda x: x.isNotNull() & _link(F.col("fp"), x.fp, F.col("key"), cut))
+    members = stored(sized.select("key", "fp", "node", "n", F.transform(near, lambda x: x.node).alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
+    links = members.select(F.col("node").alias("a"), F.explode("near").alias("b"))
+    stars = connected_components(verify(links) if verify else links)
+
+    large = members.where(F.col("n") > BACK + 1).select("key", "fp", "node", "n")
+    grouped = large.join(stars, "node", "left").select("key", "fp", "node", "n", F.coalesce("component", "node").alias("star"))
     sizes = grouped.groupBy("key", "star").agg(F.count("*").alias("of_star"))
     mixed = sizes.groupBy("key").agg(F.max_by("star", F.struct("of_star", "star")).alias("main"), F.count("*").alias("stars")).where("stars > 1")
     mixed = stored(grouped.join(mixed.drop("stars"), "key"), "mixed")
-    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"))).alias("part"), "fp", "star", "main")
-    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "star", "main").union(hot)
-    a = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("star").alias("a"))
-    b = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("star").alias("b"), (F.col("star") == F.col("main")).alias("in_main"))
-    once = (F.col("a") != F.col("b")) & (F.col("in_main") | (F.col("fp_a") < F.col("fp_b")))
-    links = a.join(b, ["key", "part"]).where(once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"))).select("a", "b").distinct()
-    joined = connected_components(links)
+    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"), cut)).alias("part"), "fp", "node", "star", "main")
+    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "node", "star", "main").union(hot)
+    left = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.col("star").alias("star_a"))
+    right = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("star").alias("star_b"), (F.col("star") == F.col("main")).alias("in_main"))
+    once = (F.col("star_a") != F.col("star_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    links = left.join(right, ["key", "part"]).where(once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"), cut)).select("a", "b", "star_a", "star_b")
+    links = verify(links.distinct()) if verify else links
+    joined = connected_components(links.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")).distinct())
 
-    stars = fps.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("star"))
-    return stars.join(joined.select(F.col("node").alias("star"), F.col("component").alias("joined")), "star", "left").select("fp", F.coalesce("joined", "star").alias("component"))
+    stars = fps.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"))
+    return stars.join(joined.select(F.col("node").alias("star"), F.col("component").alias("joined")), "star", "left").select("node", F.coalesce("joined", "star").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -130,11 +158,74 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    of_fp = stored(link_fingerprints(distinct).join(distinct, "fp"), "linked")
+    linked = link_fingerprints(distinct.select(F.col("fp").alias("node"), "fp")).withColumnRenamed("node", "fp")
+    of_fp = stored(linked.join(distinct, "fp"), "linked")
     lowest = of_fp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(of_fp.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def set_fingerprint(words: list[bytes], k: int = 2) -> int:
+    """64 bits, as a signed number, of the distinct shingles of k words."""
+    if not words:
+        return 0
+    kinds = list({b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(kinds), _CHUNK):
+        hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in kinds[i : i + _CHUNK]], dtype="<u8")
+        ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
+
+
+def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id and group of every row of docs, whose row_col is unique and stays the same however often it is read.
+
+    Texts are compared by lower-cased (A-Z) words. Equal ones are of a group; others are linked if the fingerprints of
+    their distinct word pairs differ in at most seven bits and the Jaccard similarity of their five-word shingles is
+    verified to be 0.8 or more. Texts without words are equal to each other.
+    """
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp = [], []
+            for text in batch.column(2):
+                words = (text.as_py() or b"").lower().split()
+                node.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                fp.append(set_fingerprint(words))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.int64())], ["row", "doc_id", "node", "fp"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                w = (text.as_py() or b"").lower().split()
+                kinds = {b" ".join(w[i : i + COPY_WORDS]) for i in range(max(1, len(w) - COPY_WORDS + 1))}
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in kinds], dtype="<u8").view("<i8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp long"), "nodes")
+    distinct = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row")), "distinct")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", "row")
+        sets = stored(texts.join(asked, "row").select("node", "text").mapInArrow(shingles, "node binary, shingles array<long>"), "shingles")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+        n, m, same = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
+        return both.where((F.least(n, m) >= LEAST_JACCARD * F.greatest(n, m)) & (same >= LEAST_JACCARD * (n + m - same))).select(*pairs.columns)
+
+    linked = link_fingerprints(distinct.select("node", "fp"), SEVEN_BITS, alike)
+    return rows.join(linked, "node").select("row", "doc_id", F.col("component").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of copy_groups: that of the smallest id, null last."""
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = copy_groups(docs, row_col="_row", id_col=id_col, text_col=text_col)
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    return docs.join(stay, "_row", "left_semi").drop("_row")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
