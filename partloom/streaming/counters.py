@@ -89,7 +89,7 @@ def k07(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("on_day"), "event_type")
     counts = rows.groupBy("on_day", "event_type").agg(F.count("*").alias("n"))
     kinds = counts.agg(F.collect_set("event_type").alias("kinds"))
-    every = counts.select("on_day").distinct().join(F.broadcast(kinds)).select("day", F.explode("kinds").alias("event_type"))
+    every = counts.select("on_day").distinct().join(F.broadcast(kinds)).select("on_day", F.explode("kinds").alias("event_type"))
     return every.join(counts, ["on_day", "event_type"], "left").select("on_day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
