@@ -329,7 +329,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id") ->
     The manifest has a row for each shard, so it is small enough to be sent to the tasks with the ids.
     """
     shards = manifest.select("path", "first_id", "last_id")
-    near = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct().join(F.broadcast(shards), F.col("doc_id").between(F.coalesce("first_id", "last_id"), F.col("last_id")))
+    near = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct().join(F.broadcast(shards), (F.col("first_id").isNull() | (F.col("doc_id") >= F.col("first_id"))) & (F.col("doc_id") <= F.col("last_id")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, Shard] = {}
