@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import stored
+from partloom.llm.shared import field, numbered, stored
 
 #: Bytes of words stay, A-Z become a-z, all others become blanks.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -173,11 +173,11 @@ def decontaminate(
     return rows.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), marks
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a window of an item."""
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows, _ = decontaminate(docs, items, row_col="_row")
-    return docs.join(rows.where("n_hit = 0").select(F.col("row").alias("_row")), "_row", "left_semi").drop("_row")
+    rows = numbered(docs)
+    judged, _ = decontaminate(rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text")), items, row_col="row")
+    return rows.join(judged.where("n_hit = 0").select("row"), "row", "left_semi").select("doc.*")
 
 
 def _digest(items: Column) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import stored, white_space_words
+from partloom.llm.shared import field, numbered, stored, white_space_words
 
 WEIGHTS, SHARE, EPOCHS, QUANTUM = (3, 1, 2), 1.5, 2, 128
 PART_ROWS = 20_000
@@ -86,10 +86,6 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return queue, serve(queue, math.floor(total * share), epochs)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), white_space_words(F.col(text_col)).alias("size"))
-
-
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """The documents of the mix, all columns of docs: one row for each time that a document is taken.
 
@@ -97,19 +93,20 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     size 0 and are never taken. A null source is a source of its own, last in order. Rows with equal ids are documents of
     their own. An empty table gives no rows.
     """
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = stored(docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), white_space_words(F.col(text_col)).alias("size")), "sizes")
+    docs = numbered(docs)
+    rows = stored(docs.select("row", field(id_col).cast("long").alias("doc_id"), field(source_col).alias("source"), white_space_words(field(text_col)).alias("size")), "sizes")
     queue, served = mix_rows(rows, weights, share, epochs)
-    taken = served.groupBy("row", "epoch").agg(F.sum("words").alias("_taken")).join(queue.select("row", F.col("size").alias("_size")), "row")
-    parts = F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(parts, 1, F.col("_taken").cast("int")), "")
-    mixed = docs.join(taken.withColumnRenamed("row", "_row"), "_row")
-    return mixed.select(*[F.when(F.col("_taken") < F.col("_size"), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_row"])
+    taken = served.groupBy("row", "epoch").agg(F.sum("words").alias("taken")).join(queue.select("row", "size"), "row")
+    parts = F.split(F.regexp_replace(field(text_col), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(parts, 1, F.col("taken").cast("int")), "")
+    text = F.when(F.col("taken") < F.col("size"), cut).otherwise(field(text_col))
+    return docs.join(taken, "row").select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of size 0 have target 0; ties in the shuffle key go by doc_id and size."""
-    rows = stored(numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"), "sizes")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", white_space_words(F.col("text")).alias("size")), "sizes")
     queue, served = mix_rows(rows)
     taken = served.groupBy("row").agg(F.sum("words").alias("taken"))
     return queue.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import stored
+from partloom.llm.shared import field, numbered, stored
 
 FIT_ROWS, MODEL_FEATURES, LEAST_ROWS, LEAST_RATIO, PENALTY = 20_000, 20_000, 3, 2.0, 1.0
 HEADS = ("toxic", "low")
@@ -204,11 +204,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, keep: list[Column], host: Co
     return scored.withColumn("keep", (F.col("p_toxic") <= 0.5) & (F.col("p_low") <= 0.5))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    judged = classify(rows, labels, keep=[F.col("_row")], host=F.col(host_col), path=F.col(path_col))
-    return rows.join(judged.where("keep").select("_row"), "_row", "left_semi").drop("_row")
+    rows = numbered(docs)
+    flat = rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text"), field(host_col).alias("host"), field(path_col).alias("path"))
+    judged = classify(flat, labels, keep=[F.col("row")], host=F.col("host"), path=F.col("path"))
+    return rows.join(judged.where("keep").select("row"), "row", "left_semi").select("doc.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, a number that stays the same however often it is read, and doc, with all columns of docs, whatever their names."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+
+
+def field(name: str) -> Column:
+    return F.col("doc").getField(name)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """For tasks that write or read files of their own format: local, HDFS or object store by the path's scheme."""
     return pafs.FileSystem.from_uri(path)

@@ -115,7 +115,7 @@ class _Range:
 
 def _inflated(data: _Range, at: int) -> tuple[bytes, int] | None:
     """A member's content and the place behind it, or None if no whole record begins there."""
-    unpack, parts, size, place = zlib.decompressobj(31), [], 0, at
+    unpack, parts, begun, place = zlib.decompressobj(31), [], False, at
     try:
         while not unpack.eof:
             raw = data.bytes_from(place, _STEP)
@@ -123,9 +123,9 @@ def _inflated(data: _Range, at: int) -> tuple[bytes, int] | None:
                 return None
             place += len(raw)
             parts.append(unpack.decompress(raw))
-            size += len(parts[-1])
-            if sum(map(len, parts[:2])) >= 5 and not b"".join(parts[:2]).startswith(b"WARC/"):
+            if not begun and (head := b"".join(parts))[:5] != b"WARC/"[: len(head)]:
                 return None
+            begun = begun or len(parts[0]) >= 5
     except zlib.error:
         return None
     content = b"".join(parts)
