@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.llm.components import connected_components
-from partloom.llm.shared import stored
+from partloom.llm.shared import field, numbered, stored
 
 BACK, HOT_BUCKET = 15, 2048
 SEED = 42
@@ -47,7 +47,7 @@ class Cut:
 
 FOUR_BITS = Cut(((0, 22), (22, 21), (43, 21)), 4)
 SEVEN_BITS = Cut(((0, 16), (16, 16), (32, 16), (48, 16)), 7)
-LEAST_JACCARD, COPY_WORDS = 0.8, 5
+COPY_WORDS, MARK_WORDS = 5, 16  # words of a shingle; longs of a bit map of a text's shingles
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -117,10 +117,12 @@ def _link(a: Column, b: Column, key: Column, cut: Cut) -> Column:
     return (F.bit_count(differ) <= cut.max_bits) & _by_segment(key, [reduce(Column.__and__, [*far[:i], here[i]]) for i in range(len(parts))])
 
 
-def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """fps (node, fp; nodes are distinct) to node and component, the smallest node that links reach.
 
     verify: takes pairs (a, b, and more columns) of nodes and returns those that are to be linked; all, if not given.
+    marks (node, mark) and may: a condition on two marks that holds for every pair that verify returns; it keeps pairs of
+    large buckets from being made only to be refused.
     """
     keyed = fps.select("node", "fp", F.explode(_signatures(F.col("fp"), cut)).alias("key"))
     own = Window.partitionBy("key")
@@ -135,13 +137,16 @@ def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[Da
     grouped = large.join(stars, "node", "left").select("key", "fp", "node", "n", F.coalesce("component", "node").alias("star"))
     sizes = grouped.groupBy("key", "star").agg(F.count("*").alias("of_star"))
     mixed = sizes.groupBy("key").agg(F.max_by("star", F.struct("of_star", "star")).alias("main"), F.count("*").alias("stars")).where("stars > 1")
-    mixed = stored(grouped.join(mixed.drop("stars"), "key"), "mixed")
-    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"), cut)).alias("part"), "fp", "node", "star", "main")
-    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "node", "star", "main").union(hot)
-    left = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.col("star").alias("star_a"))
-    right = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("star").alias("star_b"), (F.col("star") == F.col("main")).alias("in_main"))
+    mixed = grouped.join(mixed.drop("stars"), "key")
+    mixed = stored(mixed.join(marks, "node") if marks is not None else mixed.withColumn("mark", F.lit(0)), "mixed")
+    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"), cut)).alias("part"), "fp", "node", "star", "main", "mark")
+    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "node", "star", "main", "mark").union(hot)
+    left = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.col("star").alias("star_a"), F.col("mark").alias("mark_a"))
+    right = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("star").alias("star_b"), F.col("mark").alias("mark_b"), (F.col("star") == F.col("main")).alias("in_main"))
     once = (F.col("star_a") != F.col("star_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    links = left.join(right, ["key", "part"]).where(once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"), cut)).select("a", "b", "star_a", "star_b")
+    near = once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"), cut)
+    near = near & may(F.col("mark_a"), F.col("mark_b")) if may else near  # the dearest condition last
+    links = left.join(right, ["key", "part"]).where(near).select("a", "b", "star_a", "star_b")
     links = verify(links.distinct()) if verify else links
     joined = connected_components(links.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")).distinct())
 
@@ -176,6 +181,23 @@ def set_fingerprint(words: list[bytes], k: int = 2) -> int:
     return int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Distinct shingles of five words, or of all if there are fewer, sorted."""
+    kinds = {b" ".join(words[i : i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in kinds], dtype="<u8").view("<i8"))
+
+
+def _alike(n: Column, m: Column, same: Column) -> Column:
+    """Jaccard similarity of 4/5 or more, of the sizes of two sets and of what they share."""
+    return 9 * same >= 4 * (n + m)
+
+
+def may_be_alike(a: Column, b: Column) -> Column:
+    """A bit that only one map has set stands for a shingle at least that only one text has, which bounds what they share."""
+    only = lambda x, y: sum((F.bit_count(F.get(x.bits, i).bitwiseAND(F.bitwise_not(F.get(y.bits, i)))) for i in range(MARK_WORDS)), F.lit(0))
+    return _alike(a.n, b.n, F.least(a.n - only(a, b), b.n - only(b, a)))
+
+
 def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id and group of every row of docs, whose row_col is unique and stays the same however often it is read.
 
@@ -186,44 +208,44 @@ def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_c
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = [], []
+            node, fp, mark = [], [], []
             for text in batch.column(2):
                 words = (text.as_py() or b"").lower().split()
                 node.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fp.append(set_fingerprint(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.int64())], ["row", "doc_id", "node", "fp"])
+                hashes = shingle_hashes(words)
+                bits = np.zeros(64 * MARK_WORDS, dtype=bool)
+                bits[hashes.view(np.uint64) % np.uint64(64 * MARK_WORDS)] = True
+                mark.append({"n": len(hashes), "bits": np.packbits(bits, bitorder="little").view("<i8")})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.int64()), pa.array(mark, kind)], ["row", "doc_id", "node", "fp", "mark"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in batch.column(1):
-                w = (text.as_py() or b"").lower().split()
-                kinds = {b" ".join(w[i : i + COPY_WORDS]) for i in range(max(1, len(w) - COPY_WORDS + 1))}
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(x) for x in kinds], dtype="<u8").view("<i8")))
+            sets = [shingle_hashes((text.as_py() or b"").lower().split()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
+    kind = pa.struct([("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
     texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp long"), "nodes")
-    distinct = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row")), "distinct")
+    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp long, mark struct<n long, bits array<long>>"), "nodes")
+    distinct = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("mark").alias("mark")), "distinct")
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", "row")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct, "node").select("node", "row")
         sets = stored(texts.join(asked, "row").select("node", "text").mapInArrow(shingles, "node binary, shingles array<long>"), "shingles")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        n, m, same = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
-        return both.where((F.least(n, m) >= LEAST_JACCARD * F.greatest(n, m)) & (same >= LEAST_JACCARD * (n + m - same))).select(*pairs.columns)
+        return both.where(_alike(F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b")))).select(*pairs.columns)
 
-    linked = link_fingerprints(distinct.select("node", "fp"), SEVEN_BITS, alike)
-    return rows.join(linked, "node").select("row", "doc_id", F.col("component").alias("group"))
+    linked = link_fingerprints(distinct.select("node", "fp"), SEVEN_BITS, alike, distinct.select("node", "mark"), may_be_alike)
+    return rows.select("row", "doc_id", "node").join(linked, "node").select("row", "doc_id", F.col("component").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of copy_groups: that of the smallest id, null last."""
-    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = copy_groups(docs, row_col="_row", id_col=id_col, text_col=text_col)
-    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.join(stay, "_row", "left_semi").drop("_row")
+    rows = numbered(docs)
+    groups = copy_groups(rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text")), row_col="row")
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stay, "row", "left_semi").select("doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
