@@ -36,7 +36,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
