@@ -48,6 +48,7 @@ class Cut:
 FOUR_BITS = Cut(((0, 22), (22, 21), (43, 21)), 4)
 SEVEN_BITS = Cut(((0, 16), (16, 16), (32, 16), (48, 16)), 7)
 COPY_WORDS, MARK_WORDS = 5, 16  # words of a shingle; longs of a bit map of a text's shingles
+COPY_PRINTS = ((2, SEED), (1, SEED + 1), (1, SEED + 2))  # words of a shingle and seed of each fingerprint of a text
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -117,21 +118,31 @@ def _link(a: Column, b: Column, key: Column, cut: Cut) -> Column:
     return (F.bit_count(differ) <= cut.max_bits) & _by_segment(key, [reduce(Column.__and__, [*far[:i], here[i]]) for i in range(len(parts))])
 
 
-def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None, may: Callable[[Column, Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """fps (node, fp; nodes are distinct) to node and component, the smallest node that links reach.
 
     verify: takes pairs (a, b, and more columns) of nodes and returns those that are to be linked; all, if not given.
     marks (node, mark) and may: a condition on two marks that holds for every pair that verify returns; it keeps pairs of
     large buckets from being made only to be refused.
+    known (node, component; every node): what other links reach already; pairs inside a component aren't looked for.
     """
-    keyed = fps.select("node", "fp", F.explode(_signatures(F.col("fp"), cut)).alias("key"))
+    held = ["node"] if known is None else ["node", "star"]
+    if known is not None:
+        fps = fps.join(known.withColumnRenamed("component", "star"), "node")
+    keyed = fps.select(*held, "fp", F.explode(_signatures(F.col("fp"), cut)).alias("key"))
     own = Window.partitionBy("key")
     order = own.orderBy("fp", "node")
-    sized = keyed.select("key", "fp", "node", F.count("*").over(own).alias("n"), F.array(*(F.lag(F.struct("fp", "node"), i).over(order) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
-    near = F.filter("back", lambda x: x.isNotNull() & _link(F.col("fp"), x.fp, F.col("key"), cut))
-    members = stored(sized.select("key", "fp", "node", "n", F.transform(near, lambda x: x.node).alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
-    links = members.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-    stars = connected_components(verify(links) if verify else links)
+    sized = keyed.select("key", "fp", *held, F.count("*").over(own).alias("n"), F.array(*(F.lag(F.struct("fp", *held), i).over(order) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
+    near = F.filter("back", lambda x: reduce(Column.__and__, [x.isNotNull(), *(x[c] != F.col(c) for c in held[1:]), _link(F.col("fp"), x.fp, F.col("key"), cut)]))
+    members = stored(sized.select("key", "fp", *held, "n", F.transform(near, lambda x: x.node if known is None else F.struct(x.node.alias("b"), x.star.alias("star_b"))).alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
+    if known is None:
+        links = members.select(F.col("node").alias("a"), F.explode("near").alias("b"))
+        stars = connected_components(verify(links) if verify else links)
+    else:
+        links = members.select(F.col("node").alias("a"), F.col("star").alias("star_a"), F.explode("near").alias("near")).select("a", "star_a", "near.*")
+        merged = connected_components((verify(links) if verify else links).select(F.col("star_a").alias("a"), F.col("star_b").alias("b")))
+        merged = known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left")
+        stars = stored(merged.select("node", F.coalesce("lower", "component").alias("component")), "stars")
 
     large = members.where(F.col("n") > BACK + 1).select("key", "fp", "node", "n")
     grouped = large.join(stars, "node", "left").select("key", "fp", "node", "n", F.coalesce("component", "node").alias("star"))
@@ -169,14 +180,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of_fp.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def set_fingerprint(words: list[bytes], k: int = 2) -> int:
+def set_fingerprint(words: list[bytes], k: int = 2, seed: int = SEED) -> int:
     """64 bits, as a signed number, of the distinct shingles of k words."""
     if not words:
         return 0
     kinds = list({b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(kinds), _CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in kinds[i : i + _CHUNK]], dtype="<u8")
+        hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in kinds[i : i + _CHUNK]], dtype="<u8")
         ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
 
@@ -201,9 +212,9 @@ def may_be_alike(a: Column, b: Column) -> Column:
 def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id and group of every row of docs, whose row_col is unique and stays the same however often it is read.
 
-    Texts are compared by lower-cased (A-Z) words. Equal ones are of a group; others are linked if the fingerprints of
-    their distinct word pairs differ in at most seven bits and the Jaccard similarity of their five-word shingles is
-    verified to be 0.8 or more. Texts without words are equal to each other.
+    Texts are compared by lower-cased (A-Z) words. Equal ones are of a group; others are linked if one of their
+    ``COPY_PRINTS``, of distinct word pairs or words, differs in at most seven bits and the Jaccard similarity of their
+    five-word shingles is verified to be 0.8 or more. Texts without words are equal to each other.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +223,12 @@ def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_c
             for text in batch.column(2):
                 words = (text.as_py() or b"").lower().split()
                 node.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                fp.append(set_fingerprint(words))
+                fp.append([set_fingerprint(words, k, seed) for k, seed in COPY_PRINTS])
                 hashes = shingle_hashes(words)
                 bits = np.zeros(64 * MARK_WORDS, dtype=bool)
                 bits[hashes.view(np.uint64) % np.uint64(64 * MARK_WORDS)] = True
                 mark.append({"n": len(hashes), "bits": np.packbits(bits, bitorder="little").view("<i8")})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.int64()), pa.array(mark, kind)], ["row", "doc_id", "node", "fp", "mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.list_(pa.int64())), pa.array(mark, kind)], ["row", "doc_id", "node", "fp", "mark"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +237,7 @@ def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_c
 
     kind = pa.struct([("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
     texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp long, mark struct<n long, bits array<long>>"), "nodes")
+    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp array<long>, mark struct<n long, bits array<long>>"), "nodes")
     distinct = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("mark").alias("mark")), "distinct")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -236,7 +247,10 @@ def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_c
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
         return both.where(_alike(F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b")))).select(*pairs.columns)
 
-    linked = link_fingerprints(distinct.select("node", "fp"), SEVEN_BITS, alike, distinct.select("node", "mark"), may_be_alike)
+    linked = None
+    for i in range(len(COPY_PRINTS)):
+        found = link_fingerprints(distinct.select("node", F.col("fp")[i].alias("fp")), SEVEN_BITS, alike, distinct.select("node", "mark"), may_be_alike, linked)
+        linked = stored(found, "linked")
     return rows.select("row", "doc_id", "node").join(linked, "node").select("row", "doc_id", F.col("component").alias("group"))
 
 

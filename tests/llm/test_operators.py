@@ -161,6 +161,26 @@ def test_links_in_large_groups(spark, monkeypatch, back, hot, cut):
     assert len(pairs) == len(set(want)) == len({c for _, c in pairs})
 
 
+def test_near_copies_beyond_seven_bits_of_one_fingerprint(spark):
+    from partloom.llm import simhash
+
+    rng, texts = random.Random(5), []
+    for _ in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(10, 290), 6):
+            other[at] = f"x{rng.randrange(3000)}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [brute.shingles(t) for t in texts]
+    alike = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(alike) > 100
+    differ = lambda i: bin((simhash.set_fingerprint(texts[i].encode().split()) ^ simhash.set_fingerprint(texts[i + 1].encode().split())) & (1 << 64) - 1).count("1")
+    assert sum(differ(i) > 7 for i in alike) > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.row: r.group for r in simhash.copy_groups(docs.withColumn("row", F.col("doc_id")), row_col="row").collect()}
+    assert all(group[i] == group[i + 1] for i in alike) and len({bytes(g) for g in group.values()}) == len(texts) - len(alike)
+
+
 def test_tool_calls(spark):
     from partloom.llm import toolcalls
 
