@@ -49,16 +49,31 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(quoted, r"""^["']|["']$""", ""), "&amp;", "&")
 
 
+def _resolved(url: Column, to: Column) -> Column:
+    """Path, query and fragment of a target without scheme and host, by RFC 3986: behind the page's path up to its last /,
+    without . and .. segments; a query alone goes behind the whole path, a fragment alone behind the page's query too."""
+    page = F.when(url_path(url) == "", "/").otherwise(url_path(url))
+    path, tail = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*(?s:(.*))$", 1)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(page, r"^(?s:.*)/", 0), path))
+    parts = F.split(F.substr(full, F.lit(2)), "/")
+    up = lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), up)
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    query = F.regexp_extract(_behind_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(path != "", F.concat(plain, tail)).when(to.startswith("#"), F.concat(page, query, to)).otherwise(F.concat(page, to))
+
+
 def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """a, b: urls of pages and the targets of their canonical links and refresh redirects; targets without a scheme are
-    taken from the page's host."""
+    resolved against the page's url."""
     tags = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_TAG), 0)).alias("tag"))
     canonical = F.lower(_attribute(F.col("tag"), "rel")) == "canonical"
     refresh = F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"
     to = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
     links = stored(tags.select("url", F.trim(to).alias("to")).where("to <> ''"), "targets")  # ends one expression, which would be too long to compile
     scheme, host = F.substring_index("url", "://", 1), url_host(F.col("url"))
-    full = F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host, "to"))
+    full = F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to")).when(~F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(scheme, F.lit("://"), host, _resolved(F.col("url"), F.col("to"))))
     links = stored(links.select("url", full.alias("full")), "links")
     return links.select(node_of(F.col("url")).alias("a"), node_of(F.col("full")).alias("b"))
 

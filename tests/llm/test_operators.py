@@ -106,6 +106,21 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    from partloom.llm import urlfilter
+
+    bases = ["http://a.net/es/sub/p?q=1", "http://a.net", "http://a.net/es/"]
+    targets = ["article.html", "./x", "../x", "../../../x", "..", ".", "x/../y/./z", "?id=1", "#top", "x?u=a/../b", "/r/../s", "//b.org/x", "http://c.org/y"]
+    made = [(i, b, f'<link rel="canonical" href="{t}">') for i, (b, t) in enumerate((b, t) for b in bases for t in targets)]
+    got = rows(urlfilter.page_links(spark.createDataFrame(made, "page_id long, url string, html string")), "a", "b")
+    node = lambda u: u.partition("#")[0] if u.count("/") > 2 else u.partition("#")[0] + "/"
+    assert got == sorted([(node(b), node(urljoin(b if b.count("/") > 2 else b + "/", t))) for b in bases for t in targets], key=repr)
+    none = spark.createDataFrame([(1, "http://a.net/x", '<link rel="canonical" href="mailto:a@b">')], "page_id long, url string, html string")
+    assert rows(urlfilter.page_links(none), "b") == [(None,)]
+
+
 def test_top_k(spark):
     from partloom.llm import topk
 
