@@ -30,7 +30,6 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 8 << 20
 _STEP = 1 << 16
-_HEADERS_AT_MOST = 1 << 20
 
 
 def record_id(page_id: int | None) -> str:
@@ -135,7 +134,7 @@ def _inflated(data: _Range, at: int) -> tuple[bytes, int] | None:
 def parsed(content: bytes) -> tuple[dict[str, str], bytes] | None:
     """Headers (names in lower case) and block of a record; None if the block isn't as long as it says."""
     head, gap, rest = content.partition(b"\r\n\r\n")
-    if not gap or len(head) > _HEADERS_AT_MOST:
+    if not gap:
         return None
     headers = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:

@@ -81,6 +81,14 @@ def test_warc(spark, tmp_path):
     assert [warc.page_of(h["warc-record-id"]) for _, h, _ in warc.records(str(path), 0, 10**9)] == [0, 2]
 
 
+def test_warc_with_long_headers(spark):
+    from partloom.llm import warc
+
+    url = "http://a/" + "x" * (1 << 20)
+    pages = spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id long, url string, html string")
+    assert {r.target_uri for r in warc.read_warc(warc.write_warc(pages)).collect()} == {url, "u"}
+
+
 def test_licenses(spark, edge, empty):
     from partloom.llm import license as scan
 
