@@ -168,7 +168,7 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = F.col("text").contains("\n")
     after = F.struct(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")).alias("$ref"))
     after = F.when(F.col("turn") > 2, after)
-    short = F.to_json(F.struct(F.substring("text", 1, 20).alias("opening"), white_space_words(F.col("text")).alias("length"), after.alias("after")))
+    short = F.to_json(F.struct(F.col("text").alias("opening"), white_space_words(F.col("text")).alias("length"), after.alias("after")))
     long = F.to_json(F.struct(after.alias("after"), F.split("text", "\n").alias("lines")))
     named: Column = F.concat(F.lit("c"), F.col("turn").cast("string"))
     calls = said.select("conv_id", "turn", F.lit(0).alias("nth"), named.alias("call_id"), F.when(many, "lines").otherwise("reply").alias("name"), F.when(many, long).otherwise(short).alias("arguments"))
@@ -176,5 +176,15 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """Turns that are neither a call nor a result, with the status ``turn`` and their role and text as record."""
+    taken = F.coalesce((F.col("role") == "assistant") | ((F.col("role") == "user") & (F.col("turn") > 0)), F.lit(False))
+    text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.expr(f"substring(to_json(struct({c} as x)), 6, length(to_json(struct({c} as x))) - 6)"))
+    record = F.concat(F.lit('{"content":'), text("text"), F.lit(',"role":'), text("role"), F.lit("}"))
+    return turns.where(~taken).select("conv_id", F.lit("turn").alias("status"), "turn", F.col("turn").alias("place"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"), F.array().cast("array<string>").alias("errors"), record.alias("record"))
+
+
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_calls(*conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    linked = link_calls(*conversation_calls(turns), TOOLS)
+    return linked.unionByName(other_turns(turns), allowMissingColumns=True)

@@ -220,6 +220,19 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(c.limit(0), r.limit(0), toolcalls.TOOLS).count() == 0
 
 
+def test_conversation_calls_hold_whole_texts(spark):
+    import json
+
+    from partloom.llm import toolcalls
+
+    text = "a single line of more than twenty characters " * 30
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    calls, _ = toolcalls.conversation_calls(turns)
+    assert json.loads(calls.first().arguments)["opening"] == text
+    first = spark.createDataFrame([(1, 0, "system", 's"'), (2, 0, "user", None), (2, 1, "assistant", "a"), (2, 2, "user", "b"), (3, 0, None, "c")], turns.schema)
+    assert rows(toolcalls.other_turns(first), "conv_id", "turn", "record") == [(1, 0, '{"content":"s\\"","role":"system"}'), (2, 0, '{"content":null,"role":"user"}'), (3, 0, '{"content":"c","role":null}')]
+
+
 def test_mixing(spark, small, edge, empty):
     from partloom.llm import mixing
 
