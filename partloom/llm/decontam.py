@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import field, numbered, stored
+from partloom.llm.shared import bounded, field, kind_of, numbered, stored, without
 
 #: Bytes of words stay, A-Z become a-z, all others become blanks.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -119,7 +119,7 @@ def stretches(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                 hits.append(of(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, found)], ["row", "doc_id", "n_words", "found"])
 
-    made = docs.mapInArrow(run, "row long, doc_id long, n_words long, found array<struct<k int, begin int, words array<binary>, keys array<long>>>")
+    made = docs.mapInArrow(run, f"row {kind_of(docs, 'row')}, doc_id long, n_words long, found array<struct<k int, begin int, words array<binary>, keys array<long>>>")
     return stored(made, "stretches")
 
 
@@ -133,7 +133,7 @@ def find_windows(found: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
     # only the words that a window over this shingle can reach travel with it
     low = F.greatest(F.col("at") - (window - F.col("k")), F.lit(0))
     near = shingles.select("row", "begin", "at", "key", low.alias("low"), F.size("words").alias("n"), F.slice("words", low + 1, F.lit(2 * window)).alias("context"))
-    near = near.join(prefix, "key").withColumn("from", F.col("at") - F.col("offset"))
+    near = near.join(bounded(stored(prefix, "prefix")), "key").withColumn("from", F.col("at") - F.col("offset"))
     inside = (F.col("from") >= 0) & (F.col("from") + F.col("length") <= F.col("n"))
     same = F.slice("context", F.greatest(F.col("from") - F.col("low"), F.lit(0)) + 1, F.col("length")) == F.col("window_words")
     return near.where(inside & same).select("row", (F.col("begin") + F.col("from")).alias("begin"), "length", "window").distinct()
@@ -147,7 +147,7 @@ def decontaminate(
 
     Null and empty texts have no words and no hits. Items without words or with a null id take no part; several items of
     one text are all named. Rows with the same or a null doc_id are judged each by its own text. Without items all counts
-    are 0, without documents no rows come. Extra columns are ignored. row_col: a column of docs with numbers of its rows.
+    are 0, without documents no rows come. Extra columns are ignored. row_col: a column of docs that tells its rows apart.
     """
     pairs = stored(item_windows(items, id_col=item_col, text_col=item_text_col, window=window), "windows")
     windows = stored(pairs.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "window-ids")
@@ -155,7 +155,7 @@ def decontaminate(
     tokens = stored(_window_tokens(windows), "tokens")
     n_blocks = max(1, -(-tokens.count() // BLOCK_SHINGLES))
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    docs = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     if n_blocks > 1 and not row_col:
         docs = stored(docs, "rows")  # several passes need the same row numbers
     blocks = []
@@ -173,11 +173,11 @@ def decontaminate(
     return rows.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), marks
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of an item."""
-    rows = numbered(docs)
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """docs without the rows that hold a window of an item. row: see ``numbered``."""
+    rows = numbered(docs, row)
     judged, _ = decontaminate(rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text")), items, row_col="row")
-    return rows.join(judged.where("n_hit = 0").select("row"), "row", "left_semi").select("doc.*")
+    return without(rows, judged.where("n_hit > 0")).select("doc.*")
 
 
 def _digest(items: Column) -> Column:

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in shuffled order (by md5 of the id, so reruns agree), passed through up to
-``epochs`` times. Queues are served in quanta of at most ``QUANTUM`` words, so that a long document doesn't hold up its
-source's share. A quantum's virtual finish time is the words of its source up to its end divided by the source's target;
-all quanta are sorted by it over ranges, and the order is cut where the total budget is reached.
+``epochs`` times. A document's virtual finish time is the words of its source up to its end divided by the source's target;
+all documents are sorted by it over ranges, and the order is cut where the total budget is reached. Virtual time ends at 1,
+when every source has its target; what is being served then, one document of each source, is cut there.
 
 Running sums never take a whole source into one task: a source's documents are split by leading digits of the shuffle
-key, sums of these parts give each part its offset, and only documents of one part are summed in order. The order of
-quanta is summed in the same way, range by range.
+key, sums of these parts give each part its offset, and only documents of one part are summed in order. The order of all
+documents is summed in the same way, range by range.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import field, numbered, stored, white_space_words
+from partloom.llm.shared import bounded, field, numbered, stored, white_space_words
 
-WEIGHTS, SHARE, EPOCHS, QUANTUM = (3, 1, 2), 1.5, 2, 128
-PART_ROWS = 20_000
+WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
+PART_ROWS = 4_000
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -45,15 +45,16 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     return sizes.select("source", "source_rank", "source_size", F.least(F.coalesce(level * F.col("weight"), F.col("most").cast("double")), F.col("most").cast("double")).alias("target"))
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def shuffle_key(doc_id: Column, row: Column) -> Column:
+    """Documents without an id are told apart by their rows."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("row "), row.cast("string")))))
 
 
 def queued(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows with source_rank, target, source_size and before: words of the source that come before the document."""
     n = rows.count()
     digits = max(0, math.ceil(math.log(max(1, n / PART_ROWS), 16)))
-    keyed = rows.join(targets, rows.source.eqNullSafe(targets.source)).select("row", "doc_id", "size", "source_rank", "source_size", "target", shuffle_key(F.col("doc_id")).alias("key"))
+    keyed = rows.join(bounded(targets), rows.source.eqNullSafe(targets.source)).select("row", "doc_id", "size", "source_rank", "source_size", "target", shuffle_key(F.col("doc_id"), F.col("row")).alias("key"))
     keyed = keyed.withColumn("part", F.substring("key", 1, digits))
     sums = keyed.groupBy("source_rank", "part").agg(F.sum("size").alias("part_size"))
     sums = sums.select("source_rank", "part", F.coalesce(F.sum("part_size").over(Window.partitionBy("source_rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
@@ -63,19 +64,18 @@ def queued(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def serve(queue: DataFrame, budget: int, epochs: int = EPOCHS) -> DataFrame:
-    """The mix, in order: at (words of the mix before it), row, epoch, nth (quantum of the document) and words."""
-    quanta = queue.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    quanta = quanta.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / QUANTUM).cast("int"))).alias("nth"))
-    words = F.least(F.lit(QUANTUM).cast("long"), F.col("size") - F.col("nth") * QUANTUM)
-    finish = (F.col("epoch") * F.col("source_size") + F.col("before") + F.col("nth") * QUANTUM + words) / F.col("target")
-    order = ["finish", "source_rank", "doc_id", "size", "row", "epoch", "nth"]
-    quanta = quanta.select(finish.alias("finish"), "source_rank", "doc_id", "size", "row", "epoch", "nth", words.alias("words"))
-    dealt = stored(quanta.repartitionByRange("finish", "source_rank").sortWithinPartitions(*order).withColumn("span", F.spark_partition_id()), "quanta")
+    """The mix, in order: at (words of the mix before it), row, epoch and words."""
+    passes = queue.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    begins = F.col("epoch") * F.col("source_size") + F.col("before")
+    words = F.least(F.col("size"), F.ceil(F.col("target") - begins)).cast("long")
+    order = ["finish", "source_rank", "doc_id", "size", "row", "epoch"]
+    passes = passes.select(((begins + F.col("size")) / F.col("target")).alias("finish"), "source_rank", "doc_id", "size", "row", "epoch", words.alias("words")).where("words > 0")
+    dealt = stored(passes.repartitionByRange("finish", "source_rank").sortWithinPartitions(*order).withColumn("span", F.spark_partition_id()), "order")
     spans = dealt.groupBy("span").agg(F.sum("words").alias("n"))
     spans = spans.select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # one row for each range
     own = Window.partitionBy("span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("words").over(own), F.lit(0))).join(spans, "span").withColumn("at", F.col("offset") + F.col("inside"))
-    return placed.where(F.col("at") < budget).select("at", "row", "epoch", "nth", F.least("words", F.lit(budget) - F.col("at")).alias("words"))
+    return placed.where(F.col("at") < budget).select("at", "row", "epoch", F.least("words", F.lit(budget) - F.col("at")).alias("words"))
 
 
 def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
@@ -86,17 +86,17 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return queue, serve(queue, math.floor(total * share), epochs)
 
 
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix, all columns of docs: one row for each time that a document is taken.
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, row: Column | None = None) -> DataFrame:
+    """The documents of the mix, all columns of docs: one row for each time that a document is taken. row: see ``numbered``.
 
     A document that the budget cuts keeps its first words, with the white space between them. Null and empty texts have
     size 0 and are never taken. A null source is a source of its own, last in order. Rows with equal ids are documents of
     their own. An empty table gives no rows.
     """
-    docs = numbered(docs)
+    docs = numbered(docs, row)
     rows = stored(docs.select("row", field(id_col).cast("long").alias("doc_id"), field(source_col).alias("source"), white_space_words(field(text_col)).alias("size")), "sizes")
     queue, served = mix_rows(rows, weights, share, epochs)
-    taken = served.groupBy("row", "epoch").agg(F.sum("words").alias("taken")).join(queue.select("row", "size"), "row")
+    taken = stored(served.join(queue.select("row", "size"), "row").select("row", F.col("words").alias("taken"), "size"), "taken")
     parts = F.split(F.regexp_replace(field(text_col), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = F.array_join(F.slice(parts, 1, F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") < F.col("size"), cut).otherwise(field(text_col))

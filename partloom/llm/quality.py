@@ -3,15 +3,15 @@
 Evidence: a logistic regression on words, their first four and five bytes, and bins of how a text is written (capitals,
 symbols, repetition and so on). It is fitted on at most ``FIT_ROWS`` labelled rows, taken in order of a hash of their id.
 Of all features those take part that are in ``LEAST_ROWS`` rows and differ between the classes by ``LEAST_RATIO`` in log
-odds, at most ``MODEL_FEATURES`` of them.
+odds.
 
 Sites: documents are grouped by host and, below it, by path. The rate of bad documents of a host is the mean of a beta
 distribution whose prior is the rate over all documents, that of a path has its host's rate for prior. How strong the
 priors are is estimated from how much the groups' rates differ (method of moments), so sparse sites stay near their
 parents. A document's log odds are its evidence plus what its path's rate adds to the rate over all.
 
-All sums over documents are grouped aggregates with partial sums; only the model, of at most ``MODEL_FEATURES`` features,
-and a few totals go through the driver.
+All sums over documents are grouped aggregates with partial sums; only the fit rows' features, bounded by ``FIT_ROWS``, the
+model and a few totals go through the driver.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm.shared import field, numbered, stored
+from partloom.llm.shared import bounded, field, numbered, stored, without
 
-FIT_ROWS, MODEL_FEATURES, LEAST_ROWS, LEAST_RATIO, PENALTY = 20_000, 20_000, 3, 2.0, 1.0
+FIT_ROWS, LEAST_ROWS, LEAST_RATIO, PENALTY = 20_000, 3, 2.0, 1.0
 HEADS = ("toxic", "low")
 _LETTERS = bytes(b for b in range(256) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 _UPPER, _DIGITS, _SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"#$%&*@^~=<>{}[]\\_+"
@@ -63,7 +63,7 @@ def features(text: bytes | None) -> tuple[set[bytes], list[str]]:
 
 
 def _all_features(kinds: set[bytes], bins: list[str]) -> set[str]:
-    return {f"w:{w.decode('latin-1')}" for w in kinds if len(w) <= 40} | {f"{k}:{w[:k].decode('latin-1')}" for w in kinds for k in (4, 5) if len(w) > k} | set(bins)
+    return {f"w:{w.decode('latin-1')}" for w in kinds} | {f"{k}:{w[:k].decode('latin-1')}" for w in kinds for k in (4, 5) if len(w) > k} | set(bins)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> tuple[dict[str, tuple[float, float]], tuple[float, float]]:
@@ -98,8 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_r
         return F.abs(F.log((bad + 0.5) / (total[head] + 1.0)) - F.log((good + 0.5) / (total["n"] - total[head] + 1.0)))
 
     strength = F.greatest(*map(ratio, HEADS))
-    strong = counts.where((F.col("feature") != "") & (F.col("n") >= LEAST_ROWS) & ((strength >= LEAST_RATIO) | F.col("feature").contains("="))).orderBy(F.desc(F.sqrt("n") * strength), "feature").limit(MODEL_FEATURES)
-    names = [r.feature for r in strong.select("feature").collect()]
+    strong = counts.where((F.col("feature") != "") & (F.col("n") >= LEAST_ROWS) & ((strength >= LEAST_RATIO) | F.col("feature").contains("=")))
+    names = sorted(r.feature for r in strong.select("feature").collect())
     at = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,10 @@ def _strength(groups: DataFrame, rate: str, n: str, parent: str) -> float:
     return max(1.0, (row.whole - row.between) / (row.between - row.chance)) if row.whole > row.between else 1.0
 
 
-def site_rates(scored: DataFrame, head: str) -> DataFrame:
-    """host, path and shift: what a path's rate adds to the log odds over all documents."""
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_rate(F.col(head))).alias("bad")), "paths")
+def site_rates(paths: DataFrame, head: str) -> DataFrame:
+    """paths (host, path, n, and a head's sum of probabilities) to host, path and shift: what a path's rate adds to the log
+    odds over all documents."""
+    paths = paths.select("host", "path", "n", F.col(head).alias("bad"))
     n, bad = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     overall = (bad + 0.5) / (n + 1.0)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("bad").alias("bad_host")).withColumn("parent", F.lit(overall)).withColumn("raw", F.col("bad_host") / F.col("n_host"))
@@ -190,26 +191,30 @@ def site_rates(scored: DataFrame, head: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, *, keep: list[Column], host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The columns keep, host, path, the probabilities p_toxic and p_low (low quality), and keep: neither is over a half.
 
-    Null and empty texts have no features but their style's. Documents without a host or path share the null site.
-    Repeated rows are judged alike. An empty table gives no rows.
+    Whole texts count, however long. Null and empty texts have no features but their style's. Documents without a host or
+    path share the null site. Repeated rows are judged alike. Labels of one class only, or none, give no feature weight
+    that tells classes apart; without labels nothing is rejected. An empty table gives no rows.
     """
     model, base = fit(docs, labels, id_col=id_col, text_col=text_col, fit_rows=fit_rows)
     scored = stored(evidence(docs, model, base, keep=[*keep, host.cast("string").alias("host"), path.cast("string").alias("path")], text_col=text_col), "scored")
     columns = scored.columns[: len(keep)]
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(_rate(F.col(h))).alias(h) for h in HEADS)), "paths")
+    sites = paths.select("host", "path")
     for head in HEADS:
-        sites = site_rates(scored, head)
-        sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), f"{head}_shift")
-        scored = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_host", "_path")
-    scored = scored.select(*columns, "host", "path", *(_rate(F.col(h) + F.coalesce(f"{h}_shift", F.lit(0.0))).alias(f"p_{h}") for h in HEADS))
-    return scored.withColumn("keep", (F.col("p_toxic") <= 0.5) & (F.col("p_low") <= 0.5))
+        own = site_rates(paths, head).select(F.col("host").alias("_host"), F.col("path").alias("_path"), f"{head}_shift")
+        sites = sites.join(own, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_host", "_path")
+    sites = stored(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *(f"{h}_shift" for h in HEADS)), "sites")
+    judged = scored.join(bounded(sites), F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    judged = judged.select(*columns, "host", "path", *(_rate(F.col(h) + F.coalesce(f"{h}_shift", F.lit(0.0))).alias(f"p_{h}") for h in HEADS))
+    return judged.withColumn("keep", (F.col("p_toxic") <= 0.5) & (F.col("p_low") <= 0.5))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The rows of docs that the classifier keeps."""
-    rows = numbered(docs)
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", row: Column | None = None) -> DataFrame:
+    """The rows of docs that the classifier keeps. row: see ``numbered``."""
+    rows = numbered(docs, row)
     flat = rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text"), field(host_col).alias("host"), field(path_col).alias("path"))
     judged = classify(flat, labels, keep=[F.col("row")], host=F.col("host"), path=F.col("path"))
-    return rows.join(judged.where("keep").select("row"), "row", "left_semi").select("doc.*")
+    return without(rows, judged.where(~F.col("keep"))).select("doc.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

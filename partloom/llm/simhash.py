@@ -1,15 +1,18 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into segments, fewer than the bits allowed plus one: three for four bits, four for seven. Two that
-differ in no more bits differ in at most one bit of some segment. Every segment is indexed under each of its one-wildcard variants,
-which such a pair shares, so an equality join finds it; the whole distance is then verified.
-
-A pair shares many variants; its link is looked for in one of them only, that of the first segment with at most one
-differing bit (and of that bit). In a bucket, members in order are compared with the ``BACK`` members before them, which is
-every pair of a bucket of up to ``BACK + 1`` members. Components over these links collapse groups of near copies, so pairs
-inside large groups are never listed: what is left to compare in larger buckets are members of different components, of
-which the largest component is taken on one side only. Buckets of more than ``HOT_BUCKET`` members are split again by pieces
-of the other bits, one more than bits may differ, so that one is equal. No link between fingerprints is lost on the way.
+A fingerprint is cut into segments, few enough that near ones differ in at most one bit of some segment. Every segment is
+indexed as it is and under each of its one-wildcard variants. Two nodes meet where they are equal, or where the wildcard's
+bit is all that differs; so an equality join on the signature finds them, at most once for each segment.
+
+1. In a bucket, members in order are compared with the ``BACK`` members before them, which is every pair of a bucket of up to
+   ``BACK + 1`` members. In larger buckets only the unchanged segments are used for this, which chains groups of near copies.
+   Components over the links found collapse these groups.
+2. What is left are pairs of different components in larger buckets. Their nodes, with their component, are indexed again;
+   buckets of one component go, and of the others the largest component is taken on one side only. Where all differing bits
+   are bounded, buckets of more than ``HOT_BUCKET`` members are split by pieces of the other bits, one more than bits may
+   differ, so that one is equal.
+
+No link between fingerprints is lost on the way, and pairs inside a large group are never listed.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.llm.components import connected_components
-from partloom.llm.shared import field, numbered, stored
+from partloom.llm.shared import bounded, field, kind_of, numbered, stored, without
 
-BACK, HOT_BUCKET = 15, 2048
+BACK, HOT_BUCKET = 7, 256
 SEED = 42
 _CHUNK = 1 << 16
+_EXACT = 31  # in place of a wildcard's number: the segment as it is
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Segments (first bit, bits), one of which differs in at most one bit if all of 64 bits differ in at most max_bits."""
+    """Segments (which long of the fingerprint, first bit, bits). max_bits: the most bits of all that may differ, if that is
+    bounded; then the fingerprint is one long, which is the node as well."""
 
-    segments: tuple[tuple[int, int], ...]
-    max_bits: int
+    segments: tuple[tuple[int, int, int], ...]
+    max_bits: int | None = None
 
     def pieces(self, bits: int) -> list[tuple[int, int]]:
         """bits, cut into one piece more than bits may differ."""
@@ -45,10 +50,10 @@ class Cut:
         return [(bits * i // n, bits * (i + 1) // n - bits * i // n) for i in range(n)]
 
 
-FOUR_BITS = Cut(((0, 22), (22, 21), (43, 21)), 4)
-SEVEN_BITS = Cut(((0, 16), (16, 16), (32, 16), (48, 16)), 7)
+FOUR_BITS = Cut(((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4)
+COPY_LONGS, COPY_BITS = 4, 24  # longs of a text's fingerprint with two segments each
+COPIES = Cut(tuple((i, COPY_BITS * j, COPY_BITS) for i in range(COPY_LONGS) for j in range(2)))
 COPY_WORDS, MARK_WORDS = 5, 16  # words of a shingle; longs of a bit map of a text's shingles
-COPY_PRINTS = ((2, SEED), (1, SEED + 1), (1, SEED + 2))  # words of a shingle and seed of each fingerprint of a text
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -80,20 +85,26 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp: Column, start: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
+def _bits(c: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(c, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _signatures(fp: Column, cut: Cut) -> Column:
-    """One long for each segment and wildcard: which of them, then the segment's bits with that bit off."""
-    return F.array(*[_segment(fp, start, bits).bitwiseAND(F.lit(~(1 << i))).bitwiseOR(F.lit((32 * s + i) << 32)) for s, (start, bits) in enumerate(cut.segments) for i in range(bits)])
+def _shifted(c: Column, by: int) -> Column:
+    return F.shiftleft(c.cast("long"), by)
 
 
-def _by_segment(key: Column, options: list[Column]) -> Column:
-    chosen, segment = F.when(F.shiftright(key, 37) == 0, options[0]), F.shiftright(key, 37)
-    for i, option in enumerate(options[1:-1], 1):
-        chosen = chosen.when(segment == i, option)
-    return chosen.otherwise(options[-1])
+def keyed(nodes: DataFrame, cut: Cut, *columns: str) -> DataFrame:
+    """nodes (fp, and more) with a row for each signature: columns, key, and the bit that the key has no room for."""
+    segments = F.array(*[_bits(F.col("fp")[i], first, bits) for i, first, bits in cut.segments])
+    parts = nodes.select(*columns, F.posexplode(segments).alias("s", "v"))
+    head = lambda i: _shifted(F.col("s") * 32 + i, 32)
+    wild = [head(i).bitwiseOR(F.col("v").bitwiseAND(F.lit(~(1 << i)))).bitwiseOR(_shifted(_bits(F.col("v"), i, 1), 62)) for i in range(max(b for *_, b in cut.segments))]
+    rows = parts.select(*columns, F.explode(F.array(head(_EXACT).bitwiseOR(F.col("v")), *wild)).alias("k"))
+    return rows.select(*columns, F.col("k").bitwiseAND(F.lit(~(1 << 62))).alias("key"), F.shiftright("k", 62).alias("bit"))
+
+
+def _exact(key: Column) -> Column:
+    return F.shiftright(key, 32).bitwiseAND(F.lit(31)) == _EXACT
 
 
 def _pieces(fp: Column, key: Column, cut: Cut) -> Column:
@@ -102,66 +113,53 @@ def _pieces(fp: Column, key: Column, cut: Cut) -> Column:
     def of(start: int, bits: int) -> Column:
         low = fp.bitwiseAND(F.lit((1 << start) - 1))
         rest = low if start + bits == 64 else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, start + bits), start))
-        return F.array(*[_segment(rest, a, n).bitwiseOR(F.lit((p + 1) << 32)) for p, (a, n) in enumerate(cut.pieces(64 - bits))])
-
-    return _by_segment(key, [of(*x) for x in cut.segments])
+        return F.array(*[_bits(rest, a, n).bitwiseOR(F.lit((p + 1) << 32)) for p, (a, n) in enumerate(cut.pieces(64 - bits))])
 
+    options = [of(start, bits) for _, start, bits in cut.segments]
+    segment = F.shiftright(key, 37)
+    return reduce(lambda c, i: c.when(segment == i, options[i]), range(1, len(options)), F.when(segment == 0, options[0]))
 
-def _link(a: Column, b: Column, key: Column, cut: Cut) -> Column:
-    """Whether two members of a bucket are near, and the bucket is the one in which their link is looked for."""
-    differ = a.bitwiseXOR(b)
-    wildcard = F.shiftright(key, 32).bitwiseAND(F.lit(31))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), wildcard.cast("int"))
-    parts = [_segment(differ, start, bits) for start, bits in cut.segments]
-    here = [(part == bit) | ((wildcard == 0) & (part == 0)) for part in parts]
-    far = [F.bit_count(part) > 1 for part in parts]
-    return (F.bit_count(differ) <= cut.max_bits) & _by_segment(key, [reduce(Column.__and__, [*far[:i], here[i]]) for i in range(len(parts))])
 
+def link_fingerprints(nodes: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """nodes (node long, distinct; fp array of longs; mark) to node and component, the smallest node that links reach.
 
-def link_fingerprints(fps: DataFrame, cut: Cut = FOUR_BITS, verify: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None, may: Callable[[Column, Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """fps (node, fp; nodes are distinct) to node and component, the smallest node that links reach.
-
-    verify: takes pairs (a, b, and more columns) of nodes and returns those that are to be linked; all, if not given.
-    marks (node, mark) and may: a condition on two marks that holds for every pair that verify returns; it keeps pairs of
-    large buckets from being made only to be refused.
-    known (node, component; every node): what other links reach already; pairs inside a component aren't looked for.
+    Links are pairs that meet in a signature and, where cut bounds them, differ in no more bits in all. verify takes pairs
+    (a, b, and more columns) and returns those that are to be linked; all, if not given. may is a condition on two marks
+    that holds for every pair that verify returns; it keeps pairs of large buckets from being made only to be refused.
     """
-    held = ["node"] if known is None else ["node", "star"]
-    if known is not None:
-        fps = fps.join(known.withColumnRenamed("component", "star"), "node")
-    keyed = fps.select(*held, "fp", F.explode(_signatures(F.col("fp"), cut)).alias("key"))
     own = Window.partitionBy("key")
-    order = own.orderBy("fp", "node")
-    sized = keyed.select("key", "fp", *held, F.count("*").over(own).alias("n"), F.array(*(F.lag(F.struct("fp", *held), i).over(order) for i in range(1, BACK + 1))).alias("back")).where("n > 1")
-    near = F.filter("back", lambda x: reduce(Column.__and__, [x.isNotNull(), *(x[c] != F.col(c) for c in held[1:]), _link(F.col("fp"), x.fp, F.col("key"), cut)]))
-    members = stored(sized.select("key", "fp", *held, "n", F.transform(near, lambda x: x.node if known is None else F.struct(x.node.alias("b"), x.star.alias("star_b"))).alias("near")).where((F.size("near") > 0) | (F.col("n") > BACK + 1)), "buckets")
-    if known is None:
-        links = members.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-        stars = connected_components(verify(links) if verify else links)
+    order = own.orderBy("node", "bit")
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= cut.max_bits if cut.max_bits is not None else F.lit(True)
+    back = F.array(*(F.lag(F.struct("node", "bit"), i).over(order) for i in range(1, BACK + 1)))
+    sized = keyed(nodes, cut, "node").select("key", "node", "bit", F.count("*").over(own).alias("n"), back.alias("back")).where("n > 1")
+    exact = _exact(F.col("key"))
+    met = F.when((F.col("n") <= BACK + 1) | exact, F.filter("back", lambda x: x.isNotNull() & (exact | (x.bit != F.col("bit"))) & near(x.node, F.col("node")))).otherwise(F.slice("back", 1, 0))
+    sized = sized.select("node", (F.col("n") > BACK + 1).alias("large"), F.transform(met, lambda x: x.node).alias("met"))
+    members = stored(sized.where("large or size(met) > 0"), "buckets")
+    links = members.select(F.col("node").alias("a"), F.explode("met").alias("b")).distinct()
+    stars = connected_components(verify(links) if verify else links)
+
+    large = members.where("large").select("node").distinct().join(nodes, "node").join(stars, "node", "left")
+    large = stored(large.select("node", "fp", F.col("mark") if may else F.lit(0).alias("mark"), F.coalesce("component", "node").alias("star")), "large")
+    large = large.join(large.groupBy("star").agg(F.count("*").alias("of_star")), "star")
+    main = F.max(F.struct("of_star", "star")).over(own).getField("star")
+    mixed = keyed(large, cut, "node", "star", "of_star", "mark").select("key", "bit", "node", "star", "mark", F.count("*").over(own).alias("n"), main.alias("main"), F.min("star").over(own).alias("low"), F.max("star").over(own).alias("high"))
+    mixed = stored(mixed.where((F.col("low") != F.col("high")) & (F.col("n") > BACK + 1)).drop("low", "high"), "mixed")
+    if cut.max_bits is not None:
+        hot = mixed.where(F.col("n") > HOT_BUCKET).select("*", F.explode(_pieces(F.col("node"), F.col("key"), cut)).alias("part"))
+        mixed = mixed.where(F.col("n") <= HOT_BUCKET).withColumn("part", F.lit(0).cast("long")).union(hot)
+        on = ["key", "part"]
     else:
-        links = members.select(F.col("node").alias("a"), F.col("star").alias("star_a"), F.explode("near").alias("near")).select("a", "star_a", "near.*")
-        merged = connected_components((verify(links) if verify else links).select(F.col("star_a").alias("a"), F.col("star_b").alias("b")))
-        merged = known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left")
-        stars = stored(merged.select("node", F.coalesce("lower", "component").alias("component")), "stars")
-
-    large = members.where(F.col("n") > BACK + 1).select("key", "fp", "node", "n")
-    grouped = large.join(stars, "node", "left").select("key", "fp", "node", "n", F.coalesce("component", "node").alias("star"))
-    sizes = grouped.groupBy("key", "star").agg(F.count("*").alias("of_star"))
-    mixed = sizes.groupBy("key").agg(F.max_by("star", F.struct("of_star", "star")).alias("main"), F.count("*").alias("stars")).where("stars > 1")
-    mixed = grouped.join(mixed.drop("stars"), "key")
-    mixed = stored(mixed.join(marks, "node") if marks is not None else mixed.withColumn("mark", F.lit(0)), "mixed")
-    hot = mixed.where(F.col("n") > HOT_BUCKET).select("key", F.explode(_pieces(F.col("fp"), F.col("key"), cut)).alias("part"), "fp", "node", "star", "main", "mark")
-    mixed = mixed.where(F.col("n") <= HOT_BUCKET).select("key", F.lit(0).cast("long").alias("part"), "fp", "node", "star", "main", "mark").union(hot)
-    left = mixed.where("star <> main").select("key", "part", F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.col("star").alias("star_a"), F.col("mark").alias("mark_a"))
-    right = mixed.select("key", "part", F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("star").alias("star_b"), F.col("mark").alias("mark_b"), (F.col("star") == F.col("main")).alias("in_main"))
-    once = (F.col("star_a") != F.col("star_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    near = once & _link(F.col("fp_a"), F.col("fp_b"), F.col("key"), cut)
-    near = near & may(F.col("mark_a"), F.col("mark_b")) if may else near  # the dearest condition last
-    links = left.join(right, ["key", "part"]).where(near).select("a", "b", "star_a", "star_b")
-    links = verify(links.distinct()) if verify else links
+        on = ["key"]
+    left = mixed.where("star <> main").select(*on, F.col("bit").alias("bit_a"), F.col("node").alias("a"), F.col("star").alias("star_a"), F.col("mark").alias("mark_a"))
+    right = mixed.select(*on, F.col("bit").alias("bit_b"), F.col("node").alias("b"), F.col("star").alias("star_b"), F.col("mark").alias("mark_b"), (F.col("star") == F.col("main")).alias("in_main"))
+    meet = (F.col("star_a") != F.col("star_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (_exact(F.col("key")) | (F.col("bit_a") != F.col("bit_b"))) & near(F.col("a"), F.col("b"))
+    meet = meet & may(F.col("mark_a"), F.col("mark_b")) if may else meet  # the dearest condition last
+    links = left.join(right, on).where(meet).select("a", "b", "star_a", "star_b").distinct()
+    links = verify(links) if verify else links
     joined = connected_components(links.select(F.col("star_a").alias("a"), F.col("star_b").alias("b")).distinct())
 
-    stars = fps.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"))
+    stars = nodes.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"))
     return stars.join(joined.select(F.col("node").alias("star"), F.col("component").alias("joined")), "star", "left").select("node", F.coalesce("joined", "star").alias("component"))
 
 
@@ -174,28 +172,52 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    linked = link_fingerprints(distinct.select(F.col("fp").alias("node"), "fp")).withColumnRenamed("node", "fp")
+    linked = link_fingerprints(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fp"))).withColumnRenamed("node", "fp")
     of_fp = stored(linked.join(distinct, "fp"), "linked")
     lowest = of_fp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(of_fp.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def set_fingerprint(words: list[bytes], k: int = 2, seed: int = SEED) -> int:
-    """64 bits, as a signed number, of the distinct shingles of k words."""
-    if not words:
-        return 0
-    kinds = list({b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(kinds), _CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in kinds[i : i + _CHUNK]], dtype="<u8")
-        ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(kinds), bitorder="little").view("<i8")[0])
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_known: dict[bytes, int] = {}
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, each computed once for a while."""
+    if len(_known) > 1_000_000:
+        _known.clear()
+    for w in {*words} - _known.keys():
+        _known[w] = xxhash.xxh64_intdigest(w, SEED)
+    return np.array([_known[w] for w in words], dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
+    return h ^ (h >> np.uint64(31))
+
+
+def set_fingerprint(hashes: np.ndarray) -> list[int]:
+    """``COPY_LONGS`` numbers of twice ``COPY_BITS`` bits of the distinct words: which bits more than half of them have."""
+    kinds, out = np.unique(hashes), []
+    for i in range(COPY_LONGS):
+        ones, own = np.zeros(2 * COPY_BITS, dtype=np.int64), np.uint64((int(_FACTOR) * (i + 1)) & (1 << 64) - 1)
+        for at in range(0, len(kinds), _CHUNK):
+            some = np.ascontiguousarray(_mixed(kinds[at : at + _CHUNK] + own).view(np.uint8).reshape(-1, 8)[:, : COPY_BITS // 4])
+            ones += np.add.reduce(np.unpackbits(some, axis=1, bitorder="little"), axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(kinds), bitorder="little").tobytes(), "little"))
+    return out
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """Distinct shingles of five words, or of all if there are fewer, sorted."""
-    kinds = {b" ".join(words[i : i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))}
-    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in kinds], dtype="<u8").view("<i8"))
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Distinct shingles of five words, or of all if there are fewer, sorted. A shingle's 64 bits are made of its words'."""
+    k = max(1, min(COPY_WORDS, len(hashes)))
+    n = max(0, len(hashes) - k + 1)
+    key = np.full(n, k, dtype=np.uint64)
+    for j in range(k):
+        key = key * _FACTOR + hashes[j : j + n]
+    return np.unique(_mixed(key).view(np.int64)) if n else np.zeros(1, dtype=np.int64)
 
 
 def _alike(n: Column, m: Column, same: Column) -> Column:
@@ -206,60 +228,64 @@ def _alike(n: Column, m: Column, same: Column) -> Column:
 def may_be_alike(a: Column, b: Column) -> Column:
     """A bit that only one map has set stands for a shingle at least that only one text has, which bounds what they share."""
     only = lambda x, y: sum((F.bit_count(F.get(x.bits, i).bitwiseAND(F.bitwise_not(F.get(y.bits, i)))) for i in range(MARK_WORDS)), F.lit(0))
-    return _alike(a.n, b.n, F.least(a.n - only(a, b), b.n - only(b, a)))
+    return _alike(a.n, b.n, F.least(a.n, b.n)) & _alike(a.n, b.n, F.least(a.n - only(a, b), b.n - only(b, a)))
 
 
 def copy_groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id and group of every row of docs, whose row_col is unique and stays the same however often it is read.
 
-    Texts are compared by lower-cased (A-Z) words. Equal ones are of a group; others are linked if one of their
-    ``COPY_PRINTS``, of distinct word pairs or words, differs in at most seven bits and the Jaccard similarity of their
+    Texts are compared by lower-cased (A-Z) words. Equal ones are of a group; others are linked if their fingerprints of
+    distinct words differ in at most one bit of one of eight segments (``COPIES``) and the Jaccard similarity of their
     five-word shingles is verified to be 0.8 or more. Texts without words are equal to each other.
     """
+    row_kind = kind_of(docs, row_col)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, mark = [], [], []
+            same, fp, mark = [], [], []
             for text in batch.column(2):
                 words = (text.as_py() or b"").lower().split()
-                node.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                fp.append([set_fingerprint(words, k, seed) for k, seed in COPY_PRINTS])
-                hashes = shingle_hashes(words)
+                hashes = _word_hashes(words)
+                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                fp.append(set_fingerprint(hashes))
+                shingles = shingle_hashes(hashes)
                 bits = np.zeros(64 * MARK_WORDS, dtype=bool)
-                bits[hashes.view(np.uint64) % np.uint64(64 * MARK_WORDS)] = True
-                mark.append({"n": len(hashes), "bits": np.packbits(bits, bitorder="little").view("<i8")})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.binary()), pa.array(fp, pa.list_(pa.int64())), pa.array(mark, kind)], ["row", "doc_id", "node", "fp", "mark"])
+                bits[shingles.view(np.uint64) % np.uint64(64 * MARK_WORDS)] = True
+                mark.append({"n": len(shingles), "bits": np.packbits(bits, bitorder="little").view("<i8")})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.binary()), pa.array(fp, pa.list_(pa.int64())), pa.array(mark, kind)], ["row", "doc_id", "same", "fp", "mark"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes((text.as_py() or b"").lower().split()) for text in batch.column(1)]
+            sets = [shingle_hashes(_word_hashes((text.as_py() or b"").lower().split())) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     kind = pa.struct([("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
     texts = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(nodes, "row long, doc_id long, node binary, fp array<long>, mark struct<n long, bits array<long>>"), "nodes")
-    distinct = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.first("mark").alias("mark")), "distinct")
+    rows = stored(texts.mapInArrow(nodes, f"row {row_kind}, doc_id long, same binary, fp array<long>, mark struct<n long, bits array<long>>"), "nodes")
+    first = rows.groupBy("same").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("mark").alias("mark"))
+    distinct = stored(first.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct, "node").select("node", "row")
-        sets = stored(texts.join(asked, "row").select("node", "text").mapInArrow(shingles, "node binary, shingles array<long>"), "shingles")
+        marks = distinct.select("node", "mark")
+        pairs = pairs.join(marks.select(F.col("node").alias("a"), F.col("mark").alias("mark_a")), "a").join(marks.select(F.col("node").alias("b"), F.col("mark").alias("mark_b")), "b")
+        pairs = stored(pairs.where(may_be_alike(F.col("mark_a"), F.col("mark_b"))).drop("mark_a", "mark_b"), "pairs")
+        asked = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct, "node").select("node", "row"), "asked")
+        sets = stored(texts.join(bounded(asked), "row").select("node", "text").mapInArrow(shingles, "node long, shingles array<long>"), "shingles")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
         return both.where(_alike(F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b")))).select(*pairs.columns)
 
-    linked = None
-    for i in range(len(COPY_PRINTS)):
-        found = link_fingerprints(distinct.select("node", F.col("fp")[i].alias("fp")), SEVEN_BITS, alike, distinct.select("node", "mark"), may_be_alike, linked)
-        linked = stored(found, "linked")
-    return rows.select("row", "doc_id", "node").join(linked, "node").select("row", "doc_id", F.col("component").alias("group"))
+    linked = link_fingerprints(distinct.select("node", "fp", "mark"), COPIES, alike, may_be_alike)
+    groups = stored(linked.join(distinct.select("node", "same"), "node").select("same", F.col("component").alias("group")), "groups")
+    return rows.select("row", "doc_id", "same").join(groups, "same").select("row", "doc_id", "group")
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of copy_groups: that of the smallest id, null last."""
-    rows = numbered(docs)
-    groups = copy_groups(rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text")), row_col="row")
-    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(stay, "row", "left_semi").select("doc.*")
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """docs with one row of each group of copy_groups: that of the smallest id, null last. row: see ``numbered``."""
+    rows = numbered(docs, row)
+    groups = stored(copy_groups(rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text")), row_col="row"), "copies")
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).getField("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = groups.join(stay, "group").where("row <> first").select("row")
+    return without(rows, gone).select("doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

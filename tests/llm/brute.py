@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -38,9 +39,9 @@ def simhash(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def components(fps, bits=4):
-    """The position of the first of each fingerprint's component."""
-    f, up = np.array(fps, dtype=np.uint64), list(range(len(fps)))
+def joined(n, pairs):
+    """The smallest number of each number's component."""
+    up = list(range(n))
 
     def find(x):
         while up[x] != x:
@@ -48,11 +49,50 @@ def components(fps, bits=4):
             x = up[x]
         return x
 
-    for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]) <= bits):
-            a, b = find(i), find(i + 1 + int(j))
-            up[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(f))]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def components(fps, bits=4):
+    """The position of the first of each fingerprint's component."""
+    f = np.array(fps, dtype=np.uint64)
+    return joined(len(f), [(i, i + 1 + int(j)) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]) <= bits)])
+
+
+def near_copies(texts):
+    """Pairs of texts with a similarity of 0.8 or more, by comparing all that share a shingle."""
+    sets, at, out = [shingles(t) for t in texts], {}, []
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in at.get(x, ())}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                out.append((j, i))
+        for x in s:
+            at.setdefault(x, []).append(i)
+    return out
+
+
+def site_shifts(sites):
+    """(host, path, n, bad) to what each path's posterior rate adds to the log odds over all."""
+    logit = lambda p: math.log(p / (1 - p))
+
+    def strength(rows):  # (n, rate, prior)
+        rows = [r for r in rows if r[0] > 1]
+        between, chance, whole = sum(n * (r - p) ** 2 for n, r, p in rows), sum(p * (1 - p) for _, _, p in rows), sum(n * p * (1 - p) for n, _, p in rows)
+        if not whole or between <= chance:
+            return 1e6
+        return max(1.0, (whole - between) / (between - chance)) if whole > between else 1.0
+
+    overall = (sum(s[3] for s in sites) + 0.5) / (sum(s[2] for s in sites) + 1.0)
+    hosts = {}
+    for h, _, n, bad in sites:
+        a, b = hosts.get(h, (0, 0.0))
+        hosts[h] = a + n, b + bad
+    k = strength([(n, b / n, overall) for n, b in hosts.values()])
+    rate = {h: (b + k * overall) / (n + k) for h, (n, b) in hosts.items()}
+    k = strength([(n, b / n, rate[h]) for h, _, n, b in sites])
+    return {(h, p): logit((b + k * rate[h]) / (n + k)) - logit(overall) for h, p, n, b in sites}
 
 
 def sha1_base32(data):
