@@ -8,29 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from partloom.llm.decontam import drop_contaminated
 from partloom.llm.mixing import mix_documents
 from partloom.llm.quality import keep_good
-from partloom.llm.shared import stored, table
+from partloom.llm.shared import file_row, stored, table
 from partloom.llm.simhash import drop_near_copies
 from partloom.llm.sstable import read_tokens, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are more likely than not toxic or of low quality."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(spark, sf_dir, "labels"), row=file_row())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies, that with the smallest id."""
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, row=file_row())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold ten words of a benchmark item."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), row=file_row())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
-    return mix_documents(docs)
+    return mix_documents(docs, row=file_row())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
