@@ -180,16 +180,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_known: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """64 bits of each word, computed once for a while."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_words = _Words()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits of each word, each computed once for a while."""
-    if len(_known) > 1_000_000:
-        _known.clear()
-    for w in {*words} - _known.keys():
-        _known[w] = xxhash.xxh64_intdigest(w, SEED)
-    return np.array([_known[w] for w in words], dtype=np.uint64)
+    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
