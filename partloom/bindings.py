@@ -25,23 +25,23 @@ select c_custkey request_id,
        cast(c_custkey % 50 + 1 as double) want_size,
        case when c_custkey % 3 = 0 then null else cast(10 + c_custkey % 30 as double) end min_rating,
        case c_custkey % 4 when 0 then null when 1 then 'red' when 2 then 'blue' else 'old' end want_colour,
-       cast(1 + c_custkey % 20 as int) quantity, 5 max_results
-from customer where c_custkey < 50
+       concat('Brand#', cast(c_custkey % 25 + 1 as string)) maker, cast(1 + c_custkey % 20 as int) quantity, 5 max_results
+from customer
 """
 
 EVALUATION = """
 select l_orderkey qid, concat(cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_linenumber as string)) cand_key,
        cast((l_partkey + l_linenumber) % 4 as int) label, cast(l_extendedprice as double) score_a, cast(l_quantity * (1 - l_discount) as double) score_b,
        l_returnflag category, l_linenumber line_no, l_suppkey supp
-from lineitem where l_orderkey < 400
+from lineitem
 """
 
-#: A request and an offer are candidates if their families agree, the size is within 2 or unstated, and the offer is in stock.
+#: A request and an offer are candidates if families and makers agree, the size is within 2 or unstated, and the offer is in stock.
 MARGIN = 2.0
 CANDIDATES = """
 select r.request_id, r.family, r.want_size, r.min_rating, r.want_colour, r.quantity, r.max_results, o.source, o.part_number, o.mpn, o.size_v,
        o.rating_v, o.colour, o.kind, o.stock, o.moq, o.order_multiple, o.unit_price, o.fetched_at, o.sk
-from requests r join offers o on o.family = r.family and o.stock > 0 and (o.size_v is null or o.size_v between r.want_size - 2 and r.want_size + 2)
+from requests r join offers o on o.family = r.family and o.manufacturer = r.maker and o.stock > 0 and (o.size_v is null or o.size_v between r.want_size - 2 and r.want_size + 2)
 """
 
 _VIEWS = {"offers": OFFERS, "requests": REQUESTS, "evaluation": EVALUATION, "candidates": CANDIDATES}
@@ -73,7 +73,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the equality join on family with the bounds on size as its condition; unstated sizes stay."""
+    """By the equality join on family and maker with the bounds on size as its condition; unstated sizes stay."""
     from partloom.operators.matching import candidate_join
 
     return candidate_join(requests(spark, sf_dir), offers(spark, sf_dir), MARGIN)

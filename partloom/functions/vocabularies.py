@@ -133,4 +133,7 @@ def m01(spark: SparkSession, d: str) -> DataFrame:
     """The two text predicates as SQL functions of the session."""
     spark.sql(r"create or replace temporary function text_has_value(t string, token string) returns boolean return t rlike concat('(?<![0-9.])\\Q', token, '\\E')")
     spark.sql(r"create or replace temporary function text_at_least(t string, unit string, least double) returns boolean return exists(regexp_extract_all(t, concat('([0-9]+(?:\\.[0-9]+)?)', unit), 1), x -> cast(x as double) >= least)")
-    return spark.sql("select source, part_number, text_has_value(description, '5uF') has_value, text_at_least(description, 'V', 40) at_least from {o}", o=offers(spark, d))
+    found = spark.sql("select source, part_number, text_has_value(description, '5uF') has_value, text_at_least(description, 'V', 40) at_least from {o}", o=offers(spark, d))
+    for name in ("text_has_value", "text_at_least"):  # they stand in the plan by now
+        spark.sql(f"drop temporary function {name}")
+    return found

@@ -164,15 +164,20 @@ def h10(spark: SparkSession, d: str) -> DataFrame:
     return checked(candidates(spark, d)).where("s_rating = 'match'").select("request_id", *KEY, F.round(overshoot(F.col("rating_v"), F.col("min_rating")), 6).alias("penalty"))
 
 
-@query("h11_keyword_overlap", """
-select b.item_id, d.doc_id, round(len(list_filter(b.w, lambda x: contains(lower(d.text), x))) / len(b.w), 6) overlap from
-(select item_id, list_distinct(string_split(lower(text), ' '))[1:5] w from (select item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') as text from benchmark)) b join documents d on d.doc_id = b.item_id * 3 and d.text is not null""".replace("list_distinct(string_split(lower(text), ' '))[1:5]", "string_split(lower(text), ' ')[1:5]"))
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query("h11_keyword_overlap", f"""
+with q as (select item_id, unnest({_WORDS}) w, len({_WORDS}) n from benchmark), t as (select doc_id, unnest({_WORDS}) w from documents)
+select item_id, doc_id, round(count(*) / n, 6) overlap from q join t using (w) group by item_id, doc_id, n having 2 * count(*) >= n""")
 def h11(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " "), 1, 5)
-    asked = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", words.alias("w"), (F.col("item_id") * 3).alias("doc_id"))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
-    found = F.size(F.filter("w", lambda x: F.contains(F.col("text"), x)))
-    return asked.join(docs, "doc_id").select("item_id", "doc_id", F.round(found / F.size("w"), 6).alias("overlap"))
+    """The share of a text's keywords that a document has, for documents that have half of them or more. Documents' words meet
+    keywords in an equality join after those that no text asks for are gone."""
+    keywords = lambda name, key: spark.read.parquet(f"{d}/{name}.parquet").select(key, F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).alias("words"))
+    asked = keywords("benchmark", "item_id").select("item_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    held = keywords("documents", "doc_id").select("doc_id", F.explode("words").alias("w"))
+    shared = asked.join(held, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("same"))
+    return shared.where("2 * same >= n").select("item_id", "doc_id", F.round(F.col("same") / F.col("n"), 6).alias("overlap"))
 
 
 @query("h12_tie_break", with_views("select source, part_number, round(least(0.05, 0.03 * least(1, log10(1 + stock) / 6) + case when unit_price is not null then 0.02 else 0 end), 6) bonus from offers", "offers"))

@@ -59,18 +59,28 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
     return evaluation(spark, d).select("qid", "cand_key", F.round(F.coalesce(scored, floor * F.col("label") / 10), 6).alias("score"))
 
 
+def _levelled(height: Column, need: Column, floor: int) -> Column:
+    """What each source gives if units are taken one at a time from the highest, first name first, down to floor: all that
+    stands above a level, and one more from the first ones that reach it. The level is the greatest at which that is enough."""
+    first = Window.orderBy(height.desc(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy()
+    k = F.count("*").over(first)
+    level = F.greatest(F.max(F.floor((F.sum(height).over(first) + k - need) / k)).over(every), F.lit(floor + 1))
+    above = F.greatest(height - level, F.lit(0))
+    reached = height >= level
+    nth = F.count_if(reached).over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(need > 0, above + (reached & (nth <= need - F.sum(above).over(every))).cast("long")).otherwise(0)
+
+
 def quotas(counts: DataFrame, most: int, least: int = 5) -> DataFrame:
     """source, n to source and quota: in proportion, at least least (or all it has), and together no more than most. What
-    is over goes one at a time to the source with most left; what is too much comes from the largest quotas. A row for
-    each source."""
+    is over goes one at a time to the source with most left; what is too much comes from the largest quotas. Windows hold a
+    row for each source."""
     everything = Window.partitionBy()
     share = F.least(F.col("n"), F.greatest(F.lit(least).cast("long"), F.floor(F.lit(most) * F.col("n") / F.sum("n").over(everything))))
-    base = counts.withColumn("quota", share).withColumn("spare", F.lit(most) - F.sum("quota").over(everything))
-    more = base.where("spare > 0 and n > quota").select("source", "spare", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - F.col("quota"))).alias("slot"))
-    more = more.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("slot"), "source"))).where("nth <= spare").groupBy("source").agg(F.count("*").alias("change"))
-    less = base.where(f"spare < 0 and quota > {least}").select("source", "spare", F.explode(F.sequence(F.lit(least + 1).cast("long"), F.col("quota"))).alias("slot"))
-    less = less.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("slot"), "source"))).where("nth <= -spare").groupBy("source").agg((-F.count("*")).alias("change"))
-    return base.join(more.union(less), "source", "left").select("source", "n", (F.col("quota") + F.coalesce("change", F.lit(0))).alias("quota"))
+    base = counts.withColumn("quota", share).withColumn("spare", F.lit(most) - F.sum("quota").over(everything)).withColumn("left", F.col("n") - F.col("quota"))
+    base = base.withColumn("more", _levelled(F.col("left"), F.col("spare"), 0)).withColumn("less", _levelled(F.col("quota"), -F.col("spare"), least))
+    return base.select("source", "n", (F.col("quota") + F.col("more") - F.col("less")).alias("quota"))
 
 
 @query("f05_source_quotas", with_views("""
@@ -113,14 +123,15 @@ def f08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f09_reserved_place", with_views("""
 select request_id, part_number, source, nth from (
-select r.request_id, o.part_number, o.source, o.stock, o.pk % 50 = r.request_id % 50 named, cast(row_number() over (partition by r.request_id order by case when o.stock = 0 then 1 else 0 end, o.unit_price, o.source, o.part_number) as int) nth,
-sum(case when o.stock > 0 then 1 else 0 end) over (partition by r.request_id) live, max(case when o.stock = 0 then 1 else 0 end) over (partition by r.request_id) has_listed
-from requests r join offers o on o.family = r.family and o.pk % 50 = r.request_id % 50) where (stock > 0 and nth <= 3 - has_listed) or (stock = 0 and nth = live + 1)""", "requests", "offers"))
+select request_id, part_number, source, stock, named, cast(row_number() over (partition by request_id order by not (named and stock = 0) and stock = 0, named and stock = 0, unit_price, source, part_number) as int) nth,
+count(case when stock > 0 then 1 end) over (partition by request_id) live, max(case when named and stock = 0 then 1 else 0 end) over (partition by request_id) listed
+from (select r.request_id, o.part_number, o.source, o.stock, o.unit_price, o.pk % 50 = r.request_id % 50 named from requests r join offers o on o.family = r.family and o.manufacturer = r.maker) where stock > 0 or named) where (stock > 0 and nth <= 3 - listed) or (stock = 0 and nth = live + 1)""", "requests", "offers"))
 def f09(spark: SparkSession, d: str) -> DataFrame:
-    """Three places; if a named row is listed without stock, the last place is its."""
+    """Three places among a request's offers; if one that it names is listed without stock, the last place is its."""
     own = Window.partitionBy("request_id")
     empty = F.col("stock") == 0
-    rows = requests(spark, d).join(offers(spark, d).withColumnRenamed("family", "of_family"), (F.col("of_family") == F.col("family")) & (F.col("pk") % 50 == F.col("request_id") % 50))
+    rows = requests(spark, d).join(offers(spark, d).withColumnRenamed("family", "of_family"), F.expr("family = of_family and maker = manufacturer"))
+    rows = rows.withColumn("named", F.col("pk") % 50 == F.col("request_id") % 50).where(~empty | F.col("named"))
     rows = rows.select("request_id", *KEY, "stock", F.row_number().over(own.orderBy(empty.cast("int"), "unit_price", *KEY)).alias("nth"), F.count_if(~empty).over(own).alias("live"), F.max(empty.cast("int")).over(own).alias("listed"))
     return rows.where((~empty & (F.col("nth") <= 3 - F.col("listed"))) | (empty & (F.col("nth") == F.col("live") + 1))).select("request_id", "part_number", "source", "nth")
 

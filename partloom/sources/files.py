@@ -11,10 +11,14 @@ _own: str | None = None
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """Under the folder that the cluster names in spark.checkpoint.dir; under one of our own where none is set."""
+    """Under the folder that the cluster names in spark.checkpoint.dir; under one of our own where none is set and the master
+    is local."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own = _own or f"file://{tempfile.mkdtemp(prefix='partloom-')}"
         base = _own
     return f"{base.rstrip('/')}/partloom-{name}-{uuid.uuid4().hex[:12]}"

@@ -95,38 +95,40 @@ def k07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k08_upsert_stream", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) nth from events) where nth = 1")
 def k08(spark: SparkSession, d: str) -> DataFrame:
-    """The newest event of each user: every batch is reduced to one row a key and merged into a new generation."""
-    base, state = new_path(spark, "current"), {"path": None}
+    """The newest event of each user: every batch is reduced to one row a key and merged with the generation of the batch
+    before it into its own. Batches are numbered one after the other, so after a restart the state is found by number, and a
+    batch that is run again writes the same generation."""
+    base = new_path(spark, "current")
     columns = ["user_id", "event_id", "value", "ts"]
 
     def merge(rows: DataFrame, n: int) -> None:
         session = rows.sparkSession
         every = rows.select(*columns)
-        if state["path"]:
-            every = every.union(session.read.parquet(state["path"]).select(*columns))
+        if n:
+            every = every.union(session.read.parquet(f"{base}/generation={n - 1}").select(*columns))
         newest = every.groupBy("user_id").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{base}/generation={n}")
-        state["path"] = f"{base}/generation={n}"
 
     run_to_end(event_stream(spark, d), "append", spark, merge)
-    return spark.read.parquet(state["path"]).select("user_id", "event_id", "value")
+    every = spark.read.parquet(base)
+    last = every.agg(F.max("generation")).first()[0]
+    return every.where(F.col("generation") == last).select("user_id", "event_id", "value")
 
 
 def take_tokens(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A bucket that fills continuously: each event takes a token or is told how long to wait."""
     tokens, at = state.get if state.exists else (BUCKET, None)
-    for frame in frames:
-        frame = frame.sort_values(["us", "event_id"])
-        allowed, wait = [], []
-        for us in frame["us"]:
-            tokens = BUCKET if at is None else min(BUCKET, tokens + max(0, us - at) / 1e6 * PER_SECOND)
-            at = us if at is None else max(at, us)
-            ok = tokens >= 1
-            tokens -= ok
-            allowed.append(bool(ok))
-            wait.append(0.0 if ok else (1 - tokens) / PER_SECOND)
-        yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "allowed": allowed, "wait": wait})
+    frame = pd.concat(frames).sort_values(["us", "event_id"])  # a key's rows of a batch can come in several frames
+    allowed, wait = [], []
+    for us in frame["us"]:
+        tokens = BUCKET if at is None else min(BUCKET, tokens + max(0, us - at) / 1e6 * PER_SECOND)
+        at = us if at is None else max(at, us)
+        ok = tokens >= 1
+        tokens -= ok
+        allowed.append(bool(ok))
+        wait.append(0.0 if ok else (1 - tokens) / PER_SECOND)
     state.update((float(tokens), int(at) if at is not None else 0))
+    yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "allowed": allowed, "wait": wait})
 
 
 @query("k10_token_bucket")

@@ -1,5 +1,13 @@
 """The driver's contract, and the shape of plans that matter."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import __spark_entry__ as entry
 from partloom.bindings import candidates
 from partloom.catalogue import QUERIES
@@ -28,3 +36,14 @@ def test_predicates_and_columns_reach_the_scan(spark, small):
 def test_unstated_stays(spark):
     rows = spark.createDataFrame([(1, None), (2, 5.0), (3, 50.0)], "id int, v double")
     assert [r.id for r in rows.where(in_range(rows.v, 1, 10)).collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_subpackage(tmp_path, pipeline):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "partloom", tmp_path / "partloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline and (root / "corpus_pipeline.py").exists())]:
+        shutil.copy(root / name, tmp_path)
+    told = "import __spark_entry__ as e; assert 'top_offers' in e.queries() and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; e.oracle_sql()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", told], cwd=tmp_path, env=env, check=True, timeout=120)
