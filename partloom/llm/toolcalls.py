@@ -4,13 +4,16 @@ Calls and results meet in a hash join on conversation, identifier and the number
 before, so an identifier that is used again is linked in order. Calls of a conversation depend on calls whose identifiers
 stand as ``{"$ref": id}`` in their arguments. The order by turn is a topological order already where every call comes after
 those it depends on; only calls that don't are raised, step by step, behind them. Arguments are checked against the JSON
-schema of their tool, as far as type, enum, required, properties, additionalProperties, items, minimum and maximum go.
+schema of their tool, as far as type (one or several), enum, required, properties, additionalProperties, items, minimum and
+maximum go; other keywords don't count. Numbers beyond a double's range are no JSON here, as they could not be written again;
+halves of surrogate pairs are written as escapes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +35,11 @@ def canonical(value) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1 << 53 else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _writable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _writable(text: str) -> str:
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _strict(text: str):
@@ -46,22 +53,28 @@ def _strict(text: str):
     def no(x):
         raise ValueError(x)
 
-    value = json.loads(text, object_pairs_hook=once, parse_constant=no)
-    return value
+    def finite(x):
+        return float(x) if math.isfinite(float(x)) else no(x)
+
+    return json.loads(text, object_pairs_hook=once, parse_constant=no, parse_float=finite)
+
+
+def _is_of(value, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or value == int(value))
+    return kind in _KINDS and isinstance(value, _KINDS[kind])
 
 
 def faults(value, schema: dict, at: str = "$") -> list[str]:
     """What a value breaks of a schema, by place."""
     if isinstance(value, dict) and set(value) == {"$ref"}:
         return []  # stands for another call's result
-    kind, out = schema.get("type"), []
-    number = isinstance(value, int | float) and not isinstance(value, bool)
-    if kind in ("integer", "number"):
-        if not number or not math.isfinite(value) or kind == "integer" and value != int(value):
-            return [f"{at}: no {kind}"]
-    elif kind is not None and not isinstance(value, _KINDS[kind]):
-        return [f"{at}: no {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    kinds, out = schema.get("type", []), []
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    number = _is_of(value, "number")
+    if kinds and not any(_is_of(value, k) for k in kinds):
+        return [f"{at}: no {' or '.join(kinds)}"]
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if number and value < schema.get("minimum", -math.inf):
         out.append(f"{at}: under minimum")
@@ -105,8 +118,8 @@ def checked_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     texts.append(None), errors.append(["$: no JSON"]), refs.append([])
                     continue
                 texts.append(canonical(value))
-                errors.append(faults(value, sent.value[name]) if name in sent.value else ["$: unknown tool"])
-                refs.append(sorted(set(_refs(value))))
+                errors.append([*map(_writable, faults(value, sent.value[name]))] if name in sent.value else ["$: unknown tool"])
+                refs.append(sorted({*map(_writable, _refs(value))}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.list_(pa.string())), pa.array(refs, pa.list_(pa.string()))], [*names, "canonical", "errors", "refs"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)

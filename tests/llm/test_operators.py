@@ -99,6 +99,9 @@ def test_licenses(spark, edge, empty):
     assert got[1] == ("MIT", "header", None) and got[2] == ("Apache-2.0", "directory", "a/b") and got[3][0] == "Apache-2.0" and got[7][0] == "Proprietary"
     assert got[4] == got[5] == got[6] == (None, None, None)
     assert scan.scan_licenses(df.limit(0), templates).count() == 0
+    same = [(1, "d", False, "Released under the MIT License."), (1, "d", False, "plain"), (None, "d", False, "x\nLicensed under the Apache License,\nVersion 2.0."), (None, "d", False, LONG)]
+    got = scan.scan_licenses(spark.createDataFrame(same, df.schema), templates).collect()
+    assert sorted((str(r.doc_id), str(r.license)) for r in got) == [("1", "MIT"), ("1", "None"), ("None", "Apache-2.0"), ("None", "None")]
 
 
 def test_url_filter(spark):
@@ -238,6 +241,17 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(c.limit(0), r.limit(0), toolcalls.TOOLS).count() == 0
 
 
+def test_schemas_and_numbers():
+    from partloom.llm import toolcalls
+
+    assert toolcalls.faults(None, {"type": ["string", "null"]}) == [] and toolcalls.faults(1, {"type": ["string", "null"]}) == ["$: no string or null"]
+    assert toolcalls.faults(True, {"enum": [1]}) == ["$: not in enum"] and toolcalls.faults(1.0, {"enum": [1]}) == [] and toolcalls.faults("x", {"minLength": 5}) == []
+    toolcalls.canonical(toolcalls._strict('"\\ud800"')).encode()
+    for bad in ("1e400", "NaN", '{"a":1,"a":2}'):
+        with pytest.raises(ValueError):
+            toolcalls._strict(bad)
+
+
 def test_conversation_calls_hold_whole_texts(spark):
     import json
 
