@@ -1,10 +1,10 @@
 """All queries of the library outside the subpackage for training data."""
 
 from partloom.functions import extraction, text_keys, vocabularies
-from partloom.operators import aggregates, checks, evaluation, matching, predicates, ranking, state, text_search
+from partloom.operators import aggregates, assessment, checks, evaluation, matching, predicates, ranking, state, text_search
 from partloom.plans import response
 from partloom.registry import QUERIES, SQL
 from partloom.sources import catalogue_sources
 from partloom.streaming import counters
 
-__all__ = ["QUERIES", "SQL", "aggregates", "catalogue_sources", "checks", "counters", "evaluation", "extraction", "matching", "predicates", "ranking", "response", "state", "text_keys", "text_search", "vocabularies"]
+__all__ = ["QUERIES", "SQL", "aggregates", "assessment", "catalogue_sources", "checks", "counters", "evaluation", "extraction", "matching", "predicates", "ranking", "response", "state", "text_keys", "text_search", "vocabularies"]

@@ -10,8 +10,8 @@ from partloom.operators.matching import KEY
 from partloom.registry import query
 
 #: Kind, what relaxing does with it, weight. Policy of the constraints that the bound views have.
-POLICY = (("family", "NEVER", 3.0), ("size", "NEVER", 2.0), ("rating", "BELOW_SPEC", 2.0), ("colour", "LADDER", 1.0))
-OVERRIDES = (("PROMO", "colour", "SOFT"), ("LARGE", "rating", "NEVER"))
+POLICY = (("family", "NEVER", 0.3), ("size", "NEVER", 0.4), ("rating", "BELOW_SPEC", 0.3), ("colour", "LADDER", 0.15))
+OVERRIDES = (("PROMO", "colour", "SOFT"), ("ECONOMY", "size", "SOFT"), ("LARGE", "rating", "NEVER"))
 OVERSHOOT_RATIO, LOW_STOCK = 2.0, 20
 
 
@@ -49,40 +49,12 @@ def unverified() -> Column:
     return F.filter(F.array(*[F.when(F.col(f"s_{k}") == "unknown", k) for k in ("size", "rating", "colour")]), lambda x: x.isNotNull())
 
 
-_WEIGHTS = {"size": 2.0, "rating": 2.0, "colour": 1.0}
-
-
-def score() -> Column:
-    """Plus the weight of a match, minus that of a miss, nothing for what isn't stated."""
-    return sum((F.when(F.col(f"s_{k}") == "match", w).when(F.col(f"s_{k}") == "conflict", -w).otherwise(0.0) for k, w in _WEIGHTS.items()), F.lit(0.0))
-
-
-def grade() -> Column:
-    """Earned over possible weight of what is verified, null if nothing is."""
-    earned = sum((F.when(F.col(f"s_{k}") == "match", w).otherwise(0.0) for k, w in _WEIGHTS.items()), F.lit(0.0))
-    possible = sum((F.when(F.col(f"s_{k}").isin("match", "conflict"), w).otherwise(0.0) for k, w in _WEIGHTS.items()), F.lit(0.0))
-    return F.when(possible > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), earned / possible)))
-
-
-SCORE_SQL = "(case s_size when 'match' then 2.0::double when 'conflict' then -2.0::double else 0.0::double end + case s_rating when 'match' then 2.0 when 'conflict' then -2.0 else 0.0 end + case s_colour when 'match' then 1.0 when 'conflict' then -1.0 else 0.0 end)"
-
-
-def tie_break() -> Column:
-    """Up to 0.05: mostly stock, saturating at a million."""
-    return F.least(F.lit(0.05), 0.03 * F.least(F.lit(1.0), F.log10(1 + F.col("stock")) / 6) + F.when(F.col("unit_price").isNotNull(), 0.02).otherwise(0.0))
-
-
 def overshoot(actual: Column, wanted: Column, ratio: float = OVERSHOOT_RATIO) -> Column:
     """A quarter for each octave beyond the ratio, two octaves at most."""
     octaves = F.log2(actual / (wanted * ratio))
     return F.when(actual > wanted * ratio, 0.25 * F.least(F.lit(2.0), octaves)).otherwise(0.0)
 
 
-def tier() -> Column:
-    """Below spec 8, too little stock 4, not complete 1."""
-    return F.when(F.col("s_rating") == "conflict", 8).otherwise(0) + F.when(F.col("stock") < F.col("quantity"), 4).otherwise(0) + F.when(F.size(unverified()) > 0, 1).otherwise(0)
-
-
 def verdict() -> Column:
     return F.when((F.col("s_size") == "conflict") | (F.col("s_colour") == "conflict"), "constraint").when(F.col("s_rating") == "conflict", "below_spec").when(F.col("s_rating") == "unknown", "unverified_rating").otherwise("meets")
 
@@ -115,19 +87,6 @@ def h03(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("request_id", *KEY, *(v.alias(k) for k, v in modes.items()))
 
 
-@query("h04_signed_score", checked_sql(f"select request_id, source, part_number, {SCORE_SQL} score from checked"))
-def h04(spark: SparkSession, d: str) -> DataFrame:
-    return checked(candidates(spark, d)).select("request_id", *KEY, score().alias("score"))
-
-
-@query("h05_match_grade", checked_sql("""
-select request_id, source, part_number, round(case when p > 0 then e / p end, 6) grade from (select *,
-case when s_size = 'match' then 2.0::double else 0.0::double end + case when s_rating = 'match' then 2.0::double else 0.0::double end + case when s_colour = 'match' then 1.0::double else 0.0::double end e,
-case when s_size in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_rating in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_colour in ('match', 'conflict') then 1.0::double else 0.0::double end p from checked)"""))
-def h05(spark: SparkSession, d: str) -> DataFrame:
-    return checked(candidates(spark, d)).select("request_id", *KEY, F.round(grade(), 6).alias("grade"))
-
-
 @query("h06_mismatches", checked_sql("""
 select request_id, source, part_number, concat_ws('; ', case when s_size = 'conflict' then concat('size: ', cast(cast(size_v as int) as varchar), ' instead of ', cast(cast(want_size as int) as varchar)) end,
 case when s_rating = 'conflict' then concat('rating: ', cast(cast(rating_v as int) as varchar), 'V below ', cast(cast(min_rating as int) as varchar), 'V') end,
@@ -180,26 +139,6 @@ def h11(spark: SparkSession, d: str) -> DataFrame:
     return shared.where("2 * same >= n").select("item_id", "doc_id", F.round(F.col("same") / F.col("n"), 6).alias("overlap"))
 
 
-@query("h12_tie_break", with_views("select source, part_number, round(least(0.05, 0.03 * least(1, log10(1 + stock) / 6) + case when unit_price is not null then 0.02 else 0 end), 6) bonus from offers", "offers"))
-def h12(spark: SparkSession, d: str) -> DataFrame:
-    return offers(spark, d).select(*KEY, F.round(tie_break(), 6).alias("bonus"))
-
-
-@query("h13_quantity_penalties", checked_sql("""
-select request_id, source, part_number, round(case when stock < quantity then 1 - stock / quantity else 0 end, 6) shortfall, round(greatest(0, log10(moq / quantity)) / 3, 6) moq_penalty,
-case when stock < greatest(20, 2 * quantity) then 0.1::double else 0.0::double end low_stock from checked"""))
-def h13(spark: SparkSession, d: str) -> DataFrame:
-    short = F.when(F.col("stock") < F.col("quantity"), 1 - F.col("stock") / F.col("quantity")).otherwise(0.0)
-    moq = F.greatest(F.lit(0.0), F.log10(F.col("moq") / F.col("quantity"))) / 3
-    low = F.when(F.col("stock") < F.greatest(F.lit(LOW_STOCK), 2 * F.col("quantity")), 0.1).otherwise(0.0)
-    return checked(candidates(spark, d)).select("request_id", *KEY, F.round(short, 6).alias("shortfall"), F.round(moq, 6).alias("moq_penalty"), low.alias("low_stock"))
-
-
-@query("h14_tier", checked_sql("select request_id, source, part_number, case when s_rating = 'conflict' then 8 else 0 end + case when stock < quantity then 4 else 0 end + case when 'unknown' in (s_size, coalesce(s_rating, ''), coalesce(s_colour, '')) then 1 else 0 end tier from checked"))
-def h14(spark: SparkSession, d: str) -> DataFrame:
-    return checked(candidates(spark, d)).select("request_id", *KEY, tier().alias("tier"))
-
-
 @query("h15_verdict", checked_sql(f"select request_id, source, part_number, {VERDICT_SQL} verdict from checked"))
 def h15(spark: SparkSession, d: str) -> DataFrame:
     return checked(candidates(spark, d)).select("request_id", *KEY, verdict().alias("verdict"))

@@ -12,23 +12,23 @@ KEY = ["source", "part_number"]
 
 
 def _by_class(offered: DataFrame) -> DataFrame:
-    return offered.where("stock > 0").withColumnRenamed("family", "of_family")
+    return offered.withColumnRenamed("family", "of_family")
 
 
 _SAME_CLASS = "family = of_family and maker = manufacturer"
 
 
-def candidate_join(asked: DataFrame, offered: DataFrame, margin: float) -> DataFrame:
+def candidate_join(asked: DataFrame, offered: DataFrame, margin: float, live: Column | None = None) -> DataFrame:
     """An equality join on family and maker; the size is a condition of the join, so unstated sizes stay without a loop over
-    pairs."""
+    pairs. live: which offers count as well as those in stock."""
     near = F.col("size_v").isNull() | F.col("size_v").between(F.col("want_size") - margin, F.col("want_size") + margin)
-    return asked.join(_by_class(offered), F.expr(_SAME_CLASS) & near).drop("of_family")
+    return asked.join(_by_class(offered), F.expr(_SAME_CLASS) & near & (F.col("stock") > 0 if live is None else live)).drop("of_family")
 
 
 def candidate_split_join(asked: DataFrame, offered: DataFrame, sizes: list[float]) -> DataFrame:
     """The same candidates by two equality joins: stated sizes on class and size, unstated ones on the class alone. For whole
     sizes, each request looks for the values within its margin."""
-    stock = _by_class(offered)
+    stock = _by_class(offered.where("stock > 0"))
     wanted = asked.withColumn("size_key", F.explode(F.array(*[F.col("want_size") + s for s in sizes])))
     stated = wanted.join(stock.where("size_v is not null"), F.expr(f"{_SAME_CLASS} and size_key = size_v")).drop("size_key", "of_family")
     unstated = asked.join(stock.where("size_v is null"), F.expr(_SAME_CLASS)).drop("of_family")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.bindings import candidates, evaluation, offers, requests, table, with_views
-from partloom.operators.checks import SCORE_SQL, checked, checked_sql, score
+from partloom.operators.assessment import ORDER_SQL, assessed, assessed_sql, total_order
+from partloom.operators.checks import checked, checked_sql
 from partloom.operators.matching import KEY
 from partloom.registry import query
 
@@ -93,19 +94,9 @@ def f05(spark: SparkSession, d: str) -> DataFrame:
     return quotas(offers(spark, d).where("stock > 0 and colour = 'red'").groupBy("source").agg(F.count("*").alias("n")), 40)
 
 
-_TIER = "(case when s_rating = 'conflict' then 8 else 0 end + case when stock < quantity then 4 else 0 end + case when 'unknown' in (s_size, coalesce(s_rating, ''), coalesce(s_colour, '')) then 1 else 0 end)"
-
-
-def total_order() -> list:
-    """Tier, score, stock, price, key: no two rows are equal in it."""
-    from partloom.operators.checks import tier
-
-    return [tier(), score().desc(), F.desc("stock"), F.col("unit_price").asc_nulls_last(), *KEY]
-
-
-@query("f06_total_order", checked_sql(f"select request_id, source, part_number, cast(row_number() over (partition by request_id order by {_TIER}, {SCORE_SQL} desc, stock desc, unit_price nulls last, source, part_number) as int) nth from checked"))
+@query("f06_total_order", assessed_sql(f"select request_id, source, part_number, cast(row_number() over (partition by request_id order by {ORDER_SQL}) as int) nth from assessed"))
 def f06(spark: SparkSession, d: str) -> DataFrame:
-    return checked(candidates(spark, d)).select("request_id", *KEY, F.row_number().over(Window.partitionBy("request_id").orderBy(*total_order())).alias("nth"))
+    return assessed(candidates(spark, d)).select("request_id", *KEY, F.row_number().over(Window.partitionBy("request_id").orderBy(*total_order())).alias("nth"))
 
 
 @query("f07_monotone_scores", with_views("select qid, cand_key, case when label = 3 then 1.0::double else round(min(score_b) over (partition by qid order by line_no, cand_key rows between unbounded preceding and current row), 6) end score from evaluation", "evaluation"))

@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.bindings import candidates
-from partloom.operators.checks import VERDICT_SQL, checked, checked_sql, conflicts, grade, score, tier, verdict
+from partloom.operators.assessment import ORDER_SQL, assessed, assessed_sql, total_order
+from partloom.operators.checks import VERDICT_SQL, conflicts, verdict
 from partloom.operators.matching import KEY
 from partloom.registry import query
 
-_GRADE = """case when (case when s_size in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_rating in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_colour in ('match', 'conflict') then 1.0::double else 0.0::double end) > 0 then
-(case when s_size = 'match' then 2.0::double else 0.0::double end + case when s_rating = 'match' then 2.0::double else 0.0::double end + case when s_colour = 'match' then 1.0::double else 0.0::double end) / (case when s_size in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_rating in ('match', 'conflict') then 2.0::double else 0.0::double end + case when s_colour in ('match', 'conflict') then 1.0::double else 0.0::double end) end"""
 _CONFLICT = "(s_size = 'conflict' or coalesce(s_rating, '') = 'conflict' or coalesce(s_colour, '') = 'conflict')"
 
 
-@query("top_offers", checked_sql(f"""
-select request_id, nth, source, part_number, round({_GRADE}, 6) grade, {VERDICT_SQL} verdict, left_out from (
-select *, cast(row_number() over (partition by request_id order by {_CONFLICT}, case when stock < quantity then 4 else 0 end + case when 'unknown' in (s_size, coalesce(s_rating, ''), coalesce(s_colour, '')) then 1 else 0 end,
-(case s_size when 'match' then 2.0 else 0.0 end + case s_rating when 'match' then 2.0 else 0.0 end + case s_colour when 'match' then 1.0 else 0.0 end) desc, stock desc, unit_price, source, part_number) as int) nth,
-count(case when {_CONFLICT} then 1 end) over (partition by request_id) left_out from checked) where not {_CONFLICT} and nth <= max_results"""))
+@query("top_offers", assessed_sql(f"""
+select request_id, nth, source, part_number, round(grade, 6) grade, {VERDICT_SQL} verdict, left_out from (
+select *, cast(row_number() over (partition by request_id order by {_CONFLICT}, {ORDER_SQL}) as int) nth,
+count(case when {_CONFLICT} then 1 end) over (partition by request_id) left_out from assessed) where not {_CONFLICT} and nth <= max_results"""))
 def top_offers(spark: SparkSession, d: str) -> DataFrame:
     """Each request's best offers with grade and verdict, and how many candidates conflict with it."""
     own = Window.partitionBy("request_id")
-    rows = checked(candidates(spark, d)).withColumn("out", F.size(conflicts()) > 0)
+    rows = assessed(candidates(spark, d)).withColumn("out", F.size(conflicts()) > 0)
     rows = rows.withColumn("left_out", F.count_if("out").over(own)).where("not out")
-    nth = F.row_number().over(own.orderBy(tier(), score().desc(), F.desc("stock"), "unit_price", *KEY))
-    return rows.withColumn("nth", nth).where("nth <= max_results").select("request_id", "nth", *KEY, F.round(grade(), 6).alias("grade"), verdict().alias("verdict"), "left_out")
+    nth = F.row_number().over(own.orderBy(*total_order()))
+    return rows.withColumn("nth", nth).where("nth <= max_results").select("request_id", "nth", *KEY, F.round("grade", 6).alias("grade"), verdict().alias("verdict"), "left_out")
