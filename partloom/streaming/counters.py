@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from partloom.bindings import table
-from partloom.registry import query
+from partloom.registry import SQL, query
 from partloom.sources.files import new_path
 
 MINUTE, DAY = 60 * 1_000_000, 86_400 * 1_000_000
@@ -52,15 +52,26 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k03_throttled_until", "select user_id, case when max(ts + interval 1 hour) filter (where event_type = 'error') > timestamp '2024-01-15' then max(ts + interval 1 hour) filter (where event_type = 'error') end until from events group by user_id")
 def k03(spark: SparkSession, d: str) -> DataFrame:
-    wait = F.max(F.when(F.col("event_type") == "error", F.col("ts").cast("timestamp_ntz") + F.expr("interval 1 hour")))
-    rows = table(spark, d, "events").groupBy("user_id").agg(wait.alias("t"))
-    return rows.select("user_id", F.when(F.col("t") > F.lit("2024-01-15").cast("timestamp_ntz"), F.col("t")).alias("until"))
+    return until(last_waits(table(spark, d, "events")))
+
+
+def last_waits(rows: DataFrame) -> DataFrame:
+    """An error throttles its user for an hour; the latest end counts."""
+    return rows.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("ts").cast("timestamp_ntz") + F.expr("interval 1 hour"))).alias("t"))
+
+
+def until(waits: DataFrame) -> DataFrame:
+    return waits.select("user_id", F.when(F.col("t") > F.lit("2024-01-15").cast("timestamp_ntz"), F.col("t")).alias("until"))
+
+
+def newest_events(rows: DataFrame, n: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
 
 
 @query("k04_bounded_state", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) nth from events) where nth <= 20")
 def k04(spark: SparkSession, d: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").select("user_id", "event_id", nth.alias("nth")).where("nth <= 20").drop("nth")
+    return newest_events(table(spark, d, "events").select("user_id", "event_id", "ts"), 20).drop("ts")
 
 
 @query("k05_tagged_counters", "select event_type, user_id % 3 shard, count(*) n from events group by 1, 2")
@@ -84,35 +95,114 @@ def k06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k07_gauges_with_zeros", "select d.on_day, k.event_type, coalesce(c.n, 0) n from (select distinct date_trunc('day', ts) as on_day from events) d cross join (select distinct event_type from events) k left join (select date_trunc('day', ts) as on_day, event_type, count(*) n from events group by 1, 2) c on c.on_day = d.on_day and c.event_type = k.event_type")
 def k07(spark: SparkSession, d: str) -> DataFrame:
+    return with_zeros(counts_by_day(table(spark, d, "events")))
+
+
+def counts_by_day(rows: DataFrame) -> DataFrame:
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return rows.groupBy(day.alias("on_day"), "event_type").agg(F.count("*").alias("n"))
+
+
+def with_zeros(counts: DataFrame) -> DataFrame:
     """Snapshots by day; a group that has vanished reports 0. Days and types are few and fixed by the calendar and the
     vocabulary."""
-    rows = table(spark, d, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("on_day"), "event_type")
-    counts = rows.groupBy("on_day", "event_type").agg(F.count("*").alias("n"))
     kinds = counts.agg(F.collect_set("event_type").alias("kinds"))
     every = counts.select("on_day").distinct().join(F.broadcast(kinds)).select("on_day", F.explode("kinds").alias("event_type"))
     return every.join(counts, ["on_day", "event_type"], "left").select("on_day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def keep_generations(stream: DataFrame, spark: SparkSession, base: str, step: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]]) -> None:
+    """Runs step on each batch and the state before it. What it returns by name is written as generation n of that name, and
+    ``state`` is what the next batch gets. Batches are numbered one after the other, so after a restart the state is found by
+    number, and a batch that is run again writes the same generation."""
+
+    def each(rows: DataFrame, n: int) -> None:
+        before = rows.sparkSession.read.parquet(f"{base}/state/generation={n - 1}") if n else None
+        for name, out in step(rows, before).items():
+            out.write.mode("overwrite").parquet(f"{base}/{name}/generation={n}")
+
+    run_to_end(stream, "append", spark, each)
+
+
+def newest(spark: SparkSession, base: str) -> DataFrame:
+    """The state of the last generation."""
+    every = spark.read.parquet(f"{base}/state")
+    return every.where(F.col("generation") == every.agg(F.max("generation")).first()[0]).drop("generation")
+
+
+def _with_state(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    return rows if before is None else rows.unionByName(before.select(*rows.columns))
+
+
+def sliding_counts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, event_id, last_minute and last_day of each event as it arrives. The state holds a user's events of the last
+    day before the newest, so it doesn't grow with the length of the stream."""
+    base = new_path(spark, "sliding")
+
+    def step(rows: DataFrame, before: DataFrame | None) -> dict[str, DataFrame]:
+        every = _with_state(rows.withColumn("now", F.lit(True)), None if before is None else before.withColumn("now", F.lit(False)))
+        counts = every.select("user_id", "event_id", "now", in_window(MINUTE).alias("last_minute"), in_window(DAY).alias("last_day")).where("now").drop("now")
+        last = every.drop("now").withColumn("last", F.max("us").over(Window.partitionBy("user_id")))
+        return {"counts": counts, "state": last.where(F.col("us") > F.col("last") - DAY).drop("last")}
+
+    keep_generations(event_stream(spark, d).select("user_id", "event_id", micros().alias("us")), spark, base, step)
+    return spark.read.parquet(f"{base}/counts").drop("generation")
+
+
+@query("k01_sliding_counts_stream", SQL["k01_sliding_counts"])
+def k01_stream(spark: SparkSession, d: str) -> DataFrame:
+    return sliding_counts_stream(spark, d).select("event_id", "last_minute", "last_day")
+
+
+@query("k02_remaining_stream", SQL["k02_remaining"])
+def k02_stream(spark: SparkSession, d: str) -> DataFrame:
+    most = sliding_counts_stream(spark, d).groupBy("user_id").agg(F.max("last_day").alias("used"))
+    return most.select("user_id", "used", F.greatest(F.lit(0), 4 - F.col("used")).alias("remaining"))
+
+
+def _kept_complete(counted: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """A table that a stream keeps: each batch writes it anew as a generation of its own."""
+    base = new_path(spark, name)
+    run_to_end(counted, "complete", spark, lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/state/generation={n}"))
+    return newest(spark, base)
+
+
+@query("k03_throttled_until_stream", SQL["k03_throttled_until"])
+def k03_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The state is a time for each user."""
+    return until(_kept_complete(last_waits(event_stream(spark, d)), spark, "throttled"))
+
+
+@query("k04_bounded_state_stream", SQL["k04_bounded_state"])
+def k04_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The newest twenty events of each user; what is older leaves the state with the batch that brings newer ones."""
+    base = new_path(spark, "bounded")
+    keep_generations(event_stream(spark, d).select("user_id", "event_id", "ts"), spark, base, lambda rows, before: {"state": newest_events(_with_state(rows, before), 20)})
+    return newest(spark, base).select("user_id", "event_id")
+
+
+@query("k06_timers_stream", SQL["k06_timers"])
+def k06_stream(spark: SparkSession, d: str) -> DataFrame:
+    timed = event_stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _kept_complete(timed, spark, "timers").withColumn("total", F.round("total", 4))
+
+
+@query("k07_gauges_with_zeros_stream", SQL["k07_gauges_with_zeros"])
+def k07_stream(spark: SparkSession, d: str) -> DataFrame:
+    return with_zeros(_kept_complete(counts_by_day(event_stream(spark, d)), spark, "gauges"))
+
+
 @query("k08_upsert_stream", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) nth from events) where nth = 1")
 def k08(spark: SparkSession, d: str) -> DataFrame:
-    """The newest event of each user: every batch is reduced to one row a key and merged with the generation of the batch
-    before it into its own. Batches are numbered one after the other, so after a restart the state is found by number, and a
-    batch that is run again writes the same generation."""
+    """The newest event of each user: every batch is reduced to one row a key and merged with the state before it."""
     base = new_path(spark, "current")
     columns = ["user_id", "event_id", "value", "ts"]
 
-    def merge(rows: DataFrame, n: int) -> None:
-        session = rows.sparkSession
-        every = rows.select(*columns)
-        if n:
-            every = every.union(session.read.parquet(f"{base}/generation={n - 1}").select(*columns))
-        newest = every.groupBy("user_id").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{base}/generation={n}")
-
-    run_to_end(event_stream(spark, d), "append", spark, merge)
-    every = spark.read.parquet(base)
-    last = every.agg(F.max("generation")).first()[0]
-    return every.where(F.col("generation") == last).select("user_id", "event_id", "value")
+    def step(rows: DataFrame, before: DataFrame | None) -> dict[str, DataFrame]:
+        return {"state": _with_state(rows, before).groupBy("user_id").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("r")).select("r.*")}
+
+    keep_generations(event_stream(spark, d).select(*columns), spark, base, step)
+    return newest(spark, base).select("user_id", "event_id", "value")
 
 
 def take_tokens(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -73,3 +73,16 @@ def test_upsert_twice_changes_nothing(spark, small):
     rows = offers(spark, small)
     once = upsert(old_state(rows), new_state(rows))
     assert upsert(once, new_state(rows)).exceptAll(once).count() == 0
+
+
+@pytest.mark.parametrize("name", ["k01_sliding_counts", "k02_remaining", "k03_throttled_until", "k04_bounded_state", "k06_timers", "k07_gauges_with_zeros"])
+def test_streams_of_several_batches_equal_the_table_at_rest(spark, small, tmp_path, name):
+    """Events in order of time, in three files that the stream takes one by one."""
+    rows = spark.read.parquet(f"{small}/events.parquet").orderBy("ts", "event_id").toPandas()
+    (tmp_path / "events.parquet").mkdir()
+    bounds = [0, len(rows) // 4, len(rows) // 2, len(rows)]
+    for i in range(3):
+        part = rows.iloc[bounds[i] : bounds[i + 1]].reset_index(drop=True)
+        part.to_parquet(tmp_path / "events.parquet" / f"part-{i}.parquet", coerce_timestamps="us")
+    of = lambda n: sorted(tuple(plain(x) for x in r) for r in QUERIES[n](spark, str(tmp_path)).collect())
+    assert of(f"{name}_stream") == of(name)
