@@ -138,11 +138,39 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return offers(spark, d).select("family", *KEY, running.alias("live")).where("live <= 10").drop("live")
 
 
-@query("f12_stale_demotion", with_views("select request_id, source, part_number, cast(row_number() over (partition by request_id order by colour is null, fetched_at < timestamp '2001-01-01', unit_price, source, part_number) as int) nth from candidates", *ALL))
+STALE_PENALTIES = {"nth": 1.0, "nth_mild": 0.2}
+
+
+def stale_last(rows: DataFrame, penalty: float, out: str) -> DataFrame:
+    """rows (request_id, grp, rank, score, stale) with their place out once stale rows are lowered by penalty.
+
+    Scores don't rise down a list, and rows of a group stand together. So to put each stale row before the first fresh one of its
+    group that scores less than what is left of its score is to merge both by that score, fresh rows first where it is equal.
+    """
+    left = F.round(F.col("score") - F.when(F.col("stale"), penalty).otherwise(0.0), 6)
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy("request_id").orderBy("grp", left.desc(), "stale", "rank")))
+
+
+_STALE_ORDER = "cast(row_number() over (partition by request_id order by grp, round(score - case when stale then {} else 0e0 end, 6) desc, stale, rank) as int)"
+
+
+@query("f12_stale_demotion", assessed_sql(f"""
+, ranked as (select *, row_number() over (partition by request_id order by {ORDER_SQL}) rank from assessed),
+listed as (select request_id, source, part_number, rank, fetched_at < timestamp '2001-01-01' stale, min(final) over (partition by request_id order by rank rows between unbounded preceding and current row) score,
+case when named then -1 else 2 * class_no + case when tier % 16 >= 8 then 1 else 0 end end grp from ranked)
+select request_id, source, part_number, {_STALE_ORDER.format("1e0")} nth, {_STALE_ORDER.format("2e-1")} nth_mild from listed"""))
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    """Stale rows go behind the fresh ones of their group and keep their order."""
+    """Groups are named parts, then match classes, each with what meets the request before what is below spec."""
+    own = Window.partitionBy("request_id")
+    rows = assessed(candidates(spark, d)).withColumn("rank", F.row_number().over(own.orderBy(*total_order())))
+    class_no = F.when(F.col("match_class") == "complete", 0).when(F.col("match_class") == "partial", 2).otherwise(4)
+    group = F.when(F.col("tier") < 0, -1).otherwise(class_no + (F.col("tier") % 16 >= 8).cast("int"))
+    running = F.min("final").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     stale = F.col("fetched_at") < F.lit("2001-01-01").cast("timestamp_ntz")
-    return candidates(spark, d).select("request_id", *KEY, F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("colour").isNull(), stale, "unit_price", *KEY)).alias("nth"))
+    rows = rows.select("request_id", *KEY, "rank", stale.alias("stale"), running.alias("score"), group.alias("grp"))
+    for out, penalty in STALE_PENALTIES.items():
+        rows = stale_last(rows, penalty, out)
+    return rows.select("request_id", *KEY, *STALE_PENALTIES)
 
 
 def relaxation(rows: DataFrame, steps: int, enough: int) -> DataFrame:

@@ -86,3 +86,20 @@ def test_streams_of_several_batches_equal_the_table_at_rest(spark, small, tmp_pa
         part.to_parquet(tmp_path / "events.parquet" / f"part-{i}.parquet", coerce_timestamps="us")
     of = lambda n: sorted(tuple(plain(x) for x in r) for r in QUERIES[n](spark, str(tmp_path)).collect())
     assert of(f"{name}_stream") == of(name)
+
+
+@pytest.mark.parametrize("penalty", [1.0, 0.3, 0.05])
+def test_stale_rows_go_where_the_loop_puts_them(spark, penalty):
+    """Each stale row in turn goes before the first fresh row of its group that scores less, or the first of a later group."""
+    from partloom.operators.ranking import stale_last
+
+    lists = {r: [(r, i * 3 // 25, i, round(1 - (i // 2) * 0.04, 6), (i * i + r) % 3 == 0) for i in range(25)] for r in range(12)}
+    rows = spark.createDataFrame([x for own in lists.values() for x in own], "request_id int, grp int, rank int, score double, stale boolean")
+    got = {(x.request_id, x["rank"]): x.nth for x in stale_last(rows, penalty, "nth").collect()}
+    for r, own in lists.items():
+        out = [x for x in own if not x[4]]
+        for x in (x for x in own if x[4]):
+            left = round(x[3] - penalty, 6)
+            at = next((i for i, o in enumerate(out) if o[1] > x[1] or (o[1] == x[1] and not o[4] and o[3] < left)), len(out))
+            out.insert(at, x)
+        assert [got[r, x[2]] for x in out] == list(range(1, len(out) + 1))
