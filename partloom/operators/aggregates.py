@@ -154,13 +154,31 @@ def e16(spark: SparkSession, d: str) -> DataFrame:
     return largest_remainder(pools, "total", "w", "grp", "k").select("grp", "k", "share")
 
 
-@query("e17_amounts_to_move", "select event_type, greatest(0, users - errors) as amount from (select event_type, count(distinct user_id) users, count(case when value < 5 then 1 end) errors from events group by 1)")
+def transfers(series: DataFrame, pools: DataFrame, name: str, key: str) -> DataFrame:
+    """series (name, key, target, live, moved) and pools (name, pool) to held, amount and pool_left. What a series holds, be it
+    counted live or moved before, counts against its target; what it lacks comes out of the pool of its name, in full where
+    the pool covers all, else in proportion. So a name's total never changes, and a second run moves nothing twice."""
+    held = series.withColumn("held", F.greatest("live", "moved")).withColumn("lacks", F.greatest(F.lit(0), F.col("target") - F.col("held")))
+    own = Window.partitionBy(name)
+    given = held.join(pools, name, "left").withColumn("pool", F.coalesce("pool", F.lit(0))).withColumn("total", F.least("pool", F.sum("lacks").over(own)))
+    shared = largest_remainder(given, "total", "lacks", name, key).withColumnRenamed("share", "amount")
+    return shared.withColumn("pool_left", F.col("pool") - F.sum("amount").over(own))
+
+
+@query("e17_amounts_to_move", """
+with s as (select event_type, user_id % 5 tag, count(case when value >= 10 then 1 end) target, count(case when value >= 30 then 1 end) live, count(case when event_id % 4 = 0 then 1 end) moved from events group by 1, 2),
+p as (select event_type, count(case when value < case when event_type in ('view', 'click') then 60 else 8 end then 1 end) pool from events group by 1),
+l as (select *, greatest(live, moved) held, greatest(0, target - greatest(live, moved)) lacks from s join p using (event_type)),
+t as (select *, least(pool, sum(lacks) over w) total, sum(lacks) over w whole from l window w as (partition by event_type)),
+q as (select *, case when whole > 0 then total * lacks // whole else 0 end part, case when whole > 0 then total * lacks % whole else 0 end rest from t),
+a as (select *, part + case when whole > 0 and row_number() over (partition by event_type order by rest desc, tag) <= total - sum(part) over (partition by event_type) then 1 else 0 end amount from q)
+select event_type, tag, target, held, cast(amount as bigint) amount, cast(pool - sum(amount) over (partition by event_type) as bigint) pool_left from a""")
 def e17(spark: SparkSession, d: str) -> DataFrame:
-    """What a counter lacks to its lower bound."""
-    events = table(spark, d, "events")
-    bound = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
-    held = events.groupBy("event_type").agg(F.count_if(F.col("value") < 5).alias("errors"))
-    return bound.join(held, "event_type").select("event_type", F.greatest(F.lit(0), F.col("users") - F.col("errors")).alias("amount"))
+    """Counters by type and tag, with what has no tag yet as the pool of the type; what they hold is half counted, half moved."""
+    events, value = table(spark, d, "events"), F.col("value")
+    series = events.groupBy("event_type", (F.col("user_id") % 5).alias("tag")).agg(F.count_if(value >= 10).alias("target"), F.count_if(value >= 30).alias("live"), F.count_if(F.col("event_id") % 4 == 0).alias("moved"))
+    pools = events.groupBy("event_type").agg(F.count_if(value < F.when(F.col("event_type").isin("view", "click"), 60).otherwise(8)).alias("pool"))
+    return transfers(series, pools, "event_type", "tag").select("event_type", "tag", "target", "held", "amount", "pool_left")
 
 
 @query("e18_latency_summary", "select event_type, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.9), 6) p90, round(quantile_cont(value, 0.95), 6) p95, max(value) most from events group by event_type")

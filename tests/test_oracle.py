@@ -103,3 +103,16 @@ def test_stale_rows_go_where_the_loop_puts_them(spark, penalty):
             at = next((i for i, o in enumerate(out) if o[1] > x[1] or (o[1] == x[1] and not o[4] and o[3] < left)), len(out))
             out.insert(at, x)
         assert [got[r, x[2]] for x in out] == list(range(1, len(out) + 1))
+
+
+def test_transfers_keep_totals_and_move_nothing_twice(spark):
+    from partloom.operators.aggregates import transfers
+
+    series = [("a", "x", 10, 4, 0), ("a", "y", 7, 0, 2), ("a", "z", 3, 5, 0), ("b", "x", 9, 0, 0), ("b", "y", 9, 0, 0), ("b", "z", 9, 0, 0), ("c", "x", 4, 0, 0)]
+    pools, names = {"a": 20, "b": 10}, "event_type string, tag string, target long, live long, moved long"
+    run = lambda rows, left: transfers(spark.createDataFrame(rows, names), spark.createDataFrame(list(left.items()), "event_type string, pool long"), "event_type", "tag").collect()
+    first = {(r.event_type, r.tag): r for r in run(series, pools)}
+    assert {k: r.amount for k, r in first.items()} == {("a", "x"): 6, ("a", "y"): 5, ("a", "z"): 0, ("b", "x"): 4, ("b", "y"): 3, ("b", "z"): 3, ("c", "x"): 0}
+    assert {k: r.pool_left for k, r in first.items()} == {("a", t): 9 for t in "xyz"} | {("b", t): 0 for t in "xyz"} | {("c", "x"): 0}
+    again = [(n, t, target, live + first[n, t].amount, moved + first[n, t].amount) for n, t, target, live, moved in series]
+    assert all(r.amount == 0 for r in run(again, {"a": 9, "b": 0}))
