@@ -15,8 +15,18 @@ FOLDED, FOLDS = "µμ", "uu"
 REWRITES = ((r"\+/-", "±"), (r"(?<=\d),(?=\d)", "."), (r"\bvolts?\b", "V"), (r"(\d) +(uF|V|ohm)\b", "$1$2"))
 #: Words of classes with their priority; the smallest wins.
 CLASS_WORDS = (("widget", "device", 1), ("gear", "drive", 2), ("bolt", "fastener", 3), ("ring", "fastener", 3), ("red", "coloured", 8), ("blue", "coloured", 8), ("old", "used", 9))
-#: Aliases of package codes.
-CODE_ALIASES = (("SOP8", "SOIC8"), ("SO8", "SOIC8"), ("TO220AB", "TO220"), ("0603M", "0201"))
+#: Package codes with the code that they stand for.
+CODE_ALIASES = dict(pair.split("=") for pair in """
+SOT-23-3=SOT-23 SOT-25=SOT-23-5 SOT-753=SOT-23-5 SOT-26=SOT-23-6 TO-236=SOT-23 TO-236AB=SOT-23 SC-70=SOT-323 SC-70-3=SOT-323
+SOT-323-3=SOT-323 SC-70-5=SOT-353 SC-70-6=SOT-363 SC-88=SOT-363 SC-88A=SOT-353 SC-59=SOT-23 SOT-223-3=SOT-223 SOT-223-4=SOT-223
+SOT-89-3=SOT-89 DPAK=TO-252 TO-252AA=TO-252 TO-252-3=TO-252 D2PAK=TO-263 TO-263AB=TO-263 TO-263-3=TO-263 TO-220AB=TO-220
+TO-220-3=TO-220 TO-92-3=TO-92 TO-247-3=TO-247 DO-214AC=SMA DO-214AA=SMB DO-214AB=SMC SOD-123FL=SOD-123F MINI-MELF=MINIMELF
+LL-34=MINIMELF LL34=MINIMELF""".split())
+#: Classes of packages that are told apart by their number of leads alone, and those that are one class.
+LEADED = "SOIC SOP SO SSOP TSSOP MSOP QSOP VSSOP HTSSOP HSOP ESOP QFN DFN VQFN WQFN UQFN TQFN LQFP TQFP QFP BGA LGA WLCSP DIP PDIP SIP ZIP PLCC SON WSON VSON TDFN UDFN XDFN USON LFCSP CSP".split()
+SAME_CLASS = {"SO": "SOIC", "SOP": "SOIC", "PDIP": "DIP"}
+#: Spellings that the queries on codes give to parts in turn.
+SPELLINGS = ("so-8", "SOP-8-EP", "SOIC-8_150mil", "TO-236AB", "SOT-23-3L", "sot-23", "DPAK", " TO-252-3 ", "PDIP-14", "QFN-16(EP)", "0603", "")
 #: Metric sizes and the imperial ones they stand for.
 IMPERIAL = (("1005", "0402"), ("1608", "0603"), ("2012", "0805"), ("3216", "1206"))
 
@@ -40,8 +50,26 @@ def tokens(c: Column) -> Column:
 
 
 def code_key(c: Column) -> Column:
-    """Letters and digits of a code, upper case, without a suffix in brackets; aliases are looked up by classify_codes."""
-    return F.upper(F.regexp_replace(F.regexp_replace(c, r"\(.*\)$", ""), "[^A-Za-z0-9]", ""))
+    """Equal for codes of the same package: the L of a lead count goes, aliases and classes are merged, what follows the leads
+    and all punctuation goes. Null for blank codes."""
+    looked_up = lambda table, k: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), k), k)
+    code = looked_up(CODE_ALIASES, F.regexp_replace(F.upper(F.trim(c)), _LEADS, "$1"))
+    part = lambda i: F.regexp_extract(code, _LEADED, i)
+    named = F.when(part(1) != "", F.concat(looked_up(SAME_CLASS, part(1)), part(2))).otherwise(code)
+    return F.when(F.trim(c) != "", F.regexp_replace(named, "[^A-Z0-9]", ""))
+
+
+def spelling(n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, SPELLINGS)), (n % len(SPELLINGS) + 1).cast("int"))
+
+
+_LEADS = "^((?:SOT|SOD|SC|TO)-[0-9]{2,3}-[0-9]{1,2})L$"
+_LEADED = f"^({'|'.join(LEADED)})-([0-9]{{1,4}}).*$"
+_listed = lambda pairs: "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+SPELLING_SQL = "([" + ", ".join(f"'{x}'" for x in SPELLINGS) + f"])[{{}} % {len(SPELLINGS)} + 1]"
+#: The key of column code as a lateral chain of SQL columns.
+CODE_KEY_SQL = f"""regexp_replace(upper(trim(code)), '{_LEADS}', '\\1') c1, coalesce({_listed(CODE_ALIASES)}[c1], c1) c2, regexp_extract(c2, '{_LEADED}', 1) c3,
+case when trim(code) = '' then null else regexp_replace(case when c3 <> '' then concat(coalesce({_listed(SAME_CLASS)}[c3], c3), regexp_extract(c2, '{_LEADED}', 2)) else c2 end, '[^A-Z0-9]', '', 'g') end code_key"""
 
 
 def phrase_key(c: Column) -> Column:
@@ -77,12 +105,10 @@ def b03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("b10_code_key", f"select code, coalesce(a.main, upper(regexp_replace(regexp_replace(code, '\\(.*\\)$', ''), '[^A-Za-z0-9]', '', 'g'))) code_key from (select concat(case pk % 4 when 0 then 'so-8' when 1 then 'TO-220AB' when 2 then 'QFN-16(EP)' else 'sot-23' end) code, pk from (select p_partkey pk from part)) left join (values {', '.join(str(a) for a in CODE_ALIASES)}) a(alias, main) on a.alias = upper(regexp_replace(regexp_replace(code, '\\(.*\\)$', ''), '[^A-Za-z0-9]', '', 'g'))")
+@query("b10_code_key", f"select p_partkey, code, code_key from (select *, {CODE_KEY_SQL} from (select p_partkey, {SPELLING_SQL.format('p_partkey')} code from part))")
 def b10(spark: SparkSession, d: str) -> DataFrame:
-    pk = F.col("p_partkey") % 4
-    codes = table(spark, d, "part").select(F.when(pk == 0, "so-8").when(pk == 1, "TO-220AB").when(pk == 2, "QFN-16(EP)").otherwise("sot-23").alias("code")).withColumn("k", code_key(F.col("code")))
-    aliases = spark.createDataFrame(list(CODE_ALIASES), "k string, main string")
-    return codes.join(aliases, "k", "left").select("code", F.coalesce("main", "k").alias("code_key"))
+    code = spelling(F.col("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", code.alias("code"), code_key(code).alias("code_key"))
 
 
 @query("b11_labelled_metric_code", f"select p_partkey, coalesce(m.imperial, '') code from (select p_partkey, regexp_extract(concat(case when p_partkey % 2 = 0 then 'metric ' else '' end, case p_partkey % 3 when 0 then '1608' when 1 then '3216' else '0603' end), 'metric ([0-9]{{4}})', 1) found from part) left join (values {', '.join(str(a) for a in IMPERIAL)}) m(metric, imperial) on m.metric = found")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.bindings import offers, requests, table, with_views
+from partloom.functions.text_keys import CODE_KEY_SQL, SPELLING_SQL, code_key, spelling
 from partloom.operators.matching import KEY
 from partloom.operators.ranking import first_by_key
 from partloom.registry import query
@@ -90,11 +91,31 @@ def b23(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.col("full")["size"].alias("size_by"), F.array_join("added", ",").alias("added"), F.array_join(enriched(F.col("full"), F.col("derived"))[1], ",").alias("added_again"))
 
 
-@query("c09_code_match", with_views("select source, part_number from offers where kind = 'bolt' or abs(size_v - 20) <= 2 or kind = 'ring' or kind is null or size_v is null", "offers"))
+@query("c09_code_match", with_views(f", k as (select *, {CODE_KEY_SQL} from (select *, {SPELLING_SQL.format('pk')} code from offers)) select source, part_number from k where code_key = 'SOIC8' or abs(size_v - 20) <= 2 or kind = 'ring' or code_key is null", "offers").replace(") , k as", "), k as"))
 def c09(spark: SparkSession, d: str) -> DataFrame:
-    """The code is equal, or its size is within the margin, or it is of a neutral class, or can't be read."""
-    kind, size = F.col("kind"), F.col("size_v")
-    return offers(spark, d).where((kind == "bolt") | (F.abs(size - 20) <= 2) | (kind == "ring") | kind.isNull() | size.isNull()).select(*KEY)
+    """The code is of the wanted package, or its size is within the margin, or it is of a neutral class, or can't be read."""
+    kind, size, key = F.col("kind"), F.col("size_v"), code_key(spelling(F.col("pk")))
+    return offers(spark, d).where((key == code_key(F.lit("SOP-8"))) | (F.abs(size - 20) <= 2) | (kind == "ring") | key.isNull()).select(*KEY)
+
+
+def class_grade(wanted: Column, wanted_parent: Column, actual: Column, actual_parent: Column, mentioned: Column) -> Column:
+    """The wanted class or one that specialises it 1, its generic class 0, another -1; without a class 1 where the text names it."""
+    stated = F.when((actual == wanted) | (actual_parent == wanted), 1).when(actual == wanted_parent, 0).otherwise(-1)
+    return F.when(actual.isNotNull(), stated).when(mentioned, 1).otherwise(0)
+
+
+@query("h20_class_grade", with_views(f""", h(class, parent) as (values {_PARENT_VALUES}) select r.request_id, o.source, o.part_number,
+case when o.kind = 'ring' then case when contains(lower(o.description), lower(r.family)) then 1 else 0 end when o.family = r.family or a.parent = r.family then 1 when o.family = w.parent then 0 else -1 end grade
+from requests r join offers o on o.manufacturer = r.maker and o.size_v = r.want_size left join h w on w.class = r.family left join h a on a.class = o.family""", "requests", "offers").replace(") , h(", "), h("))
+def h20(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of offers of the wanted maker and size; those of kind ring count as without a class, so their text tells."""
+    of = offers(spark, d).withColumnRenamed("family", "of_family")
+    pairs = requests(spark, d).join(of, (F.col("manufacturer") == F.col("maker")) & (F.col("size_v") == F.col("want_size")))
+    for name in ("family", "of_family"):
+        pairs = pairs.join(parents(spark).toDF(name, f"{name}_parent"), name, "left")
+    actual = F.when(F.col("kind") == "ring", None).otherwise(F.col("of_family"))
+    grade = class_grade(F.col("family"), F.col("family_parent"), actual, F.col("of_family_parent"), F.lower("description").contains(F.lower("family")))
+    return pairs.select("request_id", *KEY, grade.alias("grade"))
 
 
 @query("c14_compatible_vocabulary", f"with h(class, parent) as (values {_PARENT_VALUES}) select a.class wanted, string_agg(b.class, ',' order by b.class) accepted from h a join h b on a.class = b.class or a.parent = b.class or b.parent = a.class group by 1")

@@ -187,11 +187,3 @@ def h23(spark: SparkSession, d: str) -> DataFrame:
     stated = offers(spark, d).agg(F.count("family").alias("family"), F.count("size_v").alias("size"), F.count("rating_v").alias("rating"), F.count("colour").alias("colour"))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("role"), F.lit(w).alias("weight"), F.col(k).alias("stated")) for k, r, w in POLICY]))
     return stated.select(rows.alias("r")).select("r.*")
-
-
-@query("h20_class_grade", with_views("select request_id, source, part_number, case when o.family = r.family then 1 when o.family = 'STANDARD' then 0 else -1 end grade from requests r join offers o on o.pk = r.request_id", "requests", "offers"))
-def h20(spark: SparkSession, d: str) -> DataFrame:
-    """The same class 1, the generic one 0, another -1."""
-    offered = offers(spark, d).withColumnRenamed("family", "of_family")
-    graded = F.when(F.col("of_family") == F.col("family"), 1).when(F.col("of_family") == "STANDARD", 0).otherwise(-1)
-    return requests(spark, d).join(offered, F.col("pk") == F.col("request_id")).select("request_id", *KEY, graded.alias("grade"))
