@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partloom.bindings import offers, requests, table, with_views
-from partloom.functions.text_keys import tokens
+from partloom.functions.text_keys import CLASS_WORDS, normal_key, tokens
 from partloom.operators.matching import KEY
 from partloom.registry import query
 
@@ -17,6 +17,16 @@ UNITS = (("CFM", "m3/h", 1.699011), ("mmH2O", "Pa", 9.80665), ("gf", "N", 0.0098
 #: Attribute names that may state an attribute, first precedence first.
 SOURCES = (("size", "capacity", 1), ("size", "value", 2), ("rating", "voltage", 1), ("rating", "v_max", 2))
 
+#: Columns of a request or offer that a value's unit tells: unit, column, factor from the base unit to the column's.
+TYPED = (("F", "size", 1e6), ("V", "rating", 1.0), ("Hz", "frequency", 1.0), ("ohm", "resistance", 1.0))
+#: Words of requests that are values of a column, and those that say nothing.
+WORD_COLUMNS = {"colour": ("red", "blue", "green", "old", "new", "cold", "hot"), "family": ("promo", "economy", "medium", "small", "standard", "large")}
+SAYS_NOTHING = ("with", "at", "least", "a", "the", "for", "of")
+#: The column that a request is mainly about is the first of these that it states.
+PRIMARY = ("size", "resistance", "frequency", "rating", "family", "colour")
+#: Fields of a payload that its hash covers, in this order.
+HASHED = ("brand", "size", "type")
+
 
 def si_value(c: Column, unit: str) -> Column:
     """The value of a number with an SI prefix and a unit, in the base unit, case-sensitive; null for other texts."""
@@ -32,6 +42,55 @@ def infix_value(c: Column) -> Column:
     return F.when(parts(2) != "", F.concat(parts(1), F.lit("."), parts(3)).cast("double") * powers[parts(2)])
 
 
+def display(v: Column, unit: str, condition: Column | None = None) -> Column:
+    """A value in base units with the largest prefix that leaves 1 or more, to three decimals without zeros at the end; behind
+    it the condition that it was measured at, where there is one."""
+    number = lambda x: F.regexp_replace(F.round(x, 3).cast("decimal(38,3)").cast("string"), r"\.?0+$", "")
+    scaled = lambda prefix, power: F.concat(number(v / 10.0**power), F.lit(f"{prefix}{unit}"))
+    shown = scaled(*PREFIXES[0])
+    for prefix, power in PREFIXES[1:]:
+        shown = F.when(F.abs(v) >= 10.0**power, scaled(prefix, power)).otherwise(shown)
+    shown = F.when(v == 0, f"0{unit}").otherwise(shown)
+    return shown if condition is None else F.concat(shown, F.coalesce(F.concat(F.lit(" @"), condition), F.lit("")))
+
+
+def first_value(words: Column, unit: str) -> Column:
+    """The first word that is a value of the unit, in its base unit."""
+    return F.get(F.filter(F.transform(words, lambda w: si_value(w, unit)), lambda v: v.isNotNull()), 0)
+
+
+def first_word(words: Column, known: tuple[str, ...]) -> Column:
+    return F.get(F.filter(words, lambda w: F.lower(w).isin(*known)), 0)
+
+
+def typed_values(words: Column) -> dict[str, Column]:
+    """For each declared column what the words state of it; null where they don't."""
+    stated = {column: F.round(first_value(words, unit) * factor, 6) for unit, column, factor in TYPED}
+    return stated | {column: first_word(words, known) for column, known in WORD_COLUMNS.items()}
+
+
+def class_in(words: Column) -> Column:
+    """The class of the word with the first priority, without a shuffle."""
+    known = F.create_map(*[x for word, name, priority in CLASS_WORDS for x in (F.lit(word), F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("class")))])
+    return F.array_min(F.transform(words, lambda w: F.try_element_at(known, w)))["class"]
+
+
+def left_over(words: Column) -> Column:
+    """Words that are neither values, words of a column nor empty talk."""
+    value = rf"^[0-9]+(\.[0-9]+)?[pnumkMG]?({'|'.join(u for u, _, _ in TYPED)})$"
+    return F.filter(words, lambda w: ~w.rlike(value) & ~F.lower(w).isin(*SAYS_NOTHING, *(x for known in WORD_COLUMNS.values() for x in known)))
+
+
+def canonical_hash(payload: Column, fields: tuple[str, ...] = HASHED) -> Column:
+    """md5 of the named fields of a JSON object: keys sorted at all depths, 1.50 as 1.5, a missing field as null; other fields
+    don't count. What is no JSON object hashes as a whole, marked by a leading x. Numbers with exponents keep a point."""
+    parsed = F.try_parse_json(payload)
+    listed = [F.concat(F.lit(f'"{f}":'), F.coalesce(F.to_json(F.try_variant_get(parsed, f"$.{f}", "variant")), F.lit("null"))) for f in fields]
+    readable = F.md5(F.concat(F.lit("{"), F.concat_ws(",", *listed), F.lit("}")))
+    whole = F.concat(F.lit("x"), F.substring(F.md5(F.coalesce(payload, F.lit(""))), 2, 31))
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), readable).otherwise(whole)
+
+
 def round_digits(v: Column, digits: int = 9) -> Column:
     """Rounded to so many significant digits, halves up; null and 0 stay."""
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(v))))
@@ -79,8 +138,7 @@ def resolve_attributes(rows: DataFrame, keys: list[str], attributes: str) -> Dat
 @query("b04_si_values", with_views("select part_number, source, round(cast(regexp_extract(description, '([0-9]+)uF', 1) as double) * 1e-6, 12) farad, cast(regexp_extract(description, '([0-9]+)V', 1) as double) volt from offers", "offers"))
 def b04(spark: SparkSession, d: str) -> DataFrame:
     words = tokens(F.col("description"))
-    first = lambda unit: F.get(F.filter(F.transform(words, lambda w: si_value(w, unit)), lambda v: v.isNotNull()), 0)
-    return offers(spark, d).select(*KEY, F.round(first("F"), 12).alias("farad"), first("V").alias("volt"))
+    return offers(spark, d).select(*KEY, F.round(first_value(words, "F"), 12).alias("farad"), first_value(words, "V").alias("volt"))
 
 
 @query("b05_infix_values", "select p_partkey, round((p_partkey % 10 + (p_partkey % 7) / 10.0) * case p_partkey % 3 when 0 then 1000 when 1 then 1 else 0.000001 end, 9)::double ohm from part")
@@ -107,11 +165,14 @@ def b07(spark: SparkSession, d: str) -> DataFrame:
     return sized.join(spark.createDataFrame(list(UNITS), "unit string, base string, factor double"), "unit").select("p_partkey", "base", F.round(F.col("p_size") * F.col("factor"), 6).alias("v"))
 
 
-@query("b08_display", with_views("select part_number, source, case when stock >= 1000 then concat(cast(stock // 1000 as varchar), 'kohm') else concat(cast(stock as varchar), 'ohm') end as shown from offers", "offers"))
+_SHOWN = "case when v = 0 then '0ohm' " + " ".join(f"when v >= 1e{e} then concat(regexp_replace(cast(cast(round(v / 1e{e}, 3) as decimal(38, 3)) as varchar), '\\.?0+$', ''), '{p}ohm')" for p, e in reversed(PREFIXES)) + " end"
+
+
+@query("b08_display", f"select p_partkey, concat({_SHOWN}, case when p_partkey % 4 = 0 then ' @100MHz' else '' end) shown from (select p_partkey, case when p_partkey % 50 = 0 then 0 else p_size * 47 * pow(10.0, p_partkey % 14 - 7) end v from part)")
 def b08(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("stock")
-    shown = F.when(v >= 1000, F.concat(F.floor(v / 1000).cast("string"), F.lit("kohm"))).otherwise(F.concat(v.cast("string"), F.lit("ohm")))
-    return offers(spark, d).select(*KEY, shown.alias("shown"))
+    pk = F.col("p_partkey")
+    v = F.when(pk % 50 == 0, 0.0).otherwise(F.col("p_size") * 47 * F.pow(F.lit(10.0), pk % 14 - 7))
+    return table(spark, d, "part").select("p_partkey", display(v, "ohm", F.when(pk % 4 == 0, "100MHz")).alias("shown"))
 
 
 @query("b09_nine_digits", with_views("select part_number, source, case when v is null or v = 0 then v else floor(v * pow(10.0, 8 - floor(log10(abs(v)))) + 0.5) / pow(10.0, 8 - floor(log10(abs(v)))) end v from (select *, unit_price / 7 v from offers)", "offers"))
@@ -155,20 +216,38 @@ def b24(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(stored), lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("attributes"))
 
 
-@query("b25_typed_row", with_views("select part_number, source, size_v, rating_v, lower(colour) colour, stock > 0 in_stock, lower(concat_ws(' ', mpn, manufacturer, description)) search_text from offers", "offers"))
+_CLASS = "case " + " ".join(f"when list_contains(w, '{word}') then '{name}'" for word, name, _ in sorted(CLASS_WORDS, key=lambda x: x[2])) + " end"
+_COLOURS = ", ".join(f"'{x}'" for x in WORD_COLUMNS["colour"])
+_FAMILIES = ", ".join(f"'{x}'" for x in WORD_COLUMNS["family"])
+
+
+@query("b25_typed_row", with_views(f"""
+select source, part_number, size, rating, colour, family, class, in_stock, n_typed, search_text, concat_ws(',', 'class=' || class, 'colour=' || colour, 'family=' || family) attributes from (
+select *, cast((size is not null)::int + (rating is not null)::int + (colour is not null)::int + (family is not null)::int as int) n_typed from (
+select source, part_number, cast(regexp_extract(description, '([0-9]+)uF', 1) as double) size, cast(regexp_extract(description, '([0-9]+)V', 1) as double) rating, list_filter(w, lambda x: x in ({_COLOURS}))[1] colour,
+list_filter(w, lambda x: x in ({_FAMILIES}))[1] family, {_CLASS} as class, stock > 0 in_stock, lower(concat_ws(' ', mpn, manufacturer, description)) search_text from (select *, string_split(description, ' ') w from offers)))""", "offers"))
 def b25(spark: SparkSession, d: str) -> DataFrame:
-    return offers(spark, d).select(*KEY, "size_v", "rating_v", F.lower("colour").alias("colour"), (F.col("stock") > 0).alias("in_stock"), F.lower(F.concat_ws(" ", "mpn", "manufacturer", "description")).alias("search_text"))
+    """The wide row of an offer out of its description: values by unit, words of columns, the class, and a text to search."""
+    words = tokens(F.col("description"))
+    typed = {k: v for k, v in typed_values(words).items() if k not in ("frequency", "resistance")}  # no description states these
+    rows = offers(spark, d).select(*KEY, *(v.alias(k) for k, v in typed.items()), class_in(words).alias("class"), (F.col("stock") > 0).alias("in_stock"), normal_key(F.concat_ws(" ", "mpn", "manufacturer", "description")).alias("search_text"))
+    attributes = F.concat_ws(",", *(F.concat(F.lit(f"{k}="), k) for k in ("class", "colour", "family")))
+    return rows.withColumns({"n_typed": sum(F.col(k).isNotNull().cast("int") for k in typed), "attributes": attributes})
 
 
-@query("b26_request_parsing", with_views("select request_id, want_size p_size, min_rating p_rating, array_to_string(list_filter(string_split(concat_ws(' ', want_colour, lower(family)), ' '), lambda w: w not in ('promo', 'large')), ' ') keywords from requests", "requests"))
+@query("b26_request_parsing", with_views("""
+select request_id, want_size size, min_rating rating, cast(null as double) frequency, case when request_id % 5 = 0 then 4700.0::double end resistance, want_colour colour, lower(family) family,
+case when request_id % 7 <> 0 then 'size' when request_id % 5 = 0 then 'resistance' when min_rating is not null then 'rating' else 'family' end primary_kind, concat_ws(' ', 'shiny', maker) keywords
+from (select * replace (case when request_id % 7 <> 0 then want_size end as want_size) from requests)""", "requests"))
 def b26(spark: SparkSession, d: str) -> DataFrame:
-    """Requests written out as text and read again: typed values, and the words that are left."""
-    number = lambda c: F.col(c).cast("int").cast("string")
-    text = F.concat_ws(" ", F.concat(number("want_size"), F.lit("uF")), F.concat(number("min_rating"), F.lit("V")), "want_colour", F.lower("family"))
+    """Texts of requests: typed values, the column that each is mainly about, and the keywords that are left."""
+    number, request = lambda c: F.col(c).cast("int").cast("string"), F.col("request_id")
+    size, rating = F.when(request % 7 != 0, F.concat(number("want_size"), F.lit("uF"))), F.concat(F.lit("at least "), number("min_rating"), F.lit("V,"))
+    text = F.concat_ws(" ", F.lit("a shiny"), F.initcap("family"), size, F.lit("with"), rating, F.when(request % 5 == 0, "4.7kohm"), "want_colour", F.lit("for the"), "maker")
     words = tokens(text)
-    value = lambda unit, factor: F.round(F.get(F.filter(F.transform(words, lambda w: si_value(w, unit)), lambda v: v.isNotNull()), 0) * factor, 6)
-    left = F.filter(words, lambda w: ~w.rlike(r"^[0-9.]+(uF|V)$") & ~w.isin("promo", "large"))
-    return requests(spark, d).select("request_id", value("F", 1e6).alias("p_size"), value("V", 1.0).alias("p_rating"), F.array_join(left, " ").alias("keywords"))
+    typed = typed_values(words) | {"family": F.lower(typed_values(words)["family"])}
+    rows = requests(spark, d).select("request_id", *(v.alias(k) for k, v in typed.items()), F.array_join(left_over(words), " ").alias("keywords"))
+    return rows.withColumn("primary_kind", F.coalesce(*(F.when(F.col(k).isNotNull(), k) for k in PRIMARY)))
 
 
 @query("b30_price_brackets", "select p_partkey, concat('1:', cast(p_size as varchar), '.0,10:', cast(p_size as varchar), '.5') as brackets from part")
@@ -186,10 +265,15 @@ def b31(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.regexp_replace(plain, ",", ".").cast("double").alias("price"))
 
 
-@query("b32_canonical_hash", "select p_partkey, md5(concat('{\"brand\":\"', p_brand, '\",\"size\":', cast(p_size as varchar), ',\"type\":\"', p_type, '\"}')) as h from part")
+@query("b32_canonical_hash", """
+select p_partkey, case p_partkey % 5 when 0 then concat('x', substr(md5(concat('{"size":', cast(p_size as varchar))), 2))
+when 1 then md5(concat('{"brand":null,"size":', cast(p_size as varchar), '.5,"type":"', p_type, '"}')) else md5(concat('{"brand":{"a":"', p_brand, '","b":[1,2.5]},"size":', cast(p_size as varchar), '.5,"type":"', p_type, '"}')) end h from part""")
 def b32(spark: SparkSession, d: str) -> DataFrame:
-    fields = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
-    return table(spark, d, "part").select("p_partkey", F.md5(F.to_json(fields, {"ignoreNullFields": "false"})).alias("h"))
+    """Payloads with their keys in any order and blanks; some lack a field, some break off."""
+    pk, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    rest = F.concat(F.lit('"type": "'), "p_type", F.lit('", "size": '), size, F.lit(".50, \"seen\": "), pk.cast("string"), F.lit("}"))
+    payload = F.when(pk % 5 == 0, F.concat(F.lit('{"size":'), size)).when(pk % 5 == 1, F.concat(F.lit("{"), rest)).otherwise(F.concat(F.lit('{"brand": {"b": [1, 2.50], "a": "'), "p_brand", F.lit('"}, '), rest))
+    return table(spark, d, "part").select("p_partkey", canonical_hash(payload).alias("h"))
 
 
 _AVAILABLE = "case when stock = 0 then 'none' when stock < 5 then 'short' when stock < 40 then 'low' else 'good' end"
@@ -228,8 +312,15 @@ def b37(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", *KEY, "order_quantity", F.round(F.col("order_quantity") * bracket_price(F.col("b"), F.col("order_quantity")), 4).alias("total"))
 
 
-@query("b38_three_smallest_brackets", with_views("select part_number, source, '1,5,10' as quantities from offers", "offers"))
+def smallest_brackets(brackets: Column, n: int = 3) -> Column:
+    """Those of the n smallest quantities; of a quantity's prices the lowest."""
+    ordered = F.array_sort(brackets)
+    quantities = F.transform(ordered, lambda b: b.quantity)
+    return F.slice(F.filter(ordered, lambda b, i: F.array_position(quantities, b.quantity) == i + 1), 1, n)
+
+
+@query("b38_three_smallest_brackets", with_views("select part_number, source, array_to_string(list_slice(list_sort(list_distinct([stock + 1, moq, 10 * order_multiple, 200])), 1, 3), ',') quantities from offers", "offers"))
 def b38(spark: SparkSession, d: str) -> DataFrame:
-    brackets = F.array(*[F.struct(F.lit(q).alias("quantity"), F.col("unit_price").alias("price")) for q in (100, 5, 10, 1)])
-    kept = F.transform(F.slice(F.array_sort(brackets), 1, 3), lambda b: b.quantity.cast("string"))
-    return offers(spark, d).select(*KEY, F.array_join(kept, ",").alias("quantities"))
+    quantities = (F.lit(200), F.col("stock") + 1, 10 * F.col("order_multiple"), F.col("moq"))
+    brackets = F.array(*[F.struct(q.cast("long").alias("quantity"), (F.col("unit_price") * f).alias("price")) for q, f in zip(quantities, (0.7, 0.8, 0.9, 1.0))])
+    return offers(spark, d).select(*KEY, F.array_join(F.transform(smallest_brackets(brackets), lambda b: b.quantity.cast("string")), ",").alias("quantities"))
