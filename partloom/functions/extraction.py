@@ -97,6 +97,30 @@ def round_digits(v: Column, digits: int = 9) -> Column:
     return F.when(v.isNull() | (v == 0), v).otherwise(F.floor(v * scale + 0.5) / scale)
 
 
+def tolerance_percent(text: Column) -> Column:
+    """±5% as 5; null where the text has none."""
+    return F.regexp_extract(text, r"± *([0-9]+(?:\.[0-9]+)?)%", 1).try_cast("double")
+
+
+def watts(text: Column) -> Column:
+    """1/8W as 0.125, 2W as 2: a fraction goes before a whole number."""
+    part = lambda i: F.regexp_extract(text, r"\b([0-9]+)/([0-9]+)W\b", i).try_cast("double")
+    whole = F.regexp_extract(text, r"(?<![/0-9.])([0-9]+(?:\.[0-9]+)?)W\b", 1).try_cast("double")
+    return F.coalesce(part(1) / F.nullif(part(2), F.lit(0.0)), whole)
+
+
+def celsius(text: Column) -> Column:
+    """A temperature as 105C or 105°C; nothing else that ends in C."""
+    return F.regexp_extract(text, r"(?<![A-Za-z0-9.])(-?[0-9]+)°?C\b", 1).try_cast("double")
+
+
+def range_of(text: Column, unit: str) -> Column:
+    """low~high of a unit as low, centre and high; one value is all three."""
+    end = lambda i: F.regexp_extract(text, rf"^([0-9.]+)(?:[~-]([0-9.]+))?{unit}$", i).try_cast("double")
+    low, high = end(1), F.coalesce(end(2), end(1))
+    return F.struct(low.alias("low"), ((low + high) / 2).alias("centre"), high.alias("high"))
+
+
 def price_brackets(raw: Column) -> Column:
     """1-199:0.013,200-:0.01 as sorted brackets (quantity, price); malformed ones go, the first of a quantity stays."""
     parts = F.transform(F.split(raw, ","), lambda p: F.struct(F.regexp_extract(p, r"^\s*([0-9]+)(?:-[0-9]*)?:([0-9.]+)\s*$", 1).try_cast("int").alias("quantity"), F.regexp_extract(p, r"^\s*([0-9]+)(?:-[0-9]*)?:([0-9.]+)\s*$", 2).try_cast("double").alias("price")))
@@ -154,8 +178,7 @@ def b06(spark: SparkSession, d: str) -> DataFrame:
     """Tolerances in percent, powers as fractions of a watt, bare temperatures."""
     pk = F.col("p_partkey")
     text = F.concat(F.lit("±"), (pk % 20).cast("string"), F.lit("% 1/"), (pk % 8 + 1).cast("string"), F.lit("W "), (85 + pk % 40).cast("string"), F.lit("C"))
-    tolerance, power, heat = F.regexp_extract(text, "±([0-9.]+)%", 1), F.regexp_extract(text, "1/([0-9]+)W", 1), F.regexp_extract(text, "([0-9]+)C", 1)
-    return table(spark, d, "part").select("p_partkey", tolerance.cast("double").alias("percent"), F.round(1 / power.cast("double"), 6).alias("watt"), heat.cast("double").alias("celsius"))
+    return table(spark, d, "part").select("p_partkey", tolerance_percent(text).alias("percent"), F.round(watts(text), 6).alias("watt"), celsius(text).alias("celsius"))
 
 
 @query("b07_unit_factors", f"select p_partkey, u.base, round(p_size * u.factor, 6) as v from (select p_partkey, p_size, case p_partkey % 5 when 0 then 'CFM' when 1 then 'mmH2O' when 2 then 'gf' when 3 then 'inch' else 'mil' end unit from part) join (values {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, {c}::double)' for a, b, c in UNITS)}) u(unit, base, factor) using (unit)")
@@ -203,8 +226,8 @@ def b18(spark: SparkSession, d: str) -> DataFrame:
 @query("b19_range_centre", "select p_partkey, (p_size + p_size + 10) / 2.0::double centre, cast(p_size + 10 as double) upper_end from part")
 def b19(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("p_size").cast("string"), F.lit("~"), (F.col("p_size") + 10).cast("string"), F.lit("nm"))
-    low, high = (F.regexp_extract(text, r"^([0-9.]+)~([0-9.]+)nm$", i).cast("double") for i in (1, 2))
-    return table(spark, d, "part").select("p_partkey", ((low + high) / 2).alias("centre"), high.alias("upper_end"))
+    span = range_of(text, "nm")
+    return table(spark, d, "part").select("p_partkey", span.centre.alias("centre"), span.high.alias("upper_end"))
 
 
 @query("b24_strip_derived_keys", "select p_partkey, concat('brand=', p_brand) as attributes from part")

@@ -57,3 +57,12 @@ def test_class_grades(spark):
     rows = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], "n int, w string, wp string, a string, ap string, m boolean")
     grade = vocabularies.class_grade(*(F.col(c) for c in ("w", "wp", "a", "ap", "m")))
     assert [r.g for r in rows.select("n", grade.alias("g")).orderBy("n").collect()] == [1, 1, 0, -1, 1, 0, -1]
+
+
+def test_tolerances_powers_heat_and_ranges(spark):
+    texts = ["±5% 1/8W 105C", "± 0.5% 2W -40°C", "1/0W 5CC R5C", "", None]
+    assert told(spark, extraction.tolerance_percent, texts) == [5.0, 0.5, None, None, None]
+    assert told(spark, extraction.watts, texts) == [0.125, 2.0, None, None, None]
+    assert told(spark, extraction.celsius, texts) == [105.0, -40.0, None, None, None]
+    spans = told(spark, lambda c: extraction.range_of(c, "nm"), ["620~630nm", "5nm", "x", None])
+    assert [tuple(x) for x in spans] == [(620.0, 625.0, 630.0), (5.0, 5.0, 5.0), (None, None, None), (None, None, None)]
