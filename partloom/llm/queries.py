@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partloom.llm.centroids import OP12_SQL, op12_centroids
 from partloom.llm.decontam import op1_decontamination
 from partloom.llm.license import OP3_SQL, op3_licenses
 from partloom.llm.mixing import op8_mixing
+from partloom.llm.phrases import op11_phrases
 from partloom.llm.quality import op9_quality
 from partloom.llm.simhash import op6_simhash
 from partloom.llm.sstable import op10_token_shards
@@ -30,8 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_token_shards": op10_token_shards,
+        "op11_phrases": op11_phrases,
+        "op12_centroids": op12_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_top_k": OP5_SQL}
+    return {"op3_licenses": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_top_k": OP5_SQL, "op12_centroids": OP12_SQL}
