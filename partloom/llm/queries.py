@@ -12,6 +12,7 @@ from partloom.llm.license import OP3_SQL, op3_licenses
 from partloom.llm.mixing import op8_mixing
 from partloom.llm.phrases import op11_phrases
 from partloom.llm.quality import op9_quality
+from partloom.llm.repair import op13_repair
 from partloom.llm.simhash import op6_simhash
 from partloom.llm.sstable import op10_token_shards
 from partloom.llm.toolcalls import op7_tool_calls
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_shards": op10_token_shards,
         "op11_phrases": op11_phrases,
         "op12_centroids": op12_centroids,
+        "op13_repair": op13_repair,
     }
 
 

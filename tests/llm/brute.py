@@ -1,9 +1,11 @@
 """What the contracts say, by plain loops over small tables."""
 
 import base64
+import functools
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -99,6 +101,76 @@ def sha1_base32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def phrases(text):
+    """The phrases of Ziv and Lempel's parse of 1978, a character at a time."""
+    found, phrase = set(), ""
+    for c in text:
+        phrase += c
+        if phrase not in found:
+            found.add(phrase)
+            phrase = ""
+    return found
+
+
+def descending(docs):
+    """By id, nulls last; rows of one id as they come."""
+    return sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0)))
+
+
+def damage(turns):
+    """(conv_id, turn, role, text) in the order of the file, to the rows after damage and all ids."""
+    out, said = [], lambda x: " " if x is None else str(x)
+    for conv, turn, role, text in turns:
+        role, text, fault = said(role), said(text), zlib.crc32(f"{said(conv)}:{said(turn)}".encode()) % 20
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out, {t[0] for t in turns}
+
+
+def repair(turns, ids):
+    """What each conversation's turns are, and its cheapest edits, by trying all that a turn allows."""
+    out = []
+    for conv in ids:
+        rows = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
+        seen, marks, n = set(), [], [0, 0, 0]
+        for _, _, role, text in rows:
+            left = [c for c in text if c not in " \t\n\x0b\x0c\r"]
+            mark = 0 if not left else 1 if (role, text) in seen else 2 if left[-1] not in ".!?" else None
+            seen.add((role, text))
+            marks.append(mark)
+            if mark is not None:
+                n[mark] += 1
+
+        @functools.cache
+        def best(i, state, made=0):
+            """The cheapest (cost, letters, lines) from row i on; state: what has been said, of '', s, u, a."""
+            can = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+            want = "a" if state == "u" else "u"
+            name = {"u": "user", "a": "assistant"}[want]
+            if made < 2:
+                c, e, lines = best(i, want, made + 1)
+                can.append((c + 5, "I" + e, (f"{name}:", *lines)))
+            if i < len(rows):
+                _, _, role, text = rows[i]
+                c, e, lines = best(i + 1, state)
+                can.append((c + 2, "D" + e, lines))
+                if marks[i] not in (0, 1):
+                    more = 5 * (marks[i] == 2)
+                    if role[:1] == want or state == "" and role[:1] == "s":
+                        c, e, lines = best(i + 1, role[:1])
+                        can.append((c + more, "K" + e, (f"{role}:{text}", *lines)))
+                    c, e, lines = best(i + 1, want)
+                    can.append((c + more + 1, "R" + e, (f"{name}:{text}", *lines)))
+            return min(can, default=(10**9, "", ()))
+
+        cost, audit, lines = best(0, "")
+        first = [r[2][:1] for r in rows]
+        turn = [t for _, t, _, _ in rows if t is not None]
+        gaps = max(turn) - min(turn) + 1 - len(set(turn)) if turn else 0
+        out.append((conv, gaps, *n, sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:])), cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out
+
+
 def shingles(text, k=5):
     w = (text or "").translate(LOW).split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
