@@ -3,7 +3,7 @@
 Calls and results meet in a hash join on conversation, identifier and the number of times that the identifier has come
 before, so an identifier that is used again is linked in order. Calls of a conversation depend on calls whose identifiers
 stand as ``{"$ref": id}`` in their arguments. The order by turn is a topological order already where every call comes after
-those it depends on; only calls that don't are raised, step by step, behind them. Arguments are checked against the JSON
+those it depends on; only calls that don't are raised behind them, by ways of doubled length. Arguments are checked against the JSON
 schema of their tool, as far as type (one or several), enum, required, properties, additionalProperties, items, minimum and
 maximum go; other keywords don't count. Numbers beyond a double's range are no JSON here, as they could not be written again;
 halves of surrogate pairs are written as escapes.
@@ -126,26 +126,41 @@ def checked_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return calls.mapInArrow(run, f"{kinds}, canonical string, errors array<string>, refs array<string>")
 
 
+def _stretches(edges: DataFrame) -> DataFrame:
+    """conv_id, low and high of the turns that references to the same or a later turn span, where spans overlap as one."""
+    spans = edges.where("ref_turn >= turn").groupBy("conv_id", F.col("turn").alias("low")).agg(F.max("ref_turn").alias("high"))
+    by = Window.partitionBy("conv_id").orderBy("low")
+    reached = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("low") <= reached, 0).otherwise(1)
+    numbered = spans.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(by))
+    return numbered.groupBy("conv_id", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def _places(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, place and depth of calls that have to stand behind their own turn, and whether they are in a cycle
-    or behind one. A call's place is the latest turn that it waits for; depth orders calls of one place."""
-    edges = calls.select("conv_id", "call_id", "turn", F.explode("refs").alias("ref"))
-    first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
+    or behind one.
+
+    A call's place is the latest turn that it waits for; depth, the longest way to a call of that turn, orders calls of one
+    place. Only calls in a stretch of turns that a reference forwards spans can be raised, so ways are followed within
+    stretches, where each round doubles their length: as many rounds as the logarithm of a stretch's calls. The ways of a
+    stretch grow with the square of the calls in it that depend on each other, not with the conversation.
+    """
+    first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
+    edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct().join(first, ["conv_id", "call_id"])
     edges = stored(edges.join(first.select("conv_id", F.col("call_id").alias("ref"), F.col("turn").alias("ref_turn")), ["conv_id", "ref"]), "edges")
-    place = F.struct(F.col("ref_turn").alias("place"), F.lit(1).alias("depth"))
-    raised = stored(edges.where("ref_turn >= turn").groupBy("conv_id", "call_id").agg(F.max(place).alias("at")), "raised")
-    n = raised.count()
-    for _ in range(n):
-        through = edges.join(raised.select("conv_id", F.col("call_id").alias("ref"), F.col("at").alias("ref_at")), ["conv_id", "ref"]).where("ref_at.place >= turn")
-        more = through.select("conv_id", "call_id", F.struct(F.col("ref_at.place").alias("place"), (F.col("ref_at.depth") + 1).alias("depth")).alias("at"))
-        now = stored(raised.union(more).groupBy("conv_id", "call_id").agg(F.max("at").alias("at")), "raised")
-        sizes = now.groupBy("conv_id").agg(F.count("*").alias("n"))
-        open_ = now.exceptAll(raised).join(sizes, "conv_id").where("at.depth <= n").limit(1).count()
-        raised = now
-        if not open_:
-            break
-    sizes = raised.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return raised.join(sizes, "conv_id").select("conv_id", "call_id", F.col("at.place").alias("place"), F.least("at.depth", "n").alias("depth"), (F.col("at.depth") > F.col("n")).alias("cyclic"))
+    stretches = stored(_stretches(edges), "stretches")
+    within = edges.join(stretches, "conv_id").where(F.col("turn").between(F.col("low"), F.col("high")) & F.col("ref_turn").between(F.col("low"), F.col("high")))
+    ways = stored(within.select("conv_id", "stretch", "call_id", "turn", F.col("ref").alias("to"), F.col("ref_turn").alias("to_turn"), F.lit(1).alias("length")), "ways")
+    largest = ways.groupBy("conv_id", "stretch").agg(F.countDistinct("call_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    on = ["conv_id", "stretch", "middle"]
+    for _ in range(largest.bit_length()):
+        ahead = ways.withColumnRenamed("to", "middle").select(*on, "call_id", "turn", "length")
+        behind = ways.withColumnRenamed("call_id", "middle").select(*on, "to", "to_turn", F.col("length").alias("more"))
+        longer = ahead.join(behind, on).select("conv_id", "stretch", "call_id", "turn", "to", "to_turn", F.least(F.col("length") + F.col("more"), F.lit(largest + 1)).alias("length"))
+        ways = stored(ways.unionByName(longer).groupBy("conv_id", "stretch", "call_id", "turn", "to", "to_turn").agg(F.max("length").alias("length")), "ways")
+    in_cycle = ways.where("call_id = to").select("conv_id", F.col("to"), F.lit(True).alias("round"))
+    places = ways.join(in_cycle, ["conv_id", "to"], "left").groupBy("conv_id", "call_id", "turn").agg(F.max(F.struct(F.col("to_turn").alias("place"), F.col("length").alias("depth"))).alias("at"), F.coalesce(F.max("round"), F.lit(False)).alias("cyclic"))
+    return places.where("at.place >= turn").select("conv_id", "call_id", F.col("at.place").alias("place"), F.when(F.col("cyclic"), 0).otherwise(F.col("at.depth")).alias("depth"), "cyclic")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -153,8 +168,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     call, and for each result without one.
 
     status: linked, unanswered (a call without result), orphan (a result without call), early (a result before its call).
-    place and depth, then turn and nth, order the calls of a conversation; cyclic calls can't be ordered. record is the
-    canonical JSON of a call with its result. Null identifiers are linked with nothing. Empty tables give no rows.
+    place and depth, then turn and nth, order the calls of a conversation; cyclic calls can't be ordered and have depth 0. A
+    call of a later stretch of turns that names a cyclic one keeps its own turn. record is the canonical JSON of a call with
+    its result. Calls that share an identifier have the references of all of them and the turn of the first. Null identifiers
+    and null conversations are linked with nothing; null arguments are ``{}``, null names an unknown tool, null contents
+    null. Texts of any length are whole. Empty tables give no rows; extra columns are ignored.
     """
     by = Window.partitionBy("conv_id", "call_id")
     calls = stored(checked_calls(calls.select("conv_id", "turn", "nth", "call_id", "name", "arguments"), schemas).withColumn("use", F.row_number().over(by.orderBy("turn", "nth", "name", "arguments"))), "calls")
@@ -176,7 +194,8 @@ TOOLS = {
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as tool calls: what an assistant says is a call, that names the call two turns before in its
-    arguments; what a user says is the result of the turn before."""
+    arguments; what a user says is the result of the turn before. A null text is a call without opening, or a null result;
+    repeated turns are calls and results of the same identifier, linked in order; without a turn there is no identifier."""
     said = turns.where("role = 'assistant'")
     many = F.col("text").contains("\n")
     after = F.struct(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")).alias("$ref"))
@@ -190,7 +209,8 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def other_turns(turns: DataFrame) -> DataFrame:
-    """Turns that are neither a call nor a result, with the status ``turn`` and their role and text as record."""
+    """Turns that are neither a call nor a result, with the status ``turn`` and their role and text, null or not, as record;
+    repeated turns stay."""
     taken = F.coalesce((F.col("role") == "assistant") | ((F.col("role") == "user") & (F.col("turn") > 0)), F.lit(False))
     text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.expr(f"substring(to_json(struct({c} as x)), 6, length(to_json(struct({c} as x))) - 6)"))
     record = F.concat(F.lit('{"content":'), text("text"), F.lit(',"role":'), text("role"), F.lit("}"))

@@ -101,6 +101,34 @@ def sha1_base32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def places(calls):
+    """(turn, call, references) of a conversation to place, depth and cyclic of each call, by following all ways."""
+    turn, refs = {c: t for t, c, _ in calls}, {c: [r for r in rs if r in {x[1] for x in calls}] for _, c, rs in calls}
+
+    def reach(c, found):
+        for r in refs[c]:
+            if r not in found:
+                found.add(r)
+                reach(r, found)
+        return found
+
+    reached = {c: reach(c, set()) for c in refs}
+    place = {c: max([turn[c], *(turn[r] for r in reached[c])]) for c in refs}
+    raised = {c for c in refs if any(turn[r] >= turn[c] for r in reached[c])}
+
+    def waits(c, seen=()):  # in a cycle, or behind one of the same place
+        return c in seen or any(place[r] >= turn[c] and waits(r, (*seen, c)) for r in refs[c])
+
+    def depth(c):
+        return max((1 + depth(r) if r in raised else 1 for r in refs[c] if place[r] == place[c]), default=0)
+
+    out = {}
+    for c in refs:
+        cyclic = c in raised and waits(c)
+        out[c] = (place[c] if c in raised else turn[c], 0 if cyclic or c not in raised else depth(c), cyclic)
+    return out
+
+
 def phrases(text):
     """The phrases of Ziv and Lempel's parse of 1978, a character at a time."""
     found, phrase = set(), ""

@@ -241,6 +241,62 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(c.limit(0), r.limit(0), toolcalls.TOOLS).count() == 0
 
 
+def _calls(spark, graphs):
+    """graphs: for each conversation, (turn, call, references) rows."""
+    import json
+
+    made = [(c, turn, i, name, "lines", json.dumps({"lines": [], "after": [{"$ref": r} for r in refs]})) for c, g in graphs.items() for i, (turn, name, refs) in enumerate(g)]
+    return spark.createDataFrame(made, "conv_id long, turn long, nth int, call_id string, name string, arguments string")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12])
+def test_a_cycle_alone(spark, n):
+    from partloom.llm import toolcalls
+
+    calls = _calls(spark, {1: [(i, f"c{i}", [f"c{(i + 1) % n}"]) for i in range(n)]})
+    got = toolcalls.link_calls(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), {}).collect()
+    assert len(got) == n and all(r.cyclic and r.depth == 0 and r.place == n - 1 for r in got)
+
+
+def test_places_of_any_graph(spark):
+    from partloom.llm import toolcalls
+
+    rng, graphs = random.Random(8), {}
+    for c in range(60):
+        n = rng.randint(1, 9)
+        graphs[c] = [(rng.choice([i, max(0, i - 1)]), f"c{i}", rng.sample([f"c{j}" for j in range(n + 1) if j != i or rng.random() < 0.1], k=rng.choice([0, 0, 1, 1, min(2, n)]))) for i in range(n)]
+    graphs[60] = [(i, f"c{i}", [f"c{i + 1}"]) for i in range(20)]  # one long way
+    none = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): (r.place, r.depth, r.cyclic) for r in toolcalls.link_calls(_calls(spark, graphs), none, {}).collect()}
+    for c, g in graphs.items():
+        assert {k[1]: v for k, v in got.items() if k[0] == c} == brute.places(g), g
+
+
+def test_op7_tool_calls(spark, small):
+    import json
+
+    from partloom.llm import toolcalls
+
+    turns = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want, said = [], {(c, t): (role, text) for c, t, role, text in turns}
+    assert len(said) == len(turns)
+    text = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for (c, t), (role, what) in said.items():
+        if role == "assistant":
+            answer = said.get((c, t + 1), (None, None))
+            content = answer[1] if answer[0] == "user" else None
+            arguments = {"lines": what.split("\n")} if "\n" in what else {"opening": what, "length": len(brute.RUN.findall(what))}
+            arguments |= {"after": {"$ref": f"c{t - 2}"}} if t > 2 else {}
+            want.append((c, t, "linked" if answer[0] == "user" else "unanswered", text({"arguments": arguments, "id": f"c{t}", "name": "lines" if "\n" in what else "reply", "result": content})))
+        elif role == "user" and t > 0:
+            if said.get((c, t - 1), (None,))[0] != "assistant":
+                want.append((c, None, "orphan", None))
+        else:
+            want.append((c, t, "turn", text({"content": what, "role": role})))
+    got = [(r.conv_id, r.turn, r.status, r.record) for r in toolcalls.op7_tool_calls(spark, small).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_schemas_and_numbers():
     from partloom.llm import toolcalls
 
