@@ -36,6 +36,12 @@ select l_orderkey qid, concat(cast(l_partkey as string), '-', cast(l_suppkey as
 from lineitem
 """
 
+#: The part number that a customer names, as one writes it without separators: the last of the parts in its orders.
+NAMED = """
+select request_id, concat('P', cast(cast(floor(v / 1000000) as bigint) as string), cast(v % 1000000 as string)) name
+from (select o_custkey request_id, max(l_partkey * 1000000 + l_suppkey) v from orders join lineitem on l_orderkey = o_orderkey group by o_custkey) n
+"""
+
 #: A request and an offer are candidates if families and makers agree, the size is within 2 or unstated, and the offer is in stock.
 MARGIN = 2.0
 CANDIDATES = """
@@ -44,7 +50,7 @@ select r.request_id, r.family, r.want_size, r.min_rating, r.want_colour, r.quant
 from requests r join offers o on o.family = r.family and o.manufacturer = r.maker and o.stock > 0 and (o.size_v is null or o.size_v between r.want_size - 2 and r.want_size + 2)
 """
 
-_VIEWS = {"offers": OFFERS, "requests": REQUESTS, "evaluation": EVALUATION, "candidates": CANDIDATES}
+_VIEWS = {"offers": OFFERS, "requests": REQUESTS, "evaluation": EVALUATION, "candidates": CANDIDATES, "named": NAMED}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -57,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, *tables: str) -> DataFrame:
-    return spark.sql(_VIEWS[name].replace("from lineitem", "from {lineitem}").replace("join part on", "join {part} on").replace("from customer", "from {customer}"), **{t: table(spark, sf_dir, t) for t in tables})
+    return spark.sql(_VIEWS[name].replace("from lineitem", "from {lineitem}").replace("join part on", "join {part} on").replace("from customer", "from {customer}").replace("from orders", "from {orders}").replace("join lineitem", "join {lineitem}"), **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,10 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "evaluation", "lineitem")
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "named", "orders", "lineitem")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the equality join on family and maker with the bounds on size as its condition; unstated sizes stay."""
     from partloom.operators.matching import candidate_join

@@ -16,14 +16,17 @@ REWRITES = ((r"\+/-", "±"), (r"(?<=\d),(?=\d)", "."), (r"\bvolts?\b", "V"), (r"
 #: Words of classes with their priority; the smallest wins.
 CLASS_WORDS = (("widget", "device", 1), ("gear", "drive", 2), ("bolt", "fastener", 3), ("ring", "fastener", 3), ("red", "coloured", 8), ("blue", "coloured", 8), ("old", "used", 9))
 #: Package codes with the code that they stand for.
-CODE_ALIASES = dict(pair.split("=") for pair in """
-SOT-23-3=SOT-23 SOT-25=SOT-23-5 SOT-753=SOT-23-5 SOT-26=SOT-23-6 TO-236=SOT-23 TO-236AB=SOT-23 SC-70=SOT-323 SC-70-3=SOT-323
-SOT-323-3=SOT-323 SC-70-5=SOT-353 SC-70-6=SOT-363 SC-88=SOT-363 SC-88A=SOT-353 SC-59=SOT-23 SOT-223-3=SOT-223 SOT-223-4=SOT-223
-SOT-89-3=SOT-89 DPAK=TO-252 TO-252AA=TO-252 TO-252-3=TO-252 D2PAK=TO-263 TO-263AB=TO-263 TO-263-3=TO-263 TO-220AB=TO-220
-TO-220-3=TO-220 TO-92-3=TO-92 TO-247-3=TO-247 DO-214AC=SMA DO-214AA=SMB DO-214AB=SMC SOD-123FL=SOD-123F MINI-MELF=MINIMELF
-LL-34=MINIMELF LL34=MINIMELF""".split())
+CODE_ALIASES = {
+    "SOT-23-3": "SOT-23", "SOT-25": "SOT-23-5", "SOT-753": "SOT-23-5", "SOT-26": "SOT-23-6", "TO-236": "SOT-23", "TO-236AB": "SOT-23", "SC-70": "SOT-323",
+    "SC-70-3": "SOT-323", "SOT-323-3": "SOT-323", "SC-70-5": "SOT-353", "SC-70-6": "SOT-363", "SC-88": "SOT-363", "SC-88A": "SOT-353", "SC-59": "SOT-23",
+    "SOT-223-3": "SOT-223", "SOT-223-4": "SOT-223", "SOT-89-3": "SOT-89", "DPAK": "TO-252", "TO-252AA": "TO-252", "TO-252-3": "TO-252", "D2PAK": "TO-263",
+    "TO-263AB": "TO-263", "TO-263-3": "TO-263", "TO-220AB": "TO-220", "TO-220-3": "TO-220", "TO-92-3": "TO-92", "TO-247-3": "TO-247", "DO-214AC": "SMA",
+    "DO-214AA": "SMB", "DO-214AB": "SMC", "SOD-123FL": "SOD-123F", "MINI-MELF": "MINIMELF", "LL-34": "MINIMELF", "LL34": "MINIMELF",
+}
 #: Classes of packages that are told apart by their number of leads alone, and those that are one class.
-LEADED = "SOIC SOP SO SSOP TSSOP MSOP QSOP VSSOP HTSSOP HSOP ESOP QFN DFN VQFN WQFN UQFN TQFN LQFP TQFP QFP BGA LGA WLCSP DIP PDIP SIP ZIP PLCC SON WSON VSON TDFN UDFN XDFN USON LFCSP CSP".split()
+LEADED = (
+    "SOIC", "SOP", "SO", "SSOP", "TSSOP", "MSOP", "QSOP", "VSSOP", "HTSSOP", "HSOP", "ESOP", "QFN", "DFN", "VQFN", "WQFN", "UQFN", "TQFN", "LQFP", "TQFP", "QFP", "BGA", "LGA", "WLCSP", "DIP", "PDIP", "SIP", "ZIP", "PLCC", "SON", "WSON", "VSON", "TDFN", "UDFN", "XDFN", "USON", "LFCSP", "CSP",
+)
 SAME_CLASS = {"SO": "SOIC", "SOP": "SOIC", "PDIP": "DIP"}
 #: Spellings that the queries on codes give to parts in turn.
 SPELLINGS = ("so-8", "SOP-8-EP", "SOIC-8_150mil", "TO-236AB", "SOT-23-3L", "sot-23", "DPAK", " TO-252-3 ", "PDIP-14", "QFN-16(EP)", "0603", "")
@@ -63,6 +66,7 @@ def spelling(n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SPELLINGS)), (n % len(SPELLINGS) + 1).cast("int"))
 
 
+#: A lead count that may end in L; a class, its leads and what follows.
 _LEADS = "^((?:SOT|SOD|SC|TO)-[0-9]{2,3}-[0-9]{1,2})L$"
 _LEADED = f"^({'|'.join(LEADED)})-([0-9]{{1,4}}).*$"
 _listed = lambda pairs: "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"

@@ -94,9 +94,9 @@ def e09(spark: SparkSession, d: str) -> DataFrame:
     return attribute_rows(offers(spark, d)).groupBy("attribute").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
 
 
-@query("e09_top_values", with_views("select attribute, value, n, nth from (select *, cast(row_number() over (partition by attribute order by n desc, value) as int) nth from (select attribute, value, count(*) n from (select 'colour' as attribute, colour as value from offers union all select 'kind', kind from offers) where value is not null group by 1, 2)) where nth <= 10", "offers"))
+@query("e09_top_values", with_views("select attribute, value, n, nth from (select *, cast(row_number() over (partition by attribute order by n desc, value) as int) nth from (select attribute, value, count(*) n from (" + " union all ".join(f"select '{c}' attribute, cast({c} as varchar) as value from offers" for c in ATTRIBUTES) + ") where value is not null group by 1, 2)) where nth <= 10", "offers"))
 def e09_top(spark: SparkSession, d: str) -> DataFrame:
-    counts = attribute_rows(offers(spark, d)).where("attribute in ('colour', 'kind')").groupBy("attribute", "value").agg(F.count("*").alias("n"))
+    counts = attribute_rows(offers(spark, d)).groupBy("attribute", "value").agg(F.count("*").alias("n"))
     return counts.withColumn("nth", F.row_number().over(Window.partitionBy("attribute").orderBy(F.desc("n"), "value"))).where("nth <= 10")
 
 
@@ -136,11 +136,14 @@ def e14(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e15_unconfirmed_everywhere", checked_sql("""
+, shown as (select * from (select *, row_number() over (partition by request_id order by unit_price, source, part_number) nth from checked) where nth <= max_results)
 select request_id, attribute, count(*) n from (select request_id, unnest(list_filter([case when s_size = 'unknown' then 'size' end, case when s_rating = 'unknown' then 'rating' end, case when s_colour = 'unknown' then 'colour' end], lambda x: x is not null)) attribute
-from checked where source = 'S1' and request_id in (select request_id from checked where source = 'S1' group by 1 having bool_and('unknown' in (s_size, coalesce(s_rating, ''), coalesce(s_colour, ''))))) group by 1, 2"""))
+from shown where request_id in (select request_id from shown group by 1 having bool_and('unknown' in (s_size, coalesce(s_rating, ''), coalesce(s_colour, ''))))) group by 1, 2""").replace(") , shown", "), shown"))
 def e15(spark: SparkSession, d: str) -> DataFrame:
-    """Only for requests of which every row leaves something unverified."""
-    rows = checked(candidates(spark, d)).where("source = 'S1'").select("request_id", unverified().alias("open"))
+    """Only for requests of whose page every row leaves something unverified."""
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("unit_price", *KEY))
+    shown = candidates(spark, d).withColumn("nth", nth).where("nth <= max_results")
+    rows = checked(shown).select("request_id", unverified().alias("open"))
     every = rows.groupBy("request_id").agg(F.bool_and(F.size("open") > 0).alias("all_open"), F.flatten(F.collect_list("open")).alias("open"))
     return every.where("all_open").select("request_id", F.explode("open").alias("attribute")).groupBy("request_id", "attribute").agg(F.count("*").alias("n"))
 

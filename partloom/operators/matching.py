@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.bindings import candidates, offers, requests, with_views
+from partloom.bindings import candidates, named, offers, requests, with_views
 from partloom.registry import query
 
 KEY = ["source", "part_number"]
@@ -113,13 +113,18 @@ def d07(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(offers(spark, d).select(*KEY, "mpn", "description"), KEY).select("request_id", "nth", "part_number", "mpn", "description")
 
 
-def prefix_join(asked: DataFrame, offered: DataFrame, length: int) -> DataFrame:
-    """asked (id, prefix) with offered (id columns, mpn, part_number), where the prefix begins either identifier: an
-    equality join on the first letters, then the rest as a condition."""
-    parts = offered.select(*KEY, F.explode(F.array_distinct(F.array(normal_identifier(F.col("mpn")), normal_identifier(F.col("part_number"))))).alias("name"))
-    keyed = asked.select("*", normal_identifier(F.col("prefix")).alias("start")).where(F.length("start") >= length)
-    joined = keyed.withColumn("bucket", F.substring("start", 1, length)).join(parts.withColumn("bucket", F.substring("name", 1, length)), "bucket")
-    return joined.where(F.col("name").startswith(F.col("start"))).select(*asked.columns, *KEY).distinct()
+def prefix_join(asked: DataFrame, offered: DataFrame, shortest: int) -> DataFrame:
+    """asked (id columns, prefix) with offered (id columns, mpn, part_number), where the prefix begins either identifier.
+
+    Identifiers are cut to the lengths that prefixes have, so that an equality join decides everything; prefixes shorter
+    than shortest ask for nothing. A prefix that many requests share meets the offers once.
+    """
+    keyed = asked.select("*", normal_identifier(F.col("prefix")).alias("start")).where(F.length("start") >= shortest)
+    starts = keyed.select("start").distinct()
+    lengths = starts.agg(F.sort_array(F.collect_set(F.length("start"))).alias("lengths"))  # as many as identifiers have letters at most
+    parts = offered.select(*KEY, F.explode(F.array_distinct(F.array(normal_identifier(F.col("mpn")), normal_identifier(F.col("part_number"))))).alias("name")).withColumn("lengths", lengths.scalar())
+    cut = parts.select(*KEY, "name", F.explode("lengths").alias("length")).where(F.length("name") >= F.col("length")).select(*KEY, F.expr("substring(name, 1, length)").alias("start")).distinct()
+    return keyed.join(starts.join(cut, "start"), "start").select(*asked.columns, *KEY)
 
 
 @query("d08_prefix_join", with_views("""
@@ -133,12 +138,14 @@ def d08(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d09_equal_identifier_capped", with_views("""
 select request_id, source, part_number, nth from (
-select r.request_id, o.source, o.part_number, cast(row_number() over (partition by r.request_id order by o.stock desc, o.source, o.part_number) as int) nth
-from requests r join offers o on regexp_extract(o.mpn, '[0-9]+$') = cast(r.request_id as varchar)) where nth <= 3""", "requests", "offers"))
+select n.request_id, o.source, o.part_number, cast(row_number() over (partition by n.request_id order by o.stock desc, o.source, o.part_number) as int) nth
+from named n join offers o on upper(regexp_replace(o.part_number, '[^A-Za-z0-9]', '', 'g')) = n.name) where nth <= 3""", "named", "offers"))
 def d09(spark: SparkSession, d: str) -> DataFrame:
+    """Three offers at most whose number, without separators, is the one that a customer names."""
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("stock"), *KEY))
-    offered = offers(spark, d).withColumn("name", F.regexp_extract("mpn", "[0-9]+$", 0))
-    return requests(spark, d).withColumn("name", F.col("request_id").cast("string")).join(offered, "name").select("request_id", *KEY, nth.alias("nth")).where("nth <= 3")
+    offered = offers(spark, d).select(*KEY, "stock", normal_identifier(F.col("part_number")).alias("name"))
+    asked = named(spark, d).select("request_id", normal_identifier(F.col("name")).alias("name"))
+    return asked.join(offered, "name").select("request_id", *KEY, nth.alias("nth")).where("nth <= 3")
 
 
 @query("d10_compare_runs", with_views("""

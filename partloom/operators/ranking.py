@@ -118,13 +118,20 @@ select request_id, part_number, source, stock, named, cast(row_number() over (pa
 count(case when stock > 0 then 1 end) over (partition by request_id) live, max(case when named and stock = 0 then 1 else 0 end) over (partition by request_id) listed
 from (select r.request_id, o.part_number, o.source, o.stock, o.unit_price, o.pk % 50 = r.request_id % 50 named from requests r join offers o on o.family = r.family and o.manufacturer = r.maker) where stock > 0 or named) where (stock > 0 and nth <= 3 - listed) or (stock = 0 and nth = live + 1)""", "requests", "offers"))
 def f09(spark: SparkSession, d: str) -> DataFrame:
-    """Three places among a request's offers; if one that it names is listed without stock, the last place is its."""
-    own = Window.partitionBy("request_id")
-    empty = F.col("stock") == 0
-    rows = requests(spark, d).join(offers(spark, d).withColumnRenamed("family", "of_family"), F.expr("family = of_family and maker = manufacturer"))
-    rows = rows.withColumn("named", F.col("pk") % 50 == F.col("request_id") % 50).where(~empty | F.col("named"))
-    rows = rows.select("request_id", *KEY, "stock", F.row_number().over(own.orderBy(empty.cast("int"), "unit_price", *KEY)).alias("nth"), F.count_if(~empty).over(own).alias("live"), F.max(empty.cast("int")).over(own).alias("listed"))
-    return rows.where((~empty & (F.col("nth") <= 3 - F.col("listed"))) | (empty & (F.col("nth") == F.col("live") + 1))).select("request_id", "part_number", "source", "nth")
+    """Three places among a request's offers; if one that it names is listed without stock, the last place is its.
+
+    What is in stock is ranked once a class and what is not once a class and name, so requests meet four offers each."""
+    classes, named = ["family", "manufacturer"], F.col("pk") % 50
+    every = offers(spark, d).select(*classes, *KEY, "unit_price", "stock", named.alias("name"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("unit_price", *KEY))
+    live = every.where("stock > 0").withColumn("nth", nth(*classes)).where("nth <= 3").drop("stock", "name", "unit_price")
+    listed = every.where("stock = 0").withColumn("first", nth(*classes, "name")).where("first = 1").select(*classes, "name", *KEY)
+    n_live = every.where("stock > 0").groupBy(*classes).agg(F.count("*").alias("live"))
+    asked = requests(spark, d).select("request_id", "family", F.col("maker").alias("manufacturer"), (F.col("request_id") % 50).alias("name"))
+    reserved = asked.join(listed, [*classes, "name"]).join(n_live, classes, "left").select("request_id", "part_number", "source", (F.coalesce("live", F.lit(0)) + 1).cast("int").alias("nth"))
+    held = reserved.select("request_id", F.lit(1).alias("listed"))
+    places = asked.join(live, classes).join(held, "request_id", "left").where(F.col("nth") <= 3 - F.coalesce("listed", F.lit(0)))
+    return places.select("request_id", "part_number", "source", "nth").union(reserved)
 
 
 @query("f10_keep_first", with_views("select mpn, source, part_number from (select mpn, source, part_number, row_number() over (partition by mpn order by unit_price, source, part_number) nth from offers) where nth = 1", "offers"))
@@ -134,8 +141,28 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f11_cap_of_live_rows", with_views("select family, source, part_number from (select family, source, part_number, sum(case when stock > 0 then 1 else 0 end) over (partition by family order by unit_price, source, part_number rows between unbounded preceding and current row) live from offers) where live <= 10", "offers"))
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    running = F.count_if(F.col("stock") > 0).over(Window.partitionBy("family").orderBy("unit_price", *KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return offers(spark, d).select("family", *KEY, running.alias("live")).where("live <= 10").drop("live")
+    """All that comes before the eleventh row in stock. Only that row is looked for, by a limit that tasks apply before they
+    send anything, so no family is ever sorted as a whole."""
+    rows = offers(spark, d)
+    edge = live_rows(rows, 11).where("nth = 11").select("family", _place().alias("edge"))
+    return rows.join(F.broadcast(edge), "family", "left").where(F.col("edge").isNull() | (_place() < F.col("edge"))).select("family", *KEY)
+
+
+def _place() -> Column:
+    return F.struct("unit_price", *KEY)
+
+
+def live_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows in stock of each family, numbered."""
+    nth = F.row_number().over(Window.partitionBy("family").orderBy("unit_price", *KEY))
+    return rows.where("stock > 0").withColumn("nth", nth).where(F.col("nth") <= most)
+
+
+@query("f11_capped_list", with_views("select family, source, part_number from offers where stock <= 0 union all select family, source, part_number from (select family, source, part_number, row_number() over (partition by family order by unit_price, source, part_number) nth from offers where stock > 0) where nth <= 100", "offers"))
+def f11_capped(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred rows in stock, and every row that is listed without stock."""
+    rows = offers(spark, d)
+    return rows.where("stock <= 0").select("family", *KEY).union(live_rows(rows, 100).select("family", *KEY))
 
 
 STALE_PENALTIES = {"nth": 1.0, "nth_mild": 0.2}
