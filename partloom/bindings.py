@@ -83,7 +83,9 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the equality join on family and maker with the bounds on size as its condition; unstated sizes stay."""
+    """By the equality join on family and maker with the bounds on size as its condition; unstated sizes stay. Offers are
+    dealt out evenly first: else what they are summed from, the join and all that is computed of a candidate become one
+    generated method that is too long to be compiled, at a tenth of the speed."""
     from partloom.operators.matching import candidate_join
 
-    return candidate_join(requests(spark, sf_dir), offers(spark, sf_dir), MARGIN)
+    return candidate_join(requests(spark, sf_dir), offers(spark, sf_dir).hint("rebalance"), MARGIN)

@@ -2,9 +2,9 @@
 
 from partloom.functions import extraction, text_keys, vocabularies
 from partloom.operators import aggregates, assessment, checks, evaluation, matching, predicates, ranking, search_modes, state, text_search
-from partloom.plans import response
+from partloom.plans import best_offers, response
 from partloom.registry import QUERIES, SQL
 from partloom.sources import catalogue_sources
 from partloom.streaming import counters
 
-__all__ = ["QUERIES", "SQL", "aggregates", "assessment", "catalogue_sources", "checks", "counters", "evaluation", "extraction", "matching", "predicates", "ranking", "response", "search_modes", "state", "text_keys", "text_search", "vocabularies"]
+__all__ = ["QUERIES", "SQL", "aggregates", "assessment", "best_offers", "catalogue_sources", "checks", "counters", "evaluation", "extraction", "matching", "predicates", "ranking", "response", "search_modes", "state", "text_keys", "text_search", "vocabularies"]

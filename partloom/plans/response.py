@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.bindings import candidates
-from partloom.operators.assessment import ORDER_SQL, assessed, assessed_sql, total_order
-from partloom.operators.checks import VERDICT_SQL, conflicts, verdict
+from partloom.bindings import offers, requests
+from partloom.operators.assessment import ORDER_SQL, assessed_sql
+from partloom.operators.checks import VERDICT_SQL, verdict
 from partloom.operators.matching import KEY
+from partloom.plans.best_offers import best_offers
 from partloom.registry import query
 
 _CONFLICT = "(s_size = 'conflict' or coalesce(s_rating, '') = 'conflict' or coalesce(s_colour, '') = 'conflict')"
@@ -20,8 +21,4 @@ select *, cast(row_number() over (partition by request_id order by {_CONFLICT},
 count(case when {_CONFLICT} then 1 end) over (partition by request_id) left_out from assessed) where not {_CONFLICT} and nth <= max_results"""))
 def top_offers(spark: SparkSession, d: str) -> DataFrame:
     """Each request's best offers with grade and verdict, and how many candidates conflict with it."""
-    own = Window.partitionBy("request_id")
-    rows = assessed(candidates(spark, d)).withColumn("out", F.size(conflicts()) > 0)
-    rows = rows.withColumn("left_out", F.count_if("out").over(own)).where("not out")
-    nth = F.row_number().over(own.orderBy(*total_order()))
-    return rows.withColumn("nth", nth).where("nth <= max_results").select("request_id", "nth", *KEY, F.round("grade", 6).alias("grade"), verdict().alias("verdict"), "left_out")
+    return best_offers(requests(spark, d), offers(spark, d)).select("request_id", "nth", *KEY, F.round("grade", 6).alias("grade"), verdict().alias("verdict"), "left_out")
