@@ -18,6 +18,7 @@ from partloom.operators.assessment import ORDER_SQL, assessed, assessed_sql
 from partloom.operators.checks import conflicts
 from partloom.operators.matching import KEY, candidate_join
 from partloom.registry import query
+from partloom.sources.files import written
 
 CLASS = ["family", "manufacturer"]
 #: What the states of all constraints but the price follow from.
@@ -52,8 +53,8 @@ def with_bounds(asked: DataFrame, blocks: DataFrame, margin: float) -> DataFrame
 def best_offers(asked: DataFrame, offered: DataFrame, margin: float = MARGIN) -> DataFrame:
     """The max_results best offers of each request that no constraint but the price excludes, as assessed rows with nth, and
     left_out, the number of its candidates that are excluded. Requests without offers have no rows."""
-    blocks = blocks_of(offered).hint("rebalance")
-    met = with_bounds(asked, blocks, margin)
+    blocks = written(blocks_of(offered), "blocks")
+    met = written(with_bounds(asked, blocks, margin), "bounds")
     left_out = met.groupBy("request_id").agg(F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("left_out"))
     open_ = met.where("not out").drop("n", "out")
     own = Window.partitionBy("request_id")

@@ -24,6 +24,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/partloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder, for what several branches of a plan read: made once, kept if executors are lost."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def swap_generation(rows: DataFrame, base: str, generation: int) -> DataFrame:
     """Writes a whole new generation beside the old ones; readers of the one returned never see half of it."""
     path = f"{base}/generation={generation}"
