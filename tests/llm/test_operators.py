@@ -132,19 +132,23 @@ def test_relative_targets(spark):
     assert rows(urlfilter.page_links(none), "b") == [(None,)]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_top_k(spark, monkeypatch, block):
     from partloom.llm import topk
 
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     rng = random.Random(1)
-    vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(700)] + [(900, None), (1000, [None] * 8), (1100, [float("nan")] * 8), (1200, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1300, []), (1400, [0.5] * 3), (100, [0.25] * 8), (1500, [0.25] * 8)]
-    df = clashing(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
-    kept = [(i, k, [int(np.floor(1024 * x)) for x in v]) for k, (i, v) in enumerate(vectors) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for i, k, q in kept:
-        if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, m, v in kept if m != k)[:10]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
-    assert rows(topk.top_k(df, "vec_id % 100 = 0"), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(700)] + [(900, None), (1000, [None] * 8), (1100, [float("nan")] * 8), (1200, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1300, []), (1400, [0.5] * 3), (100, [0.25] * 8), (100, [0.25] * 8), (1500, [0.25] * 8)]
+    for more in ([], [(2000, [1e300, 1.0]), (2001, [-1e300, 2.0]), (2002, [1e18, 2.0]), (2100, [3e15, -1e18]), (2003, [1e10, 1e10]), (2004, [1e10, 1e10])]):
+        df = clashing(spark.createDataFrame(vectors + more, "vec_id long, embedding array<double>"))
+        whole = lambda x: int(np.floor(1024 * x)) if abs(x) < 2**40 else 1024 * int(x)
+        kept = [(i, n, [whole(x) for x in v]) for n, (i, v) in enumerate(vectors + more) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+        want = []
+        for i, n, q in kept:
+            if i % 100 == 0:
+                scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, m, v in kept if m != n)[:10]
+                want += [(i, r + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, j) in enumerate(scored)]
+        assert rows(topk.top_k(df, "vec_id % 100 = 0"), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.top_k(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
