@@ -92,7 +92,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
     """page_id, host, path, rule and verdict of every row.
 
     links (a, b): further redirects between urls. Rows with equal urls are judged alike, whatever their ids; null urls and
-    urls without :// have no host, no rule and no alias. Rules with nulls are ignored. An empty table gives no rows; extra
+    urls without :// have no host, no rule and no alias. Urls and pages of any length are read whole. Rules with nulls are ignored. An empty table gives no rows; extra
     columns are ignored.
     """
     edges = page_links(pages, url_col=url_col, html_col=html_col)
@@ -102,15 +102,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("key", F.struct("host", "path"))
+    # no rule and no alias reaches them, and as one key they would meet in one task
+    unreachable = (F.col("host") == "") & F.col("node").isNull()
+    named, nameless = rows.where(~unreachable), rows.where(unreachable)
     # aliases that are no pages can carry a rule as well
-    known = rows.select("node", "host", "path", "key").union(classes.select(F.explode(F.array("node", "component")).alias("node")).select("node", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path")).withColumn("key", F.struct("host", "path"))).distinct()
+    known = named.select("node", "host", "path", "key").union(classes.select(F.explode(F.array("node", "component")).alias("node")).select("node", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path")).withColumn("key", F.struct("host", "path"))).distinct()
     matched = stored(rule_matches(known.select("key", "host", "path").distinct(), rules.dropna()), "rules")
     voices = known.where("node is not null").join(matched, "key")
     members = classes.select("node", "component").union(classes.select("component", "component")).distinct()
     of_class = voices.join(members, "node").groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
     inherited = members.join(of_class, "component").select("node", F.when(F.col("allowed"), "allow").otherwise("block").alias("by_class"))
-    judged = rows.join(matched, "key", "left").join(inherited, "node", "left")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("action", "by_class", F.lit(default)).alias("verdict"))
+    judged = named.join(matched, "key", "left").join(inherited, "node", "left")
+    judged = judged.select("page_id", "host", "path", "rule", F.coalesce("action", "by_class", F.lit(default)).alias("verdict"))
+    return judged.unionByName(nameless.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

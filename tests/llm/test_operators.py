@@ -117,6 +117,15 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_urls_without_hosts_and_very_long_ones(spark):
+    from partloom.llm import urlfilter
+
+    far = "http://net/es/" + "x" * 200_000
+    pages = [(i, u, None) for i, u in enumerate([None, "", "plain", "http://", "http:///es/x", "http://?q", far])] + [(7, "http://q.org/p", "y" * 500_000 + f'<link rel="canonical" href="{far}">')]
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(list(urlfilter.RULES), "host string, path string, action string")).collect()}
+    assert got == {**{i: ("", None, "allow") for i in range(6)}, 6: ("net", "net/es/", "block"), 7: ("q.org", None, "block")}
+
+
 def test_relative_targets(spark):
     from urllib.parse import urljoin
 
