@@ -51,3 +51,17 @@ def test_without_pairs(spark):
     assert (learned.pairwise_left_out(none, 1, folds=2) == 0).all()
     assert [len(r.w) for r in learned.ridge_left_out(none, 1).collect()] == [2, 2]
     assert learned.ridge_left_out(none.limit(0), 1).count() == 0
+
+
+def test_bootstrap_interval(spark):
+    """Against resampling with replacement, drawn at once: the same mean, and ends within a tenth of the interval's width."""
+    from partloom.operators.evaluation import bootstrap
+
+    rng = np.random.default_rng(3)
+    diff = rng.normal(0.05, 0.2, 400)
+    got = bootstrap(spark.createDataFrame(list(enumerate(diff.tolist())), "qid long, diff double"), 4000).first()
+    means = rng.choice(diff, (4000, len(diff))).mean(axis=1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert abs(got["mean"] - diff.mean()) < 0.1 * (high - low) and abs(got.low - low) < 0.1 * (high - low) and abs(got.high - high) < 0.1 * (high - low)
+    again = bootstrap(spark.createDataFrame(list(enumerate(diff.tolist())), "qid long, diff double").repartition(7), 4000).first()
+    assert abs(again.low - got.low) < 1e-9 and abs(again.high - got.high) < 1e-9

@@ -55,6 +55,41 @@ def test_token_bucket_never_allows_more_than_it_fills(spark, small):
                 assert j - i + 1 <= 30 + 0.5 * (at[j] - at[i]) + 1e-6
 
 
+def test_token_bucket_equals_the_loop(spark, small):
+    from partloom.streaming.counters import BUCKET, PER_SECOND
+
+    got = {r.event_id: (r.allowed, round(r.wait, 6)) for r in QUERIES["k10_token_bucket"](spark, small).collect()}
+    events = spark.read.parquet(f"{small}/events.parquet").selectExpr("user_id", "event_id", "unix_micros(cast(ts as timestamp)) us").toPandas()
+    assert len(got) == len(events)
+    for _, own in events.sort_values(["us", "event_id"]).groupby("user_id"):
+        tokens, before = BUCKET, None
+        for event, us in zip(own.event_id, own.us):
+            tokens = tokens if before is None else min(BUCKET, tokens + (us - before) / 1e6 * PER_SECOND)
+            before = us
+            ok = tokens >= 1
+            tokens -= ok
+            assert got[event] == (ok, round(0.0 if ok else (1 - tokens) / PER_SECOND, 6))
+
+
+def test_best_offers_equal_the_whole_order(spark):
+    """Blocks with many offers of equal attributes, stock and price, and requests with fewer offers than places."""
+    from partloom.operators.assessment import assessed, total_order
+    from partloom.operators.checks import conflicts
+    from partloom.operators.matching import candidate_join
+    from partloom.plans.best_offers import best_offers
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    made = [(f"S{i % 3}", f"P{i}", "M", "m", "PROMO" if i < 500 else "ECONOMY", [None, 5.0, 6.0, 9.0][i % 4], [None, 10.0, 40.0][i % 3], [None, "red", "old"][i % 5 % 3], "bolt", [0, 1, 7, 7, 500, 10**6][i % 6], 1 + i % 2, 1, [1.0, 900.0, 905.5, 2000.0][i // 7 % 4], 1, "d", None, i, i % 90) for i in range(520)]
+    shop = spark.createDataFrame(made, "source string, part_number string, manufacturer string, mpn string, family string, size_v double, rating_v double, colour string, kind string, stock long, moq int, order_multiple int, unit_price double, extractor_version int, description string, fetched_at timestamp_ntz, pk long, sk long")
+    asked = spark.createDataFrame([(r, ["PROMO", "ECONOMY", "LARGE"][r % 3], 5.0 + r % 3, [None, 20.0][r % 2], [None, "red"][r // 2 % 2], "M", 1 + r, 1 + r % 7) for r in range(24)], "request_id long, family string, want_size double, min_rating double, want_colour string, maker string, quantity int, max_results int")
+    own = Window.partitionBy("request_id")
+    whole = assessed(candidate_join(asked, shop, 2.0)).withColumn("out", F.size(conflicts()) > 0).withColumn("left_out", F.count_if("out").over(own)).where("not out")
+    whole = whole.withColumn("nth", F.row_number().over(own.orderBy(*total_order()))).where("nth <= max_results")
+    columns = ("request_id", "nth", "source", "part_number", "tier", "final", "left_out")
+    assert sorted(map(tuple, best_offers(asked, shop).select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
 def test_relaxation_equals_the_loop(spark):
     from partloom.operators.ranking import relaxation
 
