@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 import zlib
 
@@ -89,21 +90,86 @@ def test_warc_with_long_headers(spark):
     assert {r.target_uri for r in warc.read_warc(warc.write_warc(pages)).collect()} == {url, "u"}
 
 
-def test_licenses(spark, edge, empty):
+def test_licenses(spark):
     from partloom.llm import license as scan
 
-    files = [(1, "a/b/c", False, "Some text\nReleased under the MIT License.\nmore"), (2, "a/b/c", False, "nothing"), (3, "a/b", True, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."), (4, "x", False, None), (5, None, False, ""), (6, "a", None, "copyright of none"), (7, "a/b", True, "All rights reserved.")]
-    templates = spark.createDataFrame(list(scan.TEMPLATES), "template string, text string")
+    filler = " ".join(f"w{i}" for i in range(100))
+    files = [(1, "a/b/c", False, f"{filler}\nReleased under the MIT License.\n{filler}"), (2, "a/b/c", False, "nothing"), (3, "a/b", False, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."), (4, "x", False, None), (5, None, False, ""), (6, "a", None, "copyright of none"), (7, "a/b", True, "All rights reserved.")]
+    templates = spark.createDataFrame(list(scan.TEMPLATES), "license string, text string")
     df = spark.createDataFrame(files, "doc_id long, directory string, is_license boolean, text string")
     got = {r.doc_id: (r.license, r.origin, r.from_directory) for r in scan.scan_licenses(clashing(df), templates).collect()}
     assert got[1] == ("MIT", "header", None) and got[2] == ("Apache-2.0", "directory", "a/b") and got[3][0] == "Apache-2.0" and got[7][0] == "Proprietary"
     assert got[4] == got[5] == got[6] == (None, None, None)
     assert scan.scan_licenses(df.limit(0), templates).count() == 0
-    same = [(1, "d", False, "Released under the MIT License."), (1, "d", False, "plain"), (None, "d", False, "x\nLicensed under the Apache License,\nVersion 2.0."), (None, "d", False, LONG)]
-    got = scan.scan_licenses(spark.createDataFrame(same, df.schema), templates).collect()
+    assert [r.license for r in scan.scan_licenses(df, templates.limit(0)).collect()] == [None] * 7
+    same = [(1, "d", False, f"Released under the MIT License. {filler}"), (1, "d", False, "plain"), (None, "d", False, f"x\nLicensed under the Apache License,\nVersion 2.0. {filler}"), (None, "d", False, LONG)]
+    got = scan.scan_licenses(spark.createDataFrame(same, df.schema), templates.union(templates)).collect()
     assert sorted((str(r.doc_id), str(r.license)) for r in got) == [("1", "MIT"), ("1", "None"), ("None", "Apache-2.0"), ("None", "None")]
 
 
+def licence_files():
+    """Whole bodies and notices as they stand in files: wrapped, commented, with carriage returns, holders and years, words
+    changed, between much else."""
+    from partloom.llm import license as scan
+
+    rng = random.Random(7)
+    noise = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("ta", "so", "vi", "du", "pe", "xo")]
+    other = lambda n: " ".join(rng.choice(noise) for _ in range(n))
+    made = []
+    for n, (name, text) in enumerate(scan.TEMPLATES):
+        words = text.split()
+        for mark, end, every in (("// ", "\n", 9), (" * ", "\r\n", 4), ("", "\n", 1000)):
+            lines = [mark + " ".join(words[i : i + every]) for i in range(0, len(words), every)]
+            made.append((n, name, f"{other(60)}{end}Copyright 2020 Jane Doe{end}" + end.join(lines) + f"{end}{other(200)}"))
+        if len(words) > 40:
+            changed = [w if rng.random() > 0.05 else other(1) for w in words]
+            made.append((n, name, f"{other(30)}\n" + " ".join(changed)))
+            made.append((n, name, " ".join(words[3:])))
+    return made + [(-1, None, other(300)) for _ in range(60)] + [(-1, None, f"{other(20)} the license of the software is version 2.0 of the public work {other(20)}")]
+
+
+def test_licenses_of_whole_bodies_against_a_loop(spark):
+    from collections import Counter
+    from math import log, sqrt
+
+    from partloom.llm import license as scan
+
+    made = licence_files()
+    df = spark.createDataFrame([(i, f"d{i}", False, text) for i, (_, _, text) in enumerate(made)], "doc_id long, directory string, is_license boolean, text string")
+    templates = spark.createDataFrame(list(scan.TEMPLATES), "license string, text string")
+    got = {r.doc_id: (r.license, r.score) for r in scan.scan_licenses(df, templates).collect()}
+    assert [got[i][0] for i in range(len(made))] == [name for _, name, _ in made]
+    # every run of a template's length, wherever it lies: none reaches the threshold in a file without a licence, and none by
+    # far more than the one that was found
+    split = lambda t: re.findall(scan.WORD, t.lower())
+    texts = [split(t) for _, _, t in made]
+    held = Counter(w for t in texts for w in set(t))
+    weigh = lambda words: {w: c * (log((1 + len(texts)) / (1 + held[w])) + 1) for w, c in Counter(words).items()}
+    length = lambda v: sqrt(sum(x * x for x in v.values()))
+    models = [(name, weigh(split(t)), len(split(t))) for name, t in scan.TEMPLATES]
+    for i in [*range(0, len(made) - 61, 7), *range(len(made) - 3, len(made))]:
+        best = 0.0
+        for name, model, size in models:
+            for start in range(max(len(texts[i]) - size, 0) + 1):
+                v = weigh(texts[i][start : start + size])
+                if v and name != scan.WEAK:
+                    best = max(best, sum(x * model.get(w, 0) for w, x in v.items()) / length(v) / length(model))
+        if made[i][1] is None:
+            assert best < scan.LEAST
+        elif made[i][1] != scan.WEAK:
+            assert best >= got[i][1] - 1e-4 and best - got[i][1] < 0.05
+
+
+def test_a_long_licence_file_gives_its_licence(spark):
+    from partloom.llm import license as scan
+
+    body = next(t for name, t in scan.BODIES if name == "MIT")
+    files = [(1, "p", False, body), (2, "p/q/r", False, "code"), (3, "z", False, "Released under the MIT License. " + "word " * 200), (4, "z", False, "code"), (5, "s", False, "x " * 50 + "SPDX-License-Identifier: GPL-3.0-or-later")]
+    templates = spark.createDataFrame(list(scan.TEMPLATES), "license string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.from_directory) for r in scan.scan_licenses(spark.createDataFrame(files, "doc_id long, directory string, is_license boolean, text string"), templates).collect()}
+    assert got == {1: ("MIT", "header", None), 2: ("MIT", "directory", "p"), 3: ("MIT", "header", None), 4: (None, None, None), 5: ("GPL-3.0", "header", None)}
+
+
 def test_url_filter(spark):
     from partloom.llm import urlfilter
 
