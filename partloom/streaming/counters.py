@@ -14,7 +14,8 @@ from partloom.registry import SQL, query
 from partloom.sources.files import new_path
 
 MINUTE, DAY = 60 * 1_000_000, 86_400 * 1_000_000
-BUCKET, PER_SECOND = 30.0, 0.5
+BUCKET, PER_SECOND, LATE = 30.0, 0.5, "10 minutes"
+_TOLD = "user_id long, event_id long, allowed boolean, wait double"
 
 
 def micros() -> Column:
@@ -205,26 +206,71 @@ def k08(spark: SparkSession, d: str) -> DataFrame:
     return newest(spark, base).select("user_id", "event_id", "value")
 
 
-def take_tokens(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A bucket that fills continuously: each event takes a token or is told how long to wait."""
-    tokens, at = state.get if state.exists else (BUCKET, None)
-    frame = pd.concat(frames).sort_values(["us", "event_id"])  # a key's rows of a batch can come in several frames
-    allowed, wait = [], []
-    for us in frame["us"]:
-        tokens = BUCKET if at is None else min(BUCKET, tokens + max(0, us - at) / 1e6 * PER_SECOND)
-        at = us if at is None else max(at, us)
+def _settle(tokens: float, at: int, events: list[tuple[int, int]]) -> tuple[float, int, list[tuple[int, bool, float]]]:
+    """A bucket that fills continuously: each event in its order takes a token or is told how long to wait."""
+    told = []
+    for us, event in events:
+        tokens, at = min(BUCKET, tokens + max(0, us - at) / 1e6 * PER_SECOND), max(at, us)
         ok = tokens >= 1
         tokens -= ok
-        allowed.append(bool(ok))
-        wait.append(0.0 if ok else (1 - tokens) / PER_SECOND)
-    state.update((float(tokens), int(at) if at is not None else 0))
-    yield pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "allowed": allowed, "wait": wait})
+        told.append((event, bool(ok), 0.0 if ok else (1 - tokens) / PER_SECOND))
+    return tokens, at, told
+
+
+def _told(user: int, told: list[tuple[int, bool, float]]) -> pd.DataFrame:
+    return pd.DataFrame([(user, *t) for t in told], columns=["user_id", "event_id", "allowed", "wait"]).astype({"user_id": "int64", "event_id": "int64", "allowed": "bool", "wait": "float64"})
+
+
+def take_tokens(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Events wait in the state until the watermark has passed them, so batches may bring them out of order; a timer calls for
+    those whose key gets no more events. A bucket that is full again and has nothing waiting leaves the state by a timer too:
+    the key's next event finds a new bucket, which is full as well."""
+    tokens, at, us, ids = state.get if state.exists else (BUCKET, 0, [], [])
+    waiting = list(zip(us, ids))
+    if not state.hasTimedOut:
+        for frame in frames:
+            waiting += zip(frame["us"], frame["event_id"])
+    passed = state.getCurrentWatermarkMs()
+    waiting.sort()
+    tokens, at, told = _settle(tokens, at, [e for e in waiting if e[0] <= passed * 1000])
+    waiting = waiting[len(told) :]
+    full = at // 1000 + int((BUCKET - tokens) / PER_SECOND * 1000) + 2
+    if waiting or full > passed:
+        state.update((float(tokens), int(at), [int(u) for u, _ in waiting], [int(e) for _, e in waiting]))
+        state.setTimeoutTimestamp(-(-int(waiting[0][0]) // 1000) if waiting else full)
+    elif state.exists:
+        state.remove()
+    if told:
+        yield _told(key[0], told)
+
+
+def settle_waiting(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.concat([_told(r.user_id, _settle(r.tokens, r.at, list(zip(r.us, r.ids)))[2]) for r in frame.itertuples()])
+
+
+def run_token_bucket(events: DataFrame, base: str, late: str = LATE) -> None:
+    """Answers of a stream of events (user_id, event_id, ts) as a table below base; user_id, event_id and ts aren't null. Started
+    again on the same base it goes on where it stopped. An event that comes more than ``late`` after newer ones of a batch
+    before has no place in the order any more, and no answer."""
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    told = rows.groupBy("user_id").applyInPandasWithState(take_tokens, _TOLD, "tokens double, at long, us array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    told.writeStream.outputMode("append").option("checkpointLocation", f"{base}/stream").option("path", f"{base}/told").format("parquet").trigger(availableNow=True).start().awaitTermination()
+
+
+def bucket_states(spark: SparkSession, base: str) -> DataFrame:
+    """user_id, tokens, at, us and ids (what waits) of the keys that the stream holds."""
+    return spark.read.format("statestore").load(f"{base}/stream").select("key.user_id", "value.groupState.*")
+
+
+def token_answers(spark: SparkSession, base: str) -> DataFrame:
+    """All answers as if the stream ended here: those written, and those of events that wait for the watermark still."""
+    waiting = bucket_states(spark, base).where(F.size("us") > 0)
+    rest = waiting.mapInPandas(lambda frames: map(settle_waiting, frames), _TOLD)
+    return spark.read.schema(_TOLD).parquet(f"{base}/told").union(rest)
 
 
 @query("k10_token_bucket")
 def k10(spark: SparkSession, d: str) -> DataFrame:
-    path = new_path(spark, "tokens")
-    rows = event_stream(spark, d).select("user_id", "event_id", micros().alias("us"))
-    told = rows.groupBy("user_id").applyInPandasWithState(take_tokens, "user_id long, event_id long, allowed boolean, wait double", "tokens double, at long", "append", GroupStateTimeout.NoTimeout)
-    told.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "stream")).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    base = new_path(spark, "tokens")
+    run_token_bucket(event_stream(spark, d), base)
+    return token_answers(spark, base)

@@ -71,6 +71,37 @@ def test_token_bucket_equals_the_loop(spark, small):
             assert got[event] == (ok, round(0.0 if ok else (1 - tokens) / PER_SECOND, 6))
 
 
+def test_token_bucket_over_batches_out_of_order_and_a_restart(spark, tmp_path):
+    """Events come out of order within the time allowed, in five files; the stream stops after two of them and starts again."""
+    import datetime
+    import random
+
+    from partloom.streaming import counters
+
+    rng = random.Random(3)
+    begin = datetime.datetime(2024, 1, 1)
+    seconds = sorted(rng.choice([rng.uniform(0, 60), rng.uniform(300, 420), rng.uniform(0, 20_000)]) for _ in range(1200))
+    made = [(rng.randrange(4) if s < 15_000 else 99, i, begin + datetime.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    arriving = sorted(made, key=lambda r: r[2] + datetime.timedelta(seconds=rng.uniform(0, 500)))  # later than newer ones by less than ten minutes
+    schema = "user_id long, event_id long, ts timestamp_ntz"
+    part = len(arriving) // 5
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for n in range(5):
+        spark.createDataFrame(arriving[n * part : (n + 1) * part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+        if n in (1, 4):
+            counters.run_token_bucket(stream, str(tmp_path / "base"))
+    got = {r.event_id: (r.allowed, round(r.wait, 6)) for r in counters.token_answers(spark, str(tmp_path / "base")).collect()}
+    want, state = {}, {}
+    for user, event, ts in sorted(made, key=lambda r: (r[2], r[1])):
+        tokens, at = state.get(user, (counters.BUCKET, ts))
+        tokens = min(counters.BUCKET, tokens + (ts - at).total_seconds() * counters.PER_SECOND)
+        want[event] = (tokens >= 1, 0.0 if tokens >= 1 else round((1 - tokens) / counters.PER_SECOND, 6))
+        state[user] = (tokens - (tokens >= 1), ts)
+    assert got == want and len({a for a, _ in want.values()}) == 2
+    assert {r.user_id for r in counters.bucket_states(spark, str(tmp_path / "base")).collect()} == {99}  # the others' buckets are full again
+
+
 def test_best_offers_equal_the_whole_order(spark):
     """Blocks with many offers of equal attributes, stock and price, and requests with fewer offers than places."""
     from partloom.operators.assessment import assessed, total_order
