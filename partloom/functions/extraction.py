@@ -26,6 +26,9 @@ SAYS_NOTHING = ("with", "at", "least", "a", "the", "for", "of")
 PRIMARY = ("size", "resistance", "frequency", "rating", "family", "colour")
 #: Fields of a payload that its hash covers, in this order.
 HASHED = ("brand", "size", "type")
+#: A lifetime is at least so many hours; prefixes of henry.
+LIFETIME_HOURS = 100
+HENRY_PREFIXES = {"p": 1e-12, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "m": 1e-3, "k": 1e3}
 
 
 def si_value(c: Column, unit: str) -> Column:
@@ -114,6 +117,25 @@ def celsius(text: Column) -> Column:
     return F.regexp_extract(text, r"(?<![A-Za-z0-9.])(-?[0-9]+)°?C\b", 1).try_cast("double")
 
 
+def temperature(token: Column) -> Column:
+    """105°C and 105° as they stand; 105C only from 70 to 200, as a smaller or larger number before a bare C is no temperature."""
+    marked = F.regexp_extract(token, r"^[+]?([0-9]{1,3}(?:\.[0-9]+)?)°[cC]?$", 1).try_cast("double")
+    bare = F.regexp_extract(token, r"^([0-9]{2,3})C$", 1).try_cast("double")
+    return F.coalesce(marked, F.when(bare.between(70, 200), bare))
+
+
+def hours_or_henry(token: Column, inductive: Column, least: float = LIFETIME_HOURS) -> Column:
+    """hours and henry, of which one at most is stated. h, hr, hrs, hour and hours after a bare number are hours, all but h in any case; H is henry, but hours if
+    the part's class is known not to be inductive and the number is at least ``least``; with a prefix both h and H are henry.
+    ``inductive`` is null where the class isn't known."""
+    number = lambda pattern: F.regexp_extract(token, pattern, 1).try_cast("double")
+    small, bare, scaled = number(r"^([0-9]+(?:\.[0-9]+)?)(?:h|(?i:hrs?|hours?))$"), number(r"^([0-9]+(?:\.[0-9]+)?)H$"), number(r"^([0-9]+(?:\.[0-9]+)?)[pnuµmk][hH]$")
+    lifetime = F.coalesce(~inductive, F.lit(False)) & (bare >= least)
+    factor = F.create_map(*[F.lit(x) for p in HENRY_PREFIXES.items() for x in p])
+    henry = F.coalesce(scaled * F.try_element_at(factor, F.regexp_extract(token, "([pnuµmk])[hH]$", 1)), F.when(~lifetime, bare))
+    return F.struct(F.coalesce(small, F.when(lifetime, bare)).alias("hours"), henry.alias("henry"))
+
+
 def range_of(text: Column, unit: str) -> Column:
     """low~high of a unit as low, centre and high; one value is all three."""
     end = lambda i: F.regexp_extract(text, rf"^([0-9.]+)(?:[~-]([0-9.]+))?{unit}$", i).try_cast("double")
@@ -181,6 +203,22 @@ def b06(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", tolerance_percent(text).alias("percent"), F.round(watts(text), 6).alias("watt"), celsius(text).alias("celsius"))
 
 
+_LIFE = "case p_partkey % 7 when 0 then 'h' when 1 then 'H' when 2 then 'hrs' when 3 then 'uH' when 4 then 'mh' when 5 then 'C' else '°C' end"
+_INDUCTIVE = "case when p_type = 'SMALL' then true when p_type in ('MEDIUM', 'LARGE') then false end"
+
+
+@query("b06_hours_or_henry", f"""
+with t as (select p_partkey, p_partkey % 9 * 100 + p_size n, {_LIFE} unit, {_INDUCTIVE} inductive from part)
+select p_partkey, cast(case when unit in ('h', 'hrs') or unit = 'H' and inductive is not null and not inductive and n >= {LIFETIME_HOURS} then n end as double) as hours,
+       round(case when unit = 'uH' then n / 1e6 when unit = 'mh' then n / 1e3 when unit = 'H' and (inductive is null or inductive or n < {LIFETIME_HOURS}) then n end, 9)::double henry,
+       cast(case when unit = '°C' and n < 1000 or unit = 'C' and n between 70 and 200 then n end as double) celsius from t""")
+def b06_hours(spark: SparkSession, d: str) -> DataFrame:
+    """A number with h or H is a lifetime or an inductance, by its letters and the part's class."""
+    rows = table(spark, d, "part").select("p_partkey", F.expr(f"concat(cast(p_partkey % 9 * 100 + p_size as string), {_LIFE})").alias("token"), F.expr(_INDUCTIVE).alias("inductive"))
+    both = rows.withColumn("v", hours_or_henry(F.col("token"), F.col("inductive")))
+    return both.select("p_partkey", "v.hours", F.round("v.henry", 9).alias("henry"), temperature(F.col("token")).alias("celsius"))
+
+
 @query("b07_unit_factors", f"select p_partkey, u.base, round(p_size * u.factor, 6) as v from (select p_partkey, p_size, case p_partkey % 5 when 0 then 'CFM' when 1 then 'mmH2O' when 2 then 'gf' when 3 then 'inch' else 'mil' end unit from part) join (values {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, {c}::double)' for a, b, c in UNITS)}) u(unit, base, factor) using (unit)")
 def b07(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(u) for u, _, _ in UNITS])

@@ -17,6 +17,10 @@ PARENTS = (("ECONOMY", "STANDARD"), ("PROMO", "STANDARD"), ("SMALL", "MEDIUM"),
 NAME_CLASSES = (("bolt", "SMALL"), ("gear", "LARGE"), ("widget", "PROMO"), ("ring", "ECONOMY"))
 #: Rules on identifiers with what they say of the package; the longest pattern wins.
 IDENTIFIER_RULES = (("^Brand-1", "T1"), ("^Brand-1[0-4]", "T14"), ("^Brand-2", "T2"))
+#: The text's class wins over the category's for these pairs (text, category), and within a group all of which
+#: the category names.
+OVERRIDES = (("SMALL", "PROMO"), ("ECONOMY", "LARGE"))
+UNDECIDED = (("SMALL", "LARGE"),)
 _PARENT_VALUES = ", ".join(f"('{c}', {repr(p) if p else 'null'})" for c, p in PARENTS)
 
 
@@ -40,6 +44,38 @@ def b15(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("p_partkey", F.when(F.col("parent") == F.col("p_type"), F.col("named")).otherwise(F.col("p_type")).alias("class"))
 
 
+def class_of_two(category: Column, named: Column, parent_of_named: Column, overrides: tuple, undecided: tuple, categories: Column) -> Column:
+    """The class of an offer whose category and text each name one (null: none). The text's class counts where the category
+    names none, where it specialises the category's, where the pair (text, category) is declared to override, and where the
+    category names all of an undecided group of classes and the text one of them; else the category's counts.
+    ``categories`` are all classes that the category names."""
+    pair = F.lit(False)
+    for text, of in overrides:
+        pair = pair | ((named == text) & (category == of))
+    for group in undecided:
+        pair = pair | (named.isin(*group) & category.isin(*group) & (F.size(F.array_intersect(categories, F.array(*map(F.lit, group)))) == len(group)))
+    return F.when(category.isNull() | F.coalesce(pair | (parent_of_named == category), F.lit(False)), F.coalesce(named, category)).otherwise(category)
+
+
+_CATEGORY = "case when p_size % 5 = 0 then null else p_type end"
+
+
+@query("b15_class_with_overrides", f"""
+with h(class, parent) as (values {_PARENT_VALUES}), n(word, named) as (values {", ".join(str(x) for x in NAME_CLASSES)}),
+o(named, category) as (values {", ".join(str(x) for x in OVERRIDES)}),
+t as (select p_partkey, {_CATEGORY} category, case when p_size % 4 = 1 then 'LARGE' end also_named, named from part left join n on n.word = split_part(p_name, ' ', 2))
+select p_partkey, case when t.category is null then t.named when h.parent = t.category or o.named is not null then t.named
+       when t.category = 'SMALL' and also_named = 'LARGE' and t.named = 'LARGE' then t.named else t.category end as class
+from t left join h on h.class = t.named left join o on o.named = t.named and o.category = t.category""")
+def b15_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Categories are the parts' types, some of which name a second class; one in five names none."""
+    named = table(spark, d, "part").withColumn("word", F.split_part("p_name", F.lit(" "), F.lit(2))).join(F.broadcast(spark.createDataFrame(list(NAME_CLASSES), "word string, named string")), "word", "left")
+    joined = named.join(F.broadcast(parents(spark).withColumnRenamed("class", "named")), "named", "left")
+    category = F.expr(_CATEGORY)
+    every = F.array_compact(F.array(category, F.when(F.col("p_size") % 4 == 1, "LARGE")))
+    return joined.select("p_partkey", class_of_two(category, F.col("named"), F.col("parent"), OVERRIDES, UNDECIDED, every).alias("class"))
+
+
 @query("b17_key_contains", "select p_partkey, cast(p_size as varchar) voltage from part where p_partkey % 3 <> 0")
 def b17(spark: SparkSession, d: str) -> DataFrame:
     """Any voltage whose name doesn't say that it is of another kind."""

@@ -66,3 +66,29 @@ def test_tolerances_powers_heat_and_ranges(spark):
     assert told(spark, extraction.celsius, texts) == [105.0, -40.0, None, None, None]
     spans = told(spark, lambda c: extraction.range_of(c, "nm"), ["620~630nm", "5nm", "x", None])
     assert [tuple(x) for x in spans] == [(620.0, 625.0, 630.0), (5.0, 5.0, 5.0), (None, None, None), (None, None, None)]
+
+
+def test_hours_henry_and_temperatures_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from partloom.functions.extraction import hours_or_henry, temperature
+
+    cases = {("2000h", None): (2000.0, None), ("2000hrs", True): (2000.0, None), ("2000Hours", None): (2000.0, None), ("3000H", False): (3000.0, None), ("99H", False): (None, 99.0), ("3000H", None): (None, 3000.0), ("3000H", True): (None, 3000.0), ("10uH", False): (None, 1e-5), ("10uh", False): (None, 1e-5), ("2.5mH", None): (None, 0.0025), ("H", None): (None, None), ("10V", None): (None, None), ("", None): (None, None), (None, None): (None, None)}
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, token string, inductive boolean")
+    got = {r.i: (r.v.hours, r.v.henry and round(r.v.henry, 9)) for r in rows.select("i", hours_or_henry(F.col("token"), F.col("inductive")).alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    warm = {"105C": 105.0, "69C": None, "70C": 70.0, "201C": None, "25°C": 25.0, "+125°C": 125.0, "85°": 85.0, "C": None, None: None}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(warm)], "i int, token string")
+    assert [r.c for r in rows.orderBy("i").select(temperature(F.col("token")).alias("c")).collect()] == list(warm.values())
+
+
+def test_class_of_two_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from partloom.functions.vocabularies import class_of_two
+
+    # category, named, parent of named, all classes of the category -> class
+    cases = [("a", None, None, ["a"], "a"), (None, "b", None, [], "b"), (None, None, None, None, None), ("a", "b", "a", ["a"], "b"), ("a", "b", "c", ["a"], "a"), ("a", "o", None, ["a"], "o"), ("o", "a", None, ["o"], "o"), ("x", "y", None, ["x"], "x"), ("x", "y", None, ["y", "x", "z"], "y"), ("x", "y", None, None, "x"), ("x", "z", None, ["x", "y"], "x")]
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, category string, named string, parent string, categories array<string>")
+    got = rows.orderBy("i").select(class_of_two(F.col("category"), F.col("named"), F.col("parent"), (("o", "a"),), (("x", "y"),), F.col("categories")).alias("c")).collect()
+    assert [r.c for r in got] == [c[4] for c in cases]
