@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.bindings import offers, requests, table, with_views
+from partloom.bindings import alike, for_each_request, offers, requests, table, with_views
 from partloom.functions.text_keys import CODE_KEY_SQL, SPELLING_SQL, code_key, spelling
 from partloom.operators.matching import KEY
 from partloom.operators.ranking import first_by_key
@@ -146,12 +146,13 @@ from requests r join offers o on o.manufacturer = r.maker and o.size_v = r.want_
 def h20(spark: SparkSession, d: str) -> DataFrame:
     """Grades of offers of the wanted maker and size; those of kind ring count as without a class, so their text tells."""
     of = offers(spark, d).withColumnRenamed("family", "of_family")
-    pairs = requests(spark, d).join(of, (F.col("manufacturer") == F.col("maker")) & (F.col("size_v") == F.col("want_size")))
+    heads, members = alike(requests(spark, d))
+    pairs = heads.join(of.hint("rebalance"), (F.col("manufacturer") == F.col("maker")) & (F.col("size_v") == F.col("want_size")))
     for name in ("family", "of_family"):
         pairs = pairs.join(parents(spark).toDF(name, f"{name}_parent"), name, "left")
     actual = F.when(F.col("kind") == "ring", None).otherwise(F.col("of_family"))
     grade = class_grade(F.col("family"), F.col("family_parent"), actual, F.col("of_family_parent"), F.lower("description").contains(F.lower("family")))
-    return pairs.select("request_id", *KEY, grade.alias("grade"))
+    return for_each_request(pairs.select("request_id", *KEY, grade.alias("grade")), members)
 
 
 @query("c14_compatible_vocabulary", f"with h(class, parent) as (values {_PARENT_VALUES}) select a.class wanted, string_agg(b.class, ',' order by b.class) accepted from h a join h b on a.class = b.class or a.parent = b.class or b.parent = a.class group by 1")

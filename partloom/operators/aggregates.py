@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.bindings import candidates, offers, table, with_views
+from partloom.bindings import judged_candidates, offers, table, with_views
 from partloom.operators.checks import checked, checked_sql, conflicts, unverified
 from partloom.operators.matching import KEY, old_state
 from partloom.registry import query
@@ -65,7 +65,7 @@ _REASON = "case when s_size = 'conflict' then 'size' when s_rating = 'conflict'
 
 @query("e06_excluded_by_first_conflict", checked_sql(f"select request_id, source, {_REASON} reason, count(*) n from checked where {_REASON} is not null group by 1, 2, 3"))
 def e06(spark: SparkSession, d: str) -> DataFrame:
-    return checked(candidates(spark, d)).withColumn("reason", F.get(conflicts(), 0)).where("reason is not null").groupBy("request_id", "source", "reason").agg(F.count("*").alias("n"))
+    return judged_candidates(spark, d, lambda found: checked(found).withColumn("reason", F.get(conflicts(), 0)).where("reason is not null").groupBy("request_id", "source", "reason").agg(F.count("*").alias("n")))
 
 
 @query("e07_below_spec_nearest", checked_sql("""
@@ -74,7 +74,7 @@ cast(row_number() over (partition by request_id order by abs(ln(rating_v / min_r
 def e07(spark: SparkSession, d: str) -> DataFrame:
     own = Window.partitionBy("request_id")
     nth = F.row_number().over(own.orderBy(F.abs(F.log(F.col("rating_v") / F.col("min_rating"))), *KEY))
-    return checked(candidates(spark, d)).where("s_rating = 'conflict'").select("request_id", *KEY, F.count("*").over(own).alias("n_below"), nth.alias("nth")).where("nth <= 5")
+    return judged_candidates(spark, d, lambda found: checked(found).where("s_rating = 'conflict'").select("request_id", *KEY, F.count("*").over(own).alias("n_below"), nth.alias("nth")).where("nth <= 5"))
 
 
 @query("e08_fill_rate", with_views("select family, " + ", ".join(f"round(avg(case when {c} is not null then 1.0 else 0.0 end), 6) {c}" for c in ATTRIBUTES) + ", count(*) n from offers group by family having count(*) >= 20", "offers"))
@@ -142,10 +142,14 @@ from shown where request_id in (select request_id from shown group by 1 having b
 def e15(spark: SparkSession, d: str) -> DataFrame:
     """Only for requests of whose page every row leaves something unverified."""
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy("unit_price", *KEY))
-    shown = candidates(spark, d).withColumn("nth", nth).where("nth <= max_results")
-    rows = checked(shown).select("request_id", unverified().alias("open"))
-    every = rows.groupBy("request_id").agg(F.bool_and(F.size("open") > 0).alias("all_open"), F.flatten(F.collect_list("open")).alias("open"))
-    return every.where("all_open").select("request_id", F.explode("open").alias("attribute")).groupBy("request_id", "attribute").agg(F.count("*").alias("n"))
+
+    def pages(found: DataFrame) -> DataFrame:
+        shown = found.withColumn("nth", nth).where("nth <= max_results")
+        rows = checked(shown).select("request_id", unverified().alias("open"))
+        every = rows.groupBy("request_id").agg(F.bool_and(F.size("open") > 0).alias("all_open"), F.flatten(F.collect_list("open")).alias("open"))
+        return every.where("all_open").select("request_id", F.explode("open").alias("attribute")).groupBy("request_id", "attribute").agg(F.count("*").alias("n"))
+
+    return judged_candidates(spark, d, pages)
 
 
 @query("e16_largest_remainder", """
@@ -203,7 +207,7 @@ count(case when s_size = 'match' and coalesce(s_rating, 'match') = 'match' and c
 count(case when s_size = 'conflict' or s_colour = 'conflict' then 1 end) excluded, count(case when s_rating = 'conflict' and s_size <> 'conflict' and coalesce(s_colour, '') <> 'conflict' then 1 end) below_spec,
 count(case when stock < quantity then 1 end) short from checked group by request_id, source"""))
 def e20(spark: SparkSession, d: str) -> DataFrame:
-    return accounting(checked(candidates(spark, d)))
+    return judged_candidates(spark, d, lambda found: accounting(checked(found)))
 
 
 def accounting(rows: DataFrame) -> DataFrame:

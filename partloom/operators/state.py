@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.bindings import candidates, offers, requests, table, with_views
-from partloom.operators.matching import KEY, coverage, old_state
+from partloom.bindings import MARGIN, alike, judged_candidates, offers, requests, table, with_views
+from partloom.operators.matching import KEY, candidate_join, coverage, old_state
 from partloom.registry import query
 
 AS_OF = "2001-06-01"
@@ -109,23 +109,28 @@ _TOP = "(select request_id, source, part_number, stock, row_number() over (parti
 def j11(spark: SparkSession, d: str) -> DataFrame:
     """Rows about to be shown are refreshed; sold out ones go and the next ones move up."""
     own = Window.partitionBy("request_id")
-    top = candidates(spark, d).select("request_id", *KEY, "sk", F.row_number().over(own.orderBy("unit_price", *KEY)).alias("nth"))
-    updates = top.where("nth <= 3 and sk % 4 = 0").select("request_id", *KEY, F.lit(True).alias("sold_out"))
-    left = top.join(updates, ["request_id", *KEY], "left").where("sold_out is null")
-    return left.select("request_id", *KEY, F.row_number().over(own.orderBy("nth")).alias("place")).where("place <= 3")
+
+    def refreshed(found: DataFrame) -> DataFrame:
+        top = found.select("request_id", *KEY, "sk", F.row_number().over(own.orderBy("unit_price", *KEY)).alias("nth"))
+        updates = top.where("nth <= 3 and sk % 4 = 0").select("request_id", *KEY, F.lit(True).alias("sold_out"))
+        left = top.join(updates, ["request_id", *KEY], "left").where("sold_out is null")
+        return left.select("request_id", *KEY, F.row_number().over(own.orderBy("nth")).alias("place")).where("place <= 3")
+
+    return judged_candidates(spark, d, refreshed)
 
 
 @query("j12_due_list", with_views("select distinct source, part_number from (select source, part_number, fetched_at, row_number() over (partition by request_id order by unit_price, source, part_number) nth from candidates) where nth <= 5 and fetched_at < timestamp '2001-06-01' - interval 1 day", "requests", "offers", "candidates"))
 def j12(spark: SparkSession, d: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy("unit_price", *KEY))
-    return candidates(spark, d).select(*KEY, "fetched_at", nth.alias("nth")).where((F.col("nth") <= 5) & (F.col("fetched_at") < _ts("2001-05-31"))).select(*KEY).distinct()
+    found = candidate_join(alike(requests(spark, d))[0], offers(spark, d).hint("rebalance"), MARGIN)
+    return found.select(*KEY, "fetched_at", nth.alias("nth")).where((F.col("nth") <= 5) & (F.col("fetched_at") < _ts("2001-05-31"))).select(*KEY).distinct()
 
 
 @query("j13_cache_decision", with_views("select request_id, case when n is null then 'miss' when oldest < timestamp '1998-06-01' then 'stale' when n < 50 then 'partial' else 'hit' end decision from requests left join (select request_id, count(*) n, min(fetched_at) oldest from candidates where request_id in (select o_custkey from orders) group by 1) using (request_id)", "requests", "offers", "candidates"))
 def j13(spark: SparkSession, d: str) -> DataFrame:
     """Lists are there for customers that have ordered before."""
     ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("request_id")).distinct()
-    lists = candidates(spark, d).join(ordered, "request_id", "left_semi").groupBy("request_id").agg(F.count("*").alias("n"), F.min("fetched_at").alias("oldest"))
+    lists = judged_candidates(spark, d, lambda found: found.groupBy("request_id").agg(F.count("*").alias("n"), F.min("fetched_at").alias("oldest"))).join(ordered, "request_id", "left_semi")
     decision = F.when(F.col("n").isNull(), "miss").when(F.col("oldest") < _ts("1998-06-01"), "stale").when(F.col("n") < 50, "partial").otherwise("hit")
     return requests(spark, d).join(lists, "request_id", "left").select("request_id", decision.alias("decision"))
 
@@ -188,6 +193,10 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
 def j20(spark: SparkSession, d: str) -> DataFrame:
     """A list of which one key can't be fetched is a miss as a whole."""
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy("unit_price", *KEY))
-    lists = candidates(spark, d).select("request_id", *KEY, nth.alias("nth")).where("nth <= 3")
-    here = offers(spark, d).where("sk % 5 <> 0").select(*KEY, F.lit(True).alias("here"))
-    return lists.join(here, KEY, "left").groupBy("request_id").agg((F.count("here") == F.count("*")).alias("usable"))
+
+    def lists_of(found: DataFrame) -> DataFrame:
+        lists = found.select("request_id", *KEY, nth.alias("nth")).where("nth <= 3")
+        here = offers(spark, d).where("sk % 5 <> 0").select(*KEY, F.lit(True).alias("here"))
+        return lists.join(here, KEY, "left").groupBy("request_id").agg((F.count("here") == F.count("*")).alias("usable"))
+
+    return judged_candidates(spark, d, lists_of)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.bindings import MARGIN, offers, requests
+from partloom.bindings import MARGIN, alike, for_each_request, offers, requests
 from partloom.operators.assessment import ORDER_SQL, assessed, assessed_sql
 from partloom.operators.checks import conflicts
 from partloom.operators.matching import KEY, candidate_join
@@ -81,4 +81,5 @@ def best_offers(asked: DataFrame, offered: DataFrame, margin: float = MARGIN) ->
 
 @query("f06_best_offers", assessed_sql(f"select request_id, source, part_number, nth from (select *, cast(row_number() over (partition by request_id order by {ORDER_SQL}) as int) nth from assessed where s_size <> 'conflict' and coalesce(s_rating, '') <> 'conflict' and coalesce(s_colour, '') <> 'conflict') where nth <= max_results"))
 def f06_best(spark: SparkSession, d: str) -> DataFrame:
-    return best_offers(requests(spark, d), offers(spark, d)).select("request_id", *KEY, "nth")
+    heads, members = alike(requests(spark, d))
+    return for_each_request(best_offers(heads, offers(spark, d)).select("request_id", *KEY, "nth"), members)
