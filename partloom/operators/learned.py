@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.bindings import evaluation
+from partloom.bindings import evaluation, evaluation_by_query
 from partloom.registry import query
 from partloom.sources.files import written
 
@@ -34,15 +34,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def ridge_left_out(rows: DataFrame, width: int, penalty: float = RIDGE) -> DataFrame:
     """qid and w (the intercept last, not penalised) of each query: from all rows (qid, y, x) but its own. The sums of a query,
-    (width + 1) x (width + 2), are one row; the driver sees those of all queries together."""
+    (width + 1) x (width + 2), are one row; the driver sees those of all queries together. Rows that are dealt by qid are summed
+    where they are; the sums over all queries come from the rows, so no query's sums are sent for them."""
     one = F.concat("x", F.array(F.lit(1.0)))
     long = rows.select("qid", "y", one.alias("x"))
     upper = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
     xx = F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in upper])
     xy = F.array(*[F.sum(F.col("x")[i] * F.col("y")) for i in range(width + 1)])
     sums = long.groupBy("qid").agg(xx.alias("xx"), xy.alias("xy"))
-    total = sums.agg(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("xx", len(upper)), ("xy", width + 1)) for i in range(n)]).first()
-    every = np.array([x or 0.0 for x in total])
+    total = long.agg(xx.alias("xx"), xy.alias("xy")).first()
+    every = np.array([x or 0.0 for x in (*total.xx, *total.xy)])
     sent = rows.sparkSession.sparkContext.broadcast(every)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def scored(rows: DataFrame, weights: Column) -> Column:
 @query("l12_ridge_left_out")
 def l12_all(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate's score by weights from all other queries, over ten features."""
-    rows = features(evaluation(spark, d))
+    rows = features(evaluation_by_query(spark, d))
     return rows.join(ridge_left_out(rows, len(FEATURES)), "qid").select("qid", "cand_key", scored(rows, F.col("w")).alias("score"))
 
 

@@ -65,3 +65,9 @@ def test_bootstrap_interval(spark):
     assert abs(got["mean"] - diff.mean()) < 0.1 * (high - low) and abs(got.low - low) < 0.1 * (high - low) and abs(got.high - high) < 0.1 * (high - low)
     again = bootstrap(spark.createDataFrame(list(enumerate(diff.tolist())), "qid long, diff double").repartition(7), 4000).first()
     assert abs(again.low - got.low) < 1e-9 and abs(again.high - got.high) < 1e-9
+
+
+def test_ridge_sums_queries_where_their_rows_are(spark, small):
+    """Rows are dealt by query before anything is computed of them, and no query's sums of products are dealt again."""
+    plan = learned.l12_all(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(qid" not in plan
