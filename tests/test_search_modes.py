@@ -98,3 +98,21 @@ def test_odd_requests(spark):
             assert got[i] == search(text, rows), text
     assert modes.relaxed(terms.limit(0), modes.search_texts(shop), "request_id").count() == 0
     assert {m for m, *_ in found(modes.relaxed(terms, modes.search_texts(shop.limit(0)), "request_id")).values()} == {None}
+
+
+def test_prefix_join_holds_requests_and_not_offers(spark):
+    """Half of all offers begin with one prefix; a merge join holds the rows of its right side, so these are the requests."""
+    from pyspark.sql import functions as F
+
+    from partloom.operators.matching import prefix_join
+
+    offered = spark.range(2000).select(F.lit("S").alias("source"), F.concat(F.lit("P-"), "id").alias("part_number"), F.concat(F.lit("Brand-"), (F.col("id") % 2 + 1), F.lit("-"), "id").alias("mpn"))
+    asked = spark.createDataFrame([(1, "brand 1"), (2, "Brand-1"), (3, "Brand-2-1"), (4, "P-19"), (5, "zzzzz")], "request_id long, prefix string")
+    joined = prefix_join(asked, offered, 3)
+    want = {(r, f"P-{i}") for i in range(2000) for r, p in ((1, "BRAND1"), (2, "BRAND1"), (3, "BRAND21"), (4, "P19")) if f"BRAND{i % 2 + 1}{i}".startswith(p) or f"P{i}".startswith(p)}
+    got = [(r.request_id, r.part_number) for r in joined.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    join = next(line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert join and plan.index("part_number") < plan.index("request_id", plan.index("Join Inner"))
+    assert plan.count("Join Inner") == 1
