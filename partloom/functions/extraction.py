@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partloom.bindings import offers, requests, table, with_views
+from partloom.bindings import offers, offers_read_by_part, requests, table, with_views
 from partloom.functions.text_keys import CLASS_WORDS, normal_key, tokens
 from partloom.operators.matching import KEY
 from partloom.registry import query
@@ -291,7 +291,8 @@ def b25(spark: SparkSession, d: str) -> DataFrame:
     """The wide row of an offer out of its description: values by unit, words of columns, the class, and a text to search."""
     words = tokens(F.col("description"))
     typed = {k: v for k, v in typed_values(words).items() if k not in ("frequency", "resistance")}  # no description states these
-    rows = offers(spark, d).select(*KEY, *(v.alias(k) for k, v in typed.items()), class_in(words).alias("class"), (F.col("stock") > 0).alias("in_stock"), normal_key(F.concat_ws(" ", "mpn", "manufacturer", "description")).alias("search_text"))
+    read = typed | {"class": class_in(words), "search_text": normal_key(F.concat_ws(" ", "mpn", "manufacturer", "description"))}
+    rows = offers_read_by_part(spark, d, read).select(*KEY, *(f"read.{k}" for k in typed), "read.class", (F.col("stock") > 0).alias("in_stock"), "read.search_text")
     attributes = F.concat_ws(",", *(F.concat(F.lit(f"{k}="), k) for k in ("class", "colour", "family")))
     return rows.withColumns({"n_typed": sum(F.col(k).isNotNull().cast("int") for k in typed), "attributes": attributes})
 

@@ -92,3 +92,16 @@ def test_class_of_two_by_hand(spark):
     rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, category string, named string, parent string, categories array<string>")
     got = rows.orderBy("i").select(class_of_two(F.col("category"), F.col("named"), F.col("parent"), (("o", "a"),), (("x", "y"),), F.col("categories")).alias("c")).collect()
     assert [r.c for r in got] == [c[4] for c in cases]
+
+
+def test_typed_rows_are_read_once_a_part(spark, small):
+    """What reads a description stands below the join with the offers, and the texts of parts are those of their offers."""
+    from partloom.bindings import PART_TEXTS, offers, offers_read_by_part
+    from partloom.catalogue import QUERIES
+    from pyspark.sql import functions as F
+
+    plan = QUERIES["b25_typed_row"](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(n for n, line in enumerate(plan) if "split(" in line) > next(n for n, line in enumerate(plan) if "Join Inner" in line)
+    both = offers_read_by_part(spark, small, {k: F.col(k) for k in PART_TEXTS})
+    assert both.count() == offers(spark, small).count()
+    assert both.where(" or ".join(f"not (read.{k} <=> {k})" for k in PART_TEXTS)).count() == 0
