@@ -116,3 +116,20 @@ def test_prefix_join_holds_requests_and_not_offers(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert join and plan.index("part_number") < plan.index("request_id", plan.index("Join Inner"))
     assert plan.count("Join Inner") == 1
+
+
+@pytest.mark.parametrize("name", ["i02_all_terms", "i03_any_term", "i04_bm25", "i09_drop_least_informative", "h11_keyword_overlap"])
+def test_a_merge_join_holds_queries_and_not_documents(spark, small, name):
+    """Of a join of documents with queries, the right side (which a merge join holds by key) reads no documents' words."""
+    from partloom.catalogue import QUERIES
+
+    joins, todo = [], [QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        p = todo.pop()
+        kids = [p.children().apply(i) for i in range(p.children().size())]
+        if p.nodeName() == "Join" and "Inner" in p.toString().splitlines()[0]:
+            joins.append([k.toString() for k in kids])
+        todo += kids
+    # counts by term have a row for each
+    held = [(left, right) for left, right in joins if "item_id" in right and "Generate" in right and not right.startswith("Aggregate [term#")]
+    assert held and all("doc_id" in left and "doc_id" not in right for left, right in held)
