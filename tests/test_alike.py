@@ -59,3 +59,12 @@ def test_joins_grow_with_kinds_of_requests(spark, repeated, name):
     pairs = QUERIES["d01_candidates"](spark, repeated).count()
     answers = QUERIES[name](spark, repeated)
     assert joined_rows(answers) < max(pairs / 4, 6000 * 5 + 1)
+
+
+def test_answers_of_one_kind_follow_each_other(spark, repeated):
+    """So the ids of equal requests repeat from row to row, and a written table compresses."""
+    answers = QUERIES["h03_comparison_modes"](spark, repeated)
+    kinds = [r[0] for r in answers.selectExpr("request_id % 300").collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert answers.rdd.getNumPartitions() == tasks  # as many as a shuffle has, few bytes or not
+    assert 1 + sum(a != b for a, b in zip(kinds, kinds[1:])) <= len(set(kinds)) * tasks  # a kind is one run in a task
