@@ -144,12 +144,16 @@ def range_of(text: Column, unit: str) -> Column:
 
 
 def price_brackets(raw: Column) -> Column:
-    """1-199:0.013,200-:0.01 as sorted brackets (quantity, price); malformed ones go, the first of a quantity stays."""
-    parts = F.transform(F.split(raw, ","), lambda p: F.struct(F.regexp_extract(p, r"^\s*([0-9]+)(?:-[0-9]*)?:([0-9.]+)\s*$", 1).try_cast("int").alias("quantity"), F.regexp_extract(p, r"^\s*([0-9]+)(?:-[0-9]*)?:([0-9.]+)\s*$", 2).try_cast("double").alias("price")))
-    good = F.filter(parts, lambda p: p.quantity.isNotNull() & p.price.isNotNull())
-    quantities = F.transform(good, lambda p: p.quantity)
-    first = F.filter(good, lambda p, i: F.array_position(quantities, p.quantity) == i + 1)
-    return F.array_sort(F.transform(first, lambda p: F.struct(p.quantity.alias("quantity"), p.price.alias("price"))))
+    """1-199:0.013,200-:0.01 as sorted brackets (quantity, price); malformed ones go, the first of a quantity stays.
+
+    A fold over what was read: an expression that names the list again, for each of its brackets, reads all of it again."""
+    bracket = r"^\s*([0-9]+)(?:-[0-9]*)?:([0-9.]+)\s*$"
+    read = lambda p, i: F.regexp_extract(p, bracket, i)
+    parts = F.transform(F.split(raw, ","), lambda p: F.struct(read(p, 1).try_cast("int").alias("quantity"), read(p, 2).try_cast("double").alias("price")))
+    none = F.array().cast("array<struct<quantity:int,price:double>>")
+    unread = lambda p: p.quantity.isNull() | p.price.isNull()
+    first = F.aggregate(parts, none, lambda held, p: F.when(unread(p) | F.exists(held, lambda h: h.quantity == p.quantity), held).otherwise(F.array_append(held, p)))
+    return F.array_sort(first)
 
 
 def brackets_of(price: Column) -> Column:
@@ -317,7 +321,9 @@ def b30(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     raw = F.concat(F.lit("10-99:"), size, F.lit(".5,bad,1-9:"), size, F.lit(",10-:99,x:1"))
     listed = F.transform(price_brackets(raw), lambda b: F.concat(b.quantity.cast("string"), F.lit(":"), b.price.cast("string")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(listed, ",").alias("brackets"))
+    # few bytes, but much to read in each: dealt to as many tasks as a shuffle has, which by bytes would be coalesced
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, d, "part").select("p_partkey", "p_size").repartition(n, "p_partkey").select("p_partkey", F.array_join(listed, ",").alias("brackets"))
 
 
 @query("b31_localised_price", "select p_partkey, round(p_retailprice, 2) as price from part")
