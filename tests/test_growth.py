@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from partloom.catalogue import QUERIES
 from partloom.functions import attributes, extraction
+from partloom.operators import ranking
 
 
 def plan(df):
@@ -22,3 +23,10 @@ def test_declared_attributes_need_no_shuffle(spark):
     found = attributes.resolve_declared(rows, ["id"])
     assert "Exchange" not in plan(found) and "Sort" not in plan(found)
     assert {(r.attribute, r.value, r.name) for r in found.collect()} == {("voltage", "1", "v"), ("size", "2", "value")}
+
+
+def test_average_rank_sorts_once(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, None), (1, 3.0), (2, 5.0), (1, float("nan")), (1, float("nan"))], "q long, v double")
+    ranked = rows.select("q", "v", ranking.average_rank(F.col("v"), "q").alias("r"))
+    assert plan(ranked).count("Sort [") == 1
+    assert sorted(r.r for r in ranked.collect()) == [1.0, 1.0, 2.5, 2.5, 4.0, 5.5, 5.5]
