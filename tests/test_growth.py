@@ -1,5 +1,7 @@
 """Plans of which a task's memory or time grew with the tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from partloom.catalogue import QUERIES
@@ -30,3 +32,17 @@ def test_average_rank_sorts_once(spark):
     ranked = rows.select("q", "v", ranking.average_rank(F.col("v"), "q").alias("r"))
     assert plan(ranked).count("Sort [") == 1
     assert sorted(r.r for r in ranked.collect()) == [1.0, 1.0, 2.5, 2.5, 4.0, 5.5, 5.5]
+
+
+def test_among_first_keeps_all_that_can_be_first(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id % 3) g", "cast(id as string) k")
+    own = {}
+    for r in rows.collect():
+        own.setdefault(r.g, []).append(hashlib.md5(r.k.encode()).hexdigest())
+    kept = {}
+    for r in ranking.among_first(rows, ["g"], F.md5("k"), 10).collect():
+        kept.setdefault(r.g, []).append(hashlib.md5(r.k.encode()).hexdigest())
+    for g, every in own.items():
+        assert sorted(kept[g])[:10] == sorted(every)[:10] and len(kept[g]) < 100
+    few = spark.range(5).selectExpr("1 g", "cast(null as string) k")
+    assert ranking.among_first(few, ["g"], F.md5("k"), 10).count() == 5
