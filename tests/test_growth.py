@@ -50,3 +50,7 @@ def test_among_first_keeps_all_that_can_be_first(spark):
 
 def test_correlations_are_dealt(spark, small):
     assert QUERIES["l03_spearman"](spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_first_of_a_key_is_dealt(spark, small):
+    assert QUERIES["f10_keep_first"](spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
