@@ -54,3 +54,31 @@ def test_correlations_are_dealt(spark, small):
 
 def test_first_of_a_key_is_dealt(spark, small):
     assert QUERIES["f10_keep_first"](spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_trigram_candidates_by_a_loop(spark, monkeypatch):
+    """Separators at and off a chunk's end, short and long names, copies, and part numbers of more runs than are combined by three."""
+    from partloom.operators import text_search
+
+    parts = ["P1234-567", "P12-34567", "P-1234567", "P123-4567", "p1234567", "XP123456789", "P1", "", None, "AAAAAAA", "ABCABCABC-ABC", "".join(chr(65 + i * i % 26) + str(i) for i in range(60)), "P1234567-P12-345-678"]
+    names = ["P1234567", "P12345", "p-12 34567", "P1234567", "AAAAAA", "ABCABCABC", "XP123456", "Z99999", "P1234", None, parts[-2][:40], parts[-2][31:38], "P12345678P12"]
+    offered = spark.createDataFrame([(f"S{i % 2}", p) for i, p in enumerate(parts)], "source string, part_number string")
+    asked = spark.createDataFrame(list(enumerate(names)), "request_id long, name string")
+
+    def fits(name, part):
+        code = "".join(c for c in name if c.isalnum()).upper()
+        return len(code) >= 6 and any(all(code[i : i + 3] in part.upper() for i in range(p, len(code) - 2, 3)) for p in range(3))
+
+    want = sorted((r, p) for r, name in enumerate(names) if name for p in parts if p and len(p) > 2 and fits(name, p))
+    for many, marks in ((32, 1 << 20), (0, 1 << 20), (32, 2)):
+        monkeypatch.setattr(text_search, "MANY_RUNS", many)
+        monkeypatch.setattr(text_search, "BLOCKS", marks)
+        assert sorted((r.request_id, r.part_number) for r in text_search.trigram_candidates(asked, offered, "request_id").collect()) == want
+    assert want
+
+
+def test_trigram_candidates_shuffle_no_runs(spark, small):
+    """An offer's runs stay where it is: what is shuffled are its key and hashes that names may ask for."""
+    made = QUERIES["i12_trigram_candidates"](spark, small)._jdf.queryExecution()
+    assert not [line for line in made.executedPlan().toString().splitlines() if "Exchange" in line and "runs" in line]
+    assert not [line for line in made.optimizedPlan().toString().splitlines() if "Aggregate" in line and "runs" in line]
