@@ -82,3 +82,57 @@ def test_trigram_candidates_shuffle_no_runs(spark, small):
     made = QUERIES["i12_trigram_candidates"](spark, small)._jdf.queryExecution()
     assert not [line for line in made.executedPlan().toString().splitlines() if "Exchange" in line and "runs" in line]
     assert not [line for line in made.optimizedPlan().toString().splitlines() if "Aggregate" in line and "runs" in line]
+
+
+def test_least_steps_meet_documents_by_the_last_term(spark, small):
+    """No pairs of document and query are dealt or gathered: only texts are shuffled, and what is counted for a query."""
+    for name in ("i09_drop_least_informative", "i10_fallback_mode"):
+        dealt = [line for line in plan(QUERIES[name](spark, small)).splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not [line for line in dealt if "qid" in line and "doc_id" in line], name
+        assert not [line for line in dealt if "(term" in line and "doc_id" in line], name
+
+
+def test_scores_need_only_texts_dealt(spark, small):
+    for name in ("i04_bm25", "i05_ranked_page"):
+        dealt = [line for line in plan(QUERIES[name](spark, small)).splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not [line for line in dealt if "(qid" in line and "doc_id" in line.split("hashpartitioning(")[1].split(")")[0]], name
+        assert not [line for line in plan(QUERIES[name](spark, small)).splitlines() if "SortMergeJoin" in line], name
+
+
+def test_text_search_by_a_loop(spark, monkeypatch):
+    """Rows of one id, rows without id or text, queries of one term, and blocks of a few terms."""
+    import math
+    import re
+
+    from partloom.operators import text_search
+
+    docs = [(1, "red gear, widget!", 17), (2, "Gear gear bolt", 14), (2, "ring red", 8), (None, "gear ring", 9), (3, None, 0), (4, "", 0), (5, "widget bolt ring gear red", 25), (5, "x", None), (6, "--", 2)]
+    asked = ["gear widget red", "ring", "bolt nothing", "red red gear a", "", "?", "widget ring bolt gear zz"]
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    merged = {}
+    for i, t, _ in docs:
+        merged.setdefault(i, []).extend(words(t or ""))
+    lengths = [len(words(t)) for _, t, _ in docs if t is not None]
+    mean, scores, steps = sum(lengths) / len(lengths), {}, {}
+    for q, text in enumerate(asked):
+        own = list(dict.fromkeys(words(text)))
+        order = sorted(own, key=lambda w: (len(w), w))
+        for i, held in merged.items():
+            if len(own) >= 2 and (step := max((n for n, w in enumerate(order, 1) if w not in held), default=0)) <= len(own) - 2:
+                steps[q, i] = step
+            for w in own if i is not None else ():
+                df = sum(w in h for h in merged.values())
+                for j, t, _ in docs:
+                    if w in held and j == i and t is not None:
+                        tf = held.count(w)
+                        scores[q, i] = scores.get((q, i), 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words(t)) / mean))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    terms = text_search.query_terms(spark.createDataFrame(list(enumerate(asked)), "item_id long, text string"), "item_id")
+    held = text_search.by_id(rows).select("doc_id", F.array_distinct(F.flatten("words")).alias("held"))
+    for block in (200_000, 3):
+        monkeypatch.setattr(text_search, "TERM_BLOCK", block)
+        got = text_search.in_blocks(terms, lambda t: text_search.bm25(rows, t, "n_chars")).collect()
+        assert {(r.qid, r.doc_id): r.score for r in got} == {k: round(v, 6) for k, v in scores.items()} and len(got) == len(scores)
+        assert all(sorted(str(x.n_chars) for x in r.n_chars) == sorted(str(n) for i, _, n in docs if i == r.doc_id) for r in got)
+        assert {(r.qid, r.doc_id): r.step for r in text_search.in_blocks(terms, lambda t: text_search.least_steps(held, t)).collect()} == steps
+    assert {(r.term) for r in text_search.held_terms(rows, terms).collect()} == {w for t in asked for w in words(t)} & {w for h in merged.values() for w in h}
