@@ -64,11 +64,11 @@ def fold_of(qid: Column, folds: int) -> Column:
     return F.pmod(F.crc32(qid.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def pairs_of(rows: DataFrame, folds: int) -> DataFrame:
+def pairs_of(rows: DataFrame, folds: int, width: int) -> DataFrame:
     """fold and d, the differences of features of each pair of a query's candidates, the better one first."""
     other = rows.select("qid", F.col("y").alias("o_y"), F.col("x").alias("o_x"))
     better = rows.join(other, "qid").where("y > o_y")
-    return better.select(fold_of(F.col("qid"), folds).alias("fold"), F.zip_with("x", "o_x", lambda a, b: a - b).alias("d"))
+    return better.select(fold_of(F.col("qid"), folds).alias("fold"), F.array(*[F.get("x", F.lit(i)) - F.get("o_x", F.lit(i)) for i in range(width)]).alias("d"))
 
 
 def _slopes(pairs: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,14 +77,19 @@ def _slopes(pairs: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     sent = pairs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, out = sent.value, np.zeros((folds, 1 + width + width * width))
+        w, (i, j) = sent.value, np.triu_indices(width)
+        n, gradient, upper = np.zeros((folds, 1)), np.zeros((folds, width)), np.zeros((folds, len(i)))
         for batch in batches:
             fold, d = batch.column(0).to_numpy(), _matrix(batch.column(1), width)
-            miss = 1 / (1 + np.exp(np.clip(d @ w.T, -500, 500)))
-            for k in range(folds):
-                seen = fold != k
-                p, x = miss[seen, k], d[seen]
-                out[k] += np.concatenate(([len(x)], -(x.T @ p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()))
+            seen = fold[:, None] != np.arange(folds)
+            miss = 1 / (1 + np.exp(np.clip(d @ w.T, -500, 500))) * seen
+            n += seen.sum(axis=0)[:, None]
+            gradient -= miss.T @ d
+            # products of features are made once for all folds
+            upper += (miss * (1 - miss)).T @ (d[:, i] * d[:, j])
+        second = np.zeros((folds, width, width))
+        second[:, i, j] = second[:, j, i] = upper
+        out = np.hstack((n, gradient, second.reshape(folds, -1)))
         yield pa.RecordBatch.from_arrays([pa.array(range(folds), pa.int32()), pa.array(out.tolist(), pa.list_(pa.float64()))], ["fold", "s"])
 
     parts = pairs.select("fold", "d").mapInArrow(run, "fold int, s array<double>")
@@ -98,7 +103,7 @@ def _slopes(pairs: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def pairwise_left_out(rows: DataFrame, width: int, folds: int = FOLDS, l2: float = L2) -> np.ndarray:
     """Weights of each fold from the pairs of all others (all-zero weights where there are none): the minimum of the mean
     logistic loss plus l2 / 2 of the squared weights, to ``STILL``."""
-    pairs, w = written(pairs_of(rows, folds), "pairs"), np.zeros((folds, width))
+    pairs, w = written(pairs_of(rows, folds, width), "pairs"), np.zeros((folds, width))
     for _ in range(STEPS):
         n, gradient, second = _slopes(pairs, w)
         n = np.maximum(n, 1)
@@ -109,23 +114,24 @@ def pairwise_left_out(rows: DataFrame, width: int, folds: int = FOLDS, l2: float
     return w
 
 
-def scored(rows: DataFrame, weights: Column) -> Column:
+def scored(width: int, weights: Column) -> Column:
     """The inner product of x, and an intercept if there is a weight for one."""
-    return F.round(F.aggregate(F.zip_with(F.concat("x", F.array(F.lit(1.0))), weights, lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x), 6)
+    ones = [*[F.get("x", F.lit(i)) for i in range(width)], F.lit(1.0)]
+    return F.round(sum((x * F.coalesce(F.get(weights, F.lit(i)), F.lit(0.0)) for i, x in enumerate(ones)), F.lit(0.0)), 6)
 
 
 @query("l12_ridge_left_out")
 def l12_all(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate's score by weights from all other queries, over ten features."""
     rows = features(evaluation_by_query(spark, d))
-    return rows.join(ridge_left_out(rows, len(FEATURES)), "qid").select("qid", "cand_key", scored(rows, F.col("w")).alias("score"))
+    return rows.join(ridge_left_out(rows, len(FEATURES)), "qid").select("qid", "cand_key", scored(len(FEATURES), F.col("w")).alias("score"))
 
 
 @query("l13_pairwise_left_out")
 def l13_folds(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate's score by weights from the pairs of all other folds of queries, over ten features."""
     rows = features(evaluation(spark, d))
-    w = pairwise_left_out(rows, len(FEATURES))
+    w = pairwise_left_out(features(evaluation_by_query(spark, d)), len(FEATURES))
     weights = spark.createDataFrame([(k, x) for k, x in enumerate(w.tolist())], "fold int, w array<double>")
     judged = rows.withColumn("fold", fold_of(F.col("qid"), FOLDS)).join(F.broadcast(weights), "fold")
-    return judged.select("qid", "cand_key", scored(rows, F.col("w")).alias("score"))
+    return judged.select("qid", "cand_key", scored(len(FEATURES), F.col("w")).alias("score"))

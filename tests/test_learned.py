@@ -108,3 +108,27 @@ def test_cosine_by_blocks(spark, monkeypatch):
     for q in range(0, 400, 10):
         want = sorted((i for i in made if i != q), key=lambda i: (-cosine(made[q], made[i]), i))[:5]
         assert [got[q][n] for n in range(1, 6)] == want, q
+
+
+def test_pairs_are_made_where_a_query_was_dealt(spark, small, monkeypatch):
+    """Rows of l13 are dealt by query once, before features are made of them, and not for each side of the join."""
+    plans, kept = [], learned.pairs_of
+
+    def seen(rows, *of):
+        plans.append(kept(rows, *of)._jdf.queryExecution().executedPlan().toString())
+        return kept(rows, *of)
+
+    monkeypatch.setattr(learned, "pairs_of", seen)
+    learned.l13_folds(spark, small)
+    assert len(plans) == 1 and "hashpartitioning(l_orderkey" in plans[0] and "hashpartitioning(qid" not in plans[0]
+
+
+def test_slopes_equal_the_loop(spark):
+    rng = np.random.default_rng(2)
+    d, fold, w = rng.normal(size=(300, 3)), rng.integers(0, 4, 300), rng.normal(size=(4, 3))
+    pairs = spark.createDataFrame([(int(f), x) for f, x in zip(fold, d.tolist())], "fold int, d array<double>").repartition(3)
+    n, gradient, second = learned._slopes(pairs, w)
+    for k in range(4):
+        x = d[fold != k]
+        p = 1 / (1 + np.exp(x @ w[k]))
+        assert n[k] == len(x) and np.allclose(gradient[k], -(x.T @ p)) and np.allclose(second[k], (x * (p * (1 - p))[:, None]).T @ x)
