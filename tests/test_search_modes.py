@@ -100,6 +100,29 @@ def test_odd_requests(spark):
     assert {m for m, *_ in found(modes.relaxed(terms, modes.search_texts(shop.limit(0)), "request_id")).values()} == {None}
 
 
+def test_steps_without_a_thing_that_no_text_names(spark):
+    """A value, a package or a thing that no text holds goes first, also where it is the rarest of the last terms."""
+    made = [("gear", "red gear 12uF 25V Brand#3", 1, 4), ("gear", "cold gear 7uF 40V Brand#9", 2, 5), ("plate", "hot plate 7uF 10V Brand#3", 3, 0), ("plate", "old plate little 12uF 30V Brand#9", 4, 6), ("bolt", "cold bolt 3uF 5V", 5, 1)]
+    shop = spark.createDataFrame(made, "kind string, description string, pk long, stock long")
+    texts = ["red gear 99uF", "red gear Brand#3 99uF >=20V", "ring cold 7uF Brand#9", "widget 12uF old", "little gear 12uF", "cold bolt 3uF >=90V", "hot ring 99uF", "plate small 7uF", "red gear 99uF", "Brand#9 ring"]
+    asked, rows = spark.createDataFrame(list(enumerate(texts)), COLUMNS), shop.collect()
+    got = found(modes.relaxed(modes.parsed(asked, "request_id", "text", modes.vocabulary_of(spark)), modes.search_texts(shop), "request_id"))
+    assert got == {i: search(text, rows) for i, text in enumerate(texts)}
+
+
+def test_equal_texts_are_looked_for_once(spark, small, tmp_path):
+    """6,000 requests of some thousand texts: no join may put out texts for each request."""
+    from pyspark.sql import functions as F
+
+    from partloom.catalogue import QUERIES
+    from test_alike import joined_rows
+
+    for table in ("lineitem", "part"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{small}/{table}.parquet")
+    spark.range(6000).select(F.col("id").alias("c_custkey"), F.lit("AUTO").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert joined_rows(QUERIES["i02_synonyms_by_column"](spark, str(tmp_path))) < 20_000
+
+
 def test_prefix_join_holds_requests_and_not_offers(spark):
     """Half of all offers begin with one prefix; a merge join holds the rows of its right side, so these are the requests."""
     from pyspark.sql import functions as F
